@@ -9,10 +9,20 @@ from .decontaminate import leak_digest
 from .pii import pii_digest
 from .quality import quality_digest
 from .subwords import pieces_digest
+from .substring_dedup import remove_repeated_words
+from .suffix_dedup import remove_repeats
 from .token_counts import count_digest
 from .token_file import ids_digest
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_digest(documents(spark, sf_dir))
 
@@ -37,5 +47,5 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op6_token_file, op8_pii, op9_quality, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_token_file, op8_pii, op9_quality, op10_subwords)}
 ORACLES: dict[str, str] = {}
