@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import documents
 from .decontaminate import leak_digest
+from .near_dedup import near_digest
 from .pii import pii_digest
 from .quality import quality_digest
 from .subwords import pieces_digest
@@ -35,6 +36,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_digest(documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
@@ -47,5 +52,5 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_token_file, op8_pii, op9_quality, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords)}
 ORACLES: dict[str, str] = {}
