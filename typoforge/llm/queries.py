@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import documents
 from .decontaminate import leak_digest
+from .lm_scoring import score
 from .near_dedup import near_digest
 from .pii import pii_digest
 from .quality import quality_digest
@@ -32,6 +33,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(documents(spark, sf_dir))
 
@@ -52,5 +57,5 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords)}
 ORACLES: dict[str, str] = {}
