@@ -9,7 +9,8 @@
 3. For the other repeated keys, each distinct context is fetched once, and a solver (operator 1: suffix
    arrays; operator 2: relative Lempel-Ziv factors) decides for every d whether the window occurs in another
    context of the block.  Contexts of a key never split over blocks; keys with more than HOT contexts are
-   decided by counting their windows instead, with partial aggregation, so no key gathers in one task.
+   decided by counting their windows instead, with partial aggregation, so no key gathers in one task
+   (a partition balance alone: both ways give the same windows).
 4. Ranges of repeated windows go back to their documents.
 
 Hashes have 64 bits; a context counts as equal to another on two of them (key and full), and the solvers
@@ -26,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, column, keyed, map_arrow, mix, prefix, ragged, span, steps, store, text_bytes
+from .base import U64, column, keyed, map_arrow, mix, powers, prefix, ragged, span, steps, store, text_bytes
 
-#: Contexts of one key that one task may have to hold.
+#: A key is hot if its contexts are more than HOT, and more than HOT_SHARE of a partition's mean.
 HOT = 256
+HOT_SHARE = 2.5
 #: Contexts that a solver takes at once.
 BLOCK = 4096
-_PLACE = U64(28)
+_PLACES = U64((1 << 28) - 1)
+#: Bytes of text that one search for anchors takes: small arrays stay in cache.
+FIND_BYTES = 400_000
 
 
 @dataclass(frozen=True)
@@ -61,26 +65,35 @@ class Contexts:
 def anchors(sym: np.ndarray, off: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, keys, full hashes) of the anchors of texts of these symbols."""
     n, w, k, size = len(sym), kind.width, kind.gram, kind.length
-    fits = np.diff(off) >= size
-    if not fits.any():
+    fits = np.flatnonzero(np.diff(off) >= size)
+    if not len(fits):
         z = np.zeros(0, np.int64)
         return z, z.astype(U64), z.astype(U64)
     pre = prefix(sym)
-    at = np.arange(max(n - k + 1, 0))
-    low = (span(pre, at, at + k) >> _PLACE << _PLACE) | (U64((1 << 28) - 1) - (at.astype(U64) & U64((1 << 28) - 1)))
+    _, down = powers(n + 1)
+    # Hashes of all K-grams, in the high bits; below them the place, so that of equals the last is least.
+    low = pre[k:] - pre[:-k]
+    low *= down[: len(low)]
+    low *= U64(0x9FB21C651E98DF25)
+    low &= ~_PLACES
+    low |= _PLACES - (np.arange(len(low), dtype=U64) & _PLACES)
     reach = 1
     while reach * 2 <= w:
-        low[: len(low) - reach] = np.minimum(low[:-reach], low[reach:])
+        np.minimum(low[:-reach], low[reach:], out=low[:-reach])
         reach *= 2
-    first = ragged(off[:-1][fits], np.diff(off)[fits] - size + 1)
-    best = np.minimum(low[first], low[first + (w - reach)])
+    first = np.arange(n - size + 1)
+    best = np.minimum(low[: len(first)], low[w - reach : w - reach + len(first)])
     # The place of the least value, from its low bits and the start of the stretch.
-    place = (U64((1 << 28) - 1) - (best & U64((1 << 28) - 1))).astype(np.int64)
-    place += (first >> 28) << 28
-    place += (place < first) * (1 << 28)
-    new = np.ones(len(place), bool)
-    new[1:] = place[1:] != place[:-1]
-    place = np.unique(place[new])
+    place = (_PLACES - (best & _PLACES)).astype(np.int64)
+    if n >> 28:
+        place += (first >> 28) << 28
+        place += (place < first) * (1 << 28)
+    edge = np.zeros(len(first) + 1, np.int8)
+    edge[off[fits]] += 1
+    edge[off[fits + 1] - size + 1] -= 1
+    place = place[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+    place = np.unique(place)
     doc = np.searchsorted(off, place, side="right") - 1
     key = span(pre, place, place + size - w + 1)
     left = np.minimum(place - off[doc], w - 1)
@@ -90,7 +103,7 @@ def anchors(sym: np.ndarray, off: np.ndarray, kind: Kind) -> tuple[np.ndarray, n
 
 def _find(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in steps(batches):
+        for rows, data, off in steps(batches, most=FIND_BYTES):
             sym, soff, _, _ = kind.symbols(data, off)
             place, key, full = anchors(sym, soff, kind)
             doc = np.searchsorted(soff, place, side="right") - 1
@@ -152,6 +165,20 @@ def _runs(repeated: np.ndarray, kind: Kind) -> pa.Array:
     return pa.array(out, _RUNS)
 
 
+def _joined_runs(kind: Kind):
+    """The repeated windows of contexts, listed by distance, as runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ds = column(b, "ds")
+            row = np.repeat(np.arange(b.num_rows), np.diff(ds.offsets.to_numpy()))
+            repeated = np.zeros((b.num_rows, kind.width), bool)
+            repeated[row, ds.flatten().to_numpy()] = True
+            yield pa.RecordBatch.from_arrays([column(b, "key"), column(b, "full"), _runs(repeated, kind)], names=["key", "full", "runs"])
+
+    return run
+
+
 def _solve(kind: Kind):
     """Decide contexts in blocks that keep the contexts of a key together."""
 
@@ -197,7 +224,7 @@ def _windows(kind: Kind):
     return run
 
 
-def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed rows with rid, ranges): ranges has rid, th, runs: array<struct<lo,hi>> in symbols of each text, not yet united."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col=id_col, text_col=text_col)
@@ -207,25 +234,28 @@ def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, id_col: str
     keys = (
         found.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("a"), F.max("full").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
     )
+    keys = store(keys, "keys")  # as a table, so that a hot key of the join below can be split
     hits = store(found.join(keys, "key"), "anchors")
     need = hits.filter("mixed").groupBy("key", "full").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "th", "pos")).alias("at"))
     want = need.groupBy("at.rid", "at.th").agg(F.collect_list(F.struct("at.pos", "key", "full", "copies")).alias("want"))
     contexts = store(map_arrow(rows.join(want, ["rid", "th"]), _fetch(kind), "key long, full long, copies long, left int, text binary"), "contexts")
-    crowded = contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key")
-    crowded = store(crowded, "crowded")
-    calm = contexts.join(crowded, "key", "left_anti").repartition(parts, "key")
-    solved = map_arrow(calm, _solve(kind), "key long, full long, runs array<struct<lo:int,hi:int>>")
-    windows = map_arrow(contexts.join(crowded, "key", "left_semi"), _windows(kind), "win long, key long, full long, d int, copies long")
-    often = windows.groupBy("win").agg(F.sum("copies").alias("n")).filter("n > 1").select("win")
-    counted = (
-        windows.join(often, "win")
-        .groupBy("key", "full")
-        .agg(F.collect_list(F.struct((-F.col("d")).alias("lo"), (kind.length - F.col("d")).cast("int").alias("hi"))).alias("runs"))
-    )
-    decided = store(solved.filter(F.size("runs") > 0).unionByName(counted), "decided")
-    plain = hits.filter("not mixed").select("rid", "th", (F.col("pos") - kind.width + 1).alias("lo"), (F.col("pos") + kind.length).alias("hi"))
-    solved_hits = hits.filter("mixed").join(decided, ["key", "full"]).select("rid", "th", "pos", F.explode("runs").alias("r")).select("rid", "th", (F.col("pos") + F.col("r.lo")).alias("lo"), (F.col("pos") + F.col("r.hi")).alias("hi"))
-    ranges = plain.unionByName(solved_hits).groupBy("rid", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    most = max(hot, int(hot_share * contexts.count() / parts))
+    crowded = store(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "crowded")
+    runs = "key long, full long, runs array<struct<lo:int,hi:int>>"
+    if crowded.isEmpty():
+        decided = map_arrow(contexts.repartition(parts, "key"), _solve(kind), runs)
+    else:
+        decided = map_arrow(contexts.join(crowded, "key", "left_anti").repartition(parts, "key"), _solve(kind), runs)
+        windows = map_arrow(contexts.join(crowded, "key", "left_semi"), _windows(kind), "win long, key long, full long, d int, copies long")
+        often = store(windows.groupBy("win").agg(F.sum("copies").alias("n")).filter("n > 1").select("win"), "often")
+        counted = windows.join(often, "win").groupBy("key", "full").agg(F.collect_list("d").alias("ds"))
+        decided = decided.unionByName(map_arrow(counted, _joined_runs(kind), runs))
+    decided = store(decided.filter(F.size("runs") > 0), "decided")
+    one = F.array(F.struct((F.col("pos") - kind.width + 1).alias("lo"), (F.col("pos") + kind.length).alias("hi")))
+    plain = hits.filter("not mixed").select("rid", "th", one.alias("r"))
+    moved = F.transform("runs", lambda r: F.struct((F.col("pos") + r["lo"]).alias("lo"), (F.col("pos") + r["hi"]).alias("hi")))
+    solved_hits = hits.filter("mixed").join(decided, ["key", "full"]).select("rid", "th", moved.alias("r"))
+    ranges = plain.unionByName(solved_hits).groupBy("rid", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
     return rows, ranges
 
 

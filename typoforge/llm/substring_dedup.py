@@ -96,7 +96,7 @@ KIND = Kind(LENGTH, WIDTH, GRAM, _words, solve)
 
 def remove_repeated_words(docs: DataFrame, *, kind: Kind = KIND, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (words joined by one space)."""
-    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({"hot": hot} if hot is not None else {}))
+    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot, "hot_share": 0.0}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in steps(batches):

@@ -2,7 +2,7 @@
 
 repeats.py brings together the distinct contexts in which a repeat may start or end.  For each block of them,
 one suffix array of their right sides and reversed left sides is built by linear grouping construction over
-8-byte symbols ranked in byte order; neighbours' common prefixes, in bytes, then give for every distance d
+symbols of BLOCK_BYTES bytes ranked in byte order; neighbours' common prefixes, in bytes, then give for every distance d
 which contexts agree on all 200 bytes.
 
 Linear grouping construction (grouping_suffix_array): suffixes start in groups by first symbol.  Groups are
@@ -31,6 +31,8 @@ from .repeats import Contexts, Kind, apply_ranges, marked, repeated_ranges
 LENGTH = 200
 WIDTH = 128
 GRAM = 24
+#: Bytes of a symbol of the suffix array.
+BLOCK_BYTES = 25
 
 
 def grouping_suffix_array(symbols: list[int]) -> list[int]:
@@ -51,14 +53,39 @@ def grouping_suffix_array(symbols: list[int]) -> list[int]:
     done = [False] * len(order)
     smaller = [-1] * n
 
+    def move(old: int, js: list[int]) -> None:
+        """Put these members of a group into a new group just above it."""
+        new = len(members)
+        members.append(js)
+        size.append(len(js))
+        size[old] -= len(js)
+        done.append(False)
+        above = higher[old]
+        lower.append(old)
+        higher.append(above)
+        higher[old] = new
+        if above >= 0:
+            lower[above] = new
+        for j in js:
+            group[j] = new
+
     g = len(order) - 1
     while g >= 0:
         done[g] = True
-        if size[g]:
-            if len(members[g]) != size[g]:
+        n_members = size[g]
+        if n_members == 1:
+            # One member points at one suffix, which moves up unless it is alone in its group.
+            i = members[g][0] if len(members[g]) == 1 else next(i for i in members[g] if group[i] == g)
+            j = i - 1
+            while j >= 0 and done[group[j]]:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0 and size[group[j]] > 1:
+                move(group[j], [j])
+        elif n_members:
+            if len(members[g]) != n_members:
                 members[g] = [i for i in members[g] if group[i] == g]
-            if size[g] > 1:
-                members[g].sort()
+            members[g].sort()
             pointed: dict[int, int] = {}
             for i in members[g]:
                 j = i - 1
@@ -67,28 +94,14 @@ def grouping_suffix_array(symbols: list[int]) -> list[int]:
                 smaller[i] = j
                 if j >= 0:
                     pointed[j] = pointed.get(j, 0) + 1
-            counts = set(pointed.values())
-            for times in sorted(counts, reverse=True):
+            for times in sorted(set(pointed.values()), reverse=True):
                 moved: dict[int, list[int]] = {}
                 for j, k in pointed.items():
                     if k == times:
                         moved.setdefault(group[j], []).append(j)
                 for old, js in moved.items():
-                    if len(js) == size[old]:
-                        continue  # all that is left moves: the group stays where it is
-                    new = len(members)
-                    members.append(js)
-                    size.append(len(js))
-                    size[old] -= len(js)
-                    done.append(False)
-                    above = higher[old]
-                    lower.append(old)
-                    higher.append(above)
-                    higher[old] = new
-                    if above >= 0:
-                        lower[above] = new
-                    for j in js:
-                        group[j] = new
+                    if len(js) != size[old]:  # else all that is left moves: the group stays where it is
+                        move(old, js)
         g = lower[g]
 
     place, at, g = [0] * len(members), 0, 0
@@ -131,12 +144,12 @@ def solve(c: Contexts, kind: Kind) -> np.ndarray:
     """repeated[context, d]: whether the window that starts d bytes before the anchor occurs in another context, or in a copy."""
     m, reach = len(c.left), kind.width
     right_len = np.minimum(np.diff(c.off) - c.left, kind.length)
-    w_right, w_left = -(-kind.length // 8) * 8, -(-(reach - 1) // 8) * 8
+    w_right, w_left = -(-kind.length // BLOCK_BYTES) * BLOCK_BYTES, -(-(reach - 1) // BLOCK_BYTES) * BLOCK_BYTES
     right = _padded(c.data, c.off[:-1] + c.left, right_len, w_right, False)
     left = _padded(c.data, c.off[:-1], c.left, w_left, True)
-    blocks = np.concatenate([right.view(">u8").astype(np.uint64), left.view(">u8").astype(np.uint64)], axis=1)
+    blocks = np.concatenate([right, left], axis=1).view(f"S{BLOCK_BYTES}")
     rank = np.unique(blocks, return_inverse=True)[1].reshape(blocks.shape) + 2
-    n_right, ones = w_right // 8, np.ones((m, 1), np.int64)
+    n_right, ones = w_right // BLOCK_BYTES, np.ones((m, 1), np.int64)
     text = np.concatenate([rank[:, :n_right], ones, rank[:, n_right:], ones], axis=1)
     sa = np.array(grouping_suffix_array([*text.reshape(-1).tolist(), 0]), np.int64)[1:]
     at = sa % text.shape[1]
@@ -164,7 +177,7 @@ KIND = Kind(LENGTH, WIDTH, GRAM, _bytes, solve)
 
 def remove_repeats(docs: DataFrame, *, kind: Kind = KIND, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans (byte ranges) and kept (binary)."""
-    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({"hot": hot} if hot is not None else {}))
+    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot, "hot_share": 0.0}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in steps(batches):
