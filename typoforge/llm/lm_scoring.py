@@ -129,9 +129,9 @@ def fit(counts: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS, prior
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, good: whether the document has a label of quality 1."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    # The labels go to the documents' side by a semi-join on the id alone; texts stay where they are read.
+    # Labels grow with the documents, so this is a sort-merge join at every size.
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return ids.join(good.withColumn("_good", F.lit(True)), ids["doc_id"] == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("good"))
+    return ids.join(good.withColumn("_good", F.lit(True)).hint("merge"), ids["doc_id"] == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("good"))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
