@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import column, map_arrow, ragged, steps
-from .vocab import PIECES, Store, fragments, indexed, pieces
+from .vocab import PIECES, Store, flattened, fragments, indexed, pieces
 
 DROPOUT = 0.1
 SEED = 20260
 VARIANTS = 4
+#: Characters up to which a list serves as the agenda.
+SHORT = 40
+_NONE = float("inf")
 
 
 class Codec:
@@ -57,6 +60,46 @@ class Codec:
 
     def pre_token(self, frag: str, variant: int = 0) -> list[int]:
         """Ids of one pre-token (a literal space stands for U+2581)."""
+        key = zlib.crc32(f"{self.seed}:{variant}:{frag}".encode()) if self.cut else 0
+        return self._short(frag, key) if len(frag) <= SHORT and "▁" not in frag else self._long(frag, key)
+
+    def _short(self, frag: str, key: int) -> list[int]:
+        """The agenda as a list of the scores of neighbours, cheaper than a heap for few symbols."""
+        score, cut, number, crc32 = self.score, self.cut, self.id, zlib.crc32
+        get = score.get
+        sym = list(frag.replace(" ", "▁"))
+        place = list(range(len(sym)))
+        agenda = [get(a + b, _NONE) for a, b in zip(sym, sym[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == _NONE:
+                break
+            i = agenda.index(best)
+            join = sym[i] + sym[i + 1]
+            if cut and crc32(b"%d:%d" % (place[i], number[join]), key) < cut:
+                agenda[i] = _NONE
+                continue
+            sym[i : i + 2] = (join,)
+            del place[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = get(sym[i - 1] + join, _NONE)
+            if i < len(agenda):
+                agenda[i] = get(join + sym[i + 1], _NONE)
+        return self._ids(sym)
+
+    def _ids(self, sym: list) -> list[int]:
+        out = []
+        for s in sym:
+            if s is None:
+                continue
+            got = self.id.get(s)
+            if got is None:
+                out += [self.byte[b] for b in s.removeprefix("\0").encode() or b"\0"]
+            else:
+                out.append(got)
+        return out
+
+    def _long(self, frag: str, key: int) -> list[int]:
         score, cut = self.score, self.cut
         sym = ["▁" if c == " " else "\0" + c if c == "▁" else c for c in frag]  # \0: never joins
         n = len(sym)
@@ -68,7 +111,6 @@ class Codec:
             if join in score:
                 agenda.append((score[join], i, join))
         heapq.heapify(agenda)
-        key = zlib.crc32(f"{self.seed}:{variant}:{frag}".encode()) if cut else 0
         while agenda:
             _, i, join = heapq.heappop(agenda)
             left = sym[i]
@@ -90,19 +132,10 @@ class Codec:
                 more = sym[h] + join
                 if more in score:
                     heapq.heappush(agenda, (score[more], h, more))
-        out = []
-        for s in sym:
-            if s is None:
-                continue
-            got = self.id.get(s)
-            if got is None:
-                out += [self.byte[b] for b in s.removeprefix("\0").encode() or b"\0"]
-            else:
-                out.append(got)
-        return out
+        return self._ids(sym)
 
-    def _encode_all(self, keys: list[tuple[int, str]]) -> list[list[int]]:
-        return [self.pre_token(f, v) for v, f in keys]
+    def _encode_all(self, keys: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([self.pre_token(f, v) for v, f in keys])
 
     def encode(self, texts: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""

@@ -1,7 +1,7 @@
 """Operator 6, token ids in a binary file format of frequency-ranked, byte-aligned variable-length codes.
 
 Documents are dealt out in ranges of ascending doc_id (equal ids by text), sorted, encoded with the
-tokenizers library (each distinct word of a worker once) and closed with an end id.  A segment holds half a
+tokenizers library (each distinct word of a worker once while kept) and closed with an end id.  A segment holds half a
 million ids of consecutive documents and is decodable alone:
 
     magic "TFSV" | u32 n_docs | u32 n_ids | u32 n_ranks | u32 ranks[] | u32 lengths[n_docs]
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import column, map_arrow, ragged, shared_dir, steps
-from .vocab import WORD_BPE, indexed, spaced_words, stored
+from .vocab import WORD_BPE, indexed, stored, word_bpe, word_tiles
 
 MAGIC = b"TFSV"
 SEGMENT_IDS = 500_000
@@ -41,11 +41,12 @@ COUNTS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64)
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A segment of these ids, of documents of these lengths."""
-    used, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((used, -n))
-    rank = np.empty(len(used), np.uint32)
-    rank[order] = np.arange(len(used), dtype=np.uint32)
-    code = rank[inverse.reshape(-1)]
+    n = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    used = np.flatnonzero(n)
+    order = np.lexsort((used, -n[used]))
+    rank = np.zeros(len(n), np.uint32)
+    rank[used[order]] = np.arange(len(used), dtype=np.uint32)
+    code = rank[ids]
     size = (code > 0xFF).astype(np.uint8) + (code > 0xFFFF) + (code > 0xFFFFFF)
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     padded[: len(code)] = size
@@ -99,13 +100,19 @@ def _encode(model: str, end_id: int, segment_ids: int):
             return row
 
         words = stored("words", model)
-        for rows, _, _ in steps(batches, most=STEP):
-            flat, off = spaced_words(column(rows, "text"))
+        for rows, data, off in steps(batches, most=STEP):
+            special = [i for i, t in enumerate(column(rows, "text").to_pylist()) if "<|" in t] if b"<|" in memoryview(np.ascontiguousarray(data)).tobytes() else []
+            flat, tile_off = word_tiles(data, off)
             idx, keys = indexed(flat)
             row = words.rows(keys)[idx]
             size = words.len[row]
             out = words.ids[ragged(words.start[row], size)]
-            upto = np.concatenate([[0], np.cumsum(size)])[off]
+            upto = np.concatenate([[0], np.cumsum(size)])[tile_off]
+            if special:  # may hold strings of special tokens, which the library reads before lower-casing
+                parts = [out[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                for i, e in zip(special, word_bpe(model).encode_batch_fast([column(rows, "text")[i].as_py() for i in special], add_special_tokens=False), strict=True):
+                    parts[i] = np.asarray(e.ids, np.int32)
+                out, upto = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             lengths = np.diff(upto) + 1
             whole = np.insert(out, upto[1:], end_id)
             ids.append(whole.astype(np.uint32))

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .base import LOWER, SPACED, ragged
+
+_ALNUM, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _UPPER[0x41:0x5B] = True
+
 PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
@@ -29,16 +36,17 @@ def pieces(model: str = PIECES):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(model))
     every = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-    if any("▁" in p.lstrip("▁") or "\n" in p for p in every):
-        raise ValueError(f"{model}: pieces cross white space, so texts can't be cut there")
+    if any("▁" in p.lstrip("▁") or "\n" in p or re.search("[A-Za-z0-9][.,]", p) for p in every):
+        raise ValueError(f"{model}: pieces cross the places where fragments() cuts texts")
     return sp
 
 
 def fragments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Exact pre-tokens of a SentencePiece BPE model with a dummy prefix: (fragments of all texts, offsets by text).
 
-    No piece has a space after another character or a line feed, so no merge crosses the start of a run
-    of spaces or either side of a line feed.  Every text that isn't empty gets its dummy space first.
+    No piece has a space after another character, a line feed, or a full stop or comma after an ASCII letter or
+    digit, so no merge crosses the start of a run of spaces, either side of a line feed, or the start of such a
+    mark (pieces() checks the vocabulary for this).  Every text that isn't empty gets its dummy space first.
     """
     texts = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " "), texts, "")
     _, off, buf = texts.buffers()
@@ -50,7 +58,8 @@ def fragments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         return pa.array([], pa.string()), np.zeros(n + 1, np.int64)
     space, line = raw == 0x20, raw == 0x0A
     cut = line.copy()
-    cut[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
+    mark = (raw == 0x2E) | (raw == 0x2C)
+    cut[1:] |= (space[1:] & ~space[:-1]) | line[:-1] | (mark[1:] & (_ALNUM | _UPPER)[raw[:-1]])
     cut[o[:-1][np.diff(o) > 0]] = True
     at = np.flatnonzero(cut)
     bounds = np.append(at, len(raw)).astype(np.int32)
@@ -65,43 +74,71 @@ def piece_ids(sp, frags: list[str]) -> list[list[int]]:
     return [alone.get(f) or (ids if f[0] == " " else ids[2:]) for f, ids in zip(frags, made, strict=True)]
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, how many each list has)."""
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lens.sum())), lens
+
+
 class Store:
-    """Ids by key, computed once while kept; emptied beyond `most` keys, so memory is bounded whatever the vocabulary."""
+    """Ids by key, computed once while kept.
 
-    def __init__(self, encode: Callable[[list], Iterable], most: int = 500_000) -> None:
+    Beyond `most` keys, those seen in one call only go (all go if the others are over half), so memory is bounded
+    whatever the vocabulary.  encode takes a list of keys and returns (all ids, how many each key has).
+    """
+
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 700_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.row: dict = {}
+        self.n = 0
         self.len = np.zeros(1 << 12, np.int64)
         self.start = np.zeros(1 << 12, np.int64)
+        self.seen = np.zeros(1 << 12, bool)
         self.ids = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def rows(self, keys: list) -> np.ndarray:
-        """A row for each key."""
-        if len(self.row) > self.most:
+    def shrink(self) -> None:
+        stay = self.seen[: self.n]
+        kept = int(stay.sum())
+        if 2 * kept > self.most:
             self.clear()
+            return
+        at = np.cumsum(stay) - 1
+        self.row = {k: int(at[r]) for k, r in self.row.items() if stay[r]}
+        lens = self.len[: self.n][stay]
+        ids = self.ids[ragged(self.start[: self.n][stay], lens)]
+        self.n, self.used = kept, len(ids)
+        self.len[:kept], self.start[:kept], self.ids[: len(ids)] = lens, np.cumsum(lens) - lens, ids
+        self.seen[:] = False
+
+    def rows(self, keys: list) -> np.ndarray:
+        """A row for each of these keys, which are distinct."""
+        if self.n > self.most:
+            self.shrink()
         get = self.row.get
         out = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(out < 0)
+        self.seen[out[out >= 0]] = True
         if len(new):
-            missing = list(dict.fromkeys(keys[i] for i in new.tolist()))
-            made = [np.asarray(x, np.int32) for x in self.encode(missing)]
-            lens = np.fromiter(map(len, made), np.int64, len(made))
-            first, count, total = len(self.row), len(missing), int(lens.sum())
+            missing = [keys[i] for i in new.tolist()]
+            ids, lens = self.encode(missing)
+            first, count, total = self.n, len(missing), len(ids)
             while first + count > len(self.len):
                 self.len, self.start = np.concatenate([self.len, self.len]), np.concatenate([self.start, self.start])
+                self.seen = np.concatenate([self.seen, np.zeros(len(self.seen), bool)])
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, self.ids])
             self.len[first : first + count] = lens
             self.start[first : first + count] = self.used + np.cumsum(lens) - lens
-            if total:
-                self.ids[self.used : self.used + total] = np.concatenate(made)
+            self.ids[self.used : self.used + total] = ids
             self.used += total
+            self.n += count
+            self.seen[first : first + count] = False
             self.row.update(zip(missing, range(first, first + count), strict=True))
-            out[new] = np.fromiter((self.row[keys[i]] for i in new.tolist()), np.int64, len(new))
+            out[new] = np.arange(first, first + count)
         return out
 
 
@@ -110,7 +147,7 @@ def stored(kind: str, model: str) -> Store:
     """The store of this worker for a kind of encoder."""
     if kind == "pieces":
         sp = pieces(model)
-        return Store(lambda keys: piece_ids(sp, keys))
+        return Store(lambda keys: flattened(piece_ids(sp, keys)))
     if kind == "words":
         return Store(WordBpe(model))
     if kind == "byte words":
@@ -127,7 +164,7 @@ def _byte_words(model: str):
     with open(vocabulary(model), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     made = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda keys: [made.encode_ordinary(" " + k) for k in keys]
+    return lambda keys: flattened([made.encode_ordinary(" " + k) for k in keys])
 
 
 @functools.lru_cache(2)
@@ -139,58 +176,64 @@ def word_bpe(model: str = WORD_BPE):
 
 
 class WordBpe:
-    """Ids of white-space separated words by the tokenizers library.
+    """Ids of the tiles of word_tiles() by the tokenizers library.
 
-    The library lower-cases, drops white space and never joins letters with what follows them, so a word's
-    ids are those of its stem and of one full stop or comma after it.  Stems of ASCII letters alone are one
-    pre-token each, so many are encoded as one text and cut at the tokens that end a word.
+    Tiles of ASCII letters alone are one pre-token each, so many are encoded as one text and told apart by the
+    tokens that end a word.
     """
 
     def __init__(self, model: str) -> None:
         self.tok = word_bpe(model)
         n = self.tok.get_vocab_size()
         self.final = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        self.mark = {c: np.asarray(self.tok.encode(c, add_special_tokens=False).ids, np.int32) for c in ".,"}
-        self.stems = None
-
-    def __call__(self, keys: list[str]) -> list[np.ndarray]:
-        stems, tails = [], []
-        for k in keys:
-            low = k.lower() if k.isascii() else k
-            if len(low) > 1 and low[-1] in ".," and low[-2].isascii() and low[-2].isalnum() and "<|" not in low:
-                stems.append(low[:-1])
-                tails.append(low[-1])
-            else:
-                stems.append(k if "<|" in k else low)
-                tails.append("")
-        if self.stems is None:
-            self.stems = Store(self._encode)
-        rows = self.stems.rows(stems)
-        s = self.stems
-        out = []
-        for a, n, tail in zip(s.start[rows].tolist(), s.len[rows].tolist(), tails, strict=True):
-            ids = s.ids[a : a + n]
-            out.append(np.concatenate([ids, self.mark[tail]]) if tail else ids.copy())
-        return out
 
-    def _encode(self, stems: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(stems)
-        plain = [i for i, s in enumerate(stems) if s.isascii() and s.isalpha()]
-        rest = [i for i, s in enumerate(stems) if not (s.isascii() and s.isalpha())]
-        if rest:
-            for i, e in zip(rest, self.tok.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.asarray(e.ids, np.int32)
-        groups = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(stems[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, np.int32)
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(group):  # can't be with this kind of vocabulary; each alone is always right
-                for i, x in zip(group, self.tok.encode_batch_fast([stems[i] for i in group], add_special_tokens=False), strict=True):
-                    out[i] = np.asarray(x.ids, np.int32)
-                continue
-            for i, part in zip(group, np.split(ids, ends[:-1]), strict=True):
-                out[i] = part
-        return out
+    def __call__(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [k.strip(" \t\n\r\x0b\x0c") for k in keys]
+        plain = np.fromiter((w.isascii() and w.isalpha() for w in words), bool, len(words))
+        parts, where = [], [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        for at, group in ((where[0], 1000), (where[1], 1)):
+            texts = [" ".join(words[i] for i in at[a : a + group].tolist()) for a in range(0, len(at), group)]
+            ids, lens = flattened([e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            if group > 1:
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) != len(at):  # can't be with this kind of vocabulary; each alone is always right
+                    ids, lens = flattened([e.ids for e in self.tok.encode_batch_fast([words[i] for i in at.tolist()], add_special_tokens=False)])
+                else:
+                    lens = np.diff(ends, prepend=0)
+            parts.append((ids, lens))
+        lens = np.empty(len(keys), np.int64)
+        start = np.empty(len(keys), np.int64)
+        shift = 0
+        for at, (ids, n) in zip(where, parts, strict=True):
+            lens[at] = n
+            start[at] = shift + np.cumsum(n) - n
+            shift += len(ids)
+        flat = np.concatenate([parts[0][0], parts[1][0]])
+        return flat[ragged(start, lens)], lens
+
+
+def word_tiles(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut into words with the white space after them, full stops and commas after a word apart: (tiles, offsets by text).
+
+    The word BPE lower-cases (A-Z is done here), drops white space, and never joins a letter or digit with a
+    full stop or comma, so a text's ids are those of its tiles.
+    """
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(off), np.int64)
+    low = LOWER[data]
+    inside = SPACED[low]
+    cut = inside.copy()
+    cut[1:] &= ~inside[:-1]
+    mark = (low == 0x2E) | (low == 0x2C)
+    mark[1:] &= _ALNUM[low[:-1]]
+    mark[0] = False
+    mark[:-1] &= ~inside[1:]
+    cut |= mark
+    cut[off[:-1][np.diff(off) > 0]] = True
+    at = np.flatnonzero(cut)
+    bounds = np.append(at, len(low)).astype(np.int32)
+    made = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(low))
+    return made, np.searchsorted(at, off)
 
 
 def spaced_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
