@@ -57,23 +57,13 @@ def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFr
     return pairs.groupBy("sample_index", "corrupted").agg(first.alias("fixed"))
 
 
-def deletions(word: Column, most: int = 1) -> Column:
-    """A word and what is left of it after deleting up to `most` characters."""
-    n = F.length(word)
-    out = F.array(word)
-    level = out
+def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFrame:
+    """words with key: each word, and what is left of it after deleting up to `most` characters (rows may repeat)."""
+    out = words.withColumn("key", F.col(word))
     for _ in range(most):
-        level = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    level,
-                    lambda w: F.when(
-                        F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i, w=w: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, n)))
-                    ).otherwise(F.array().cast("array<string>")),
-                )
-            )
-        )
-        out = F.array_union(out, level)
+        out = out.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.length("key"))))
+        shorter = F.concat(F.substr("key", F.lit(1), F.col("_cut") - 1), F.substr("key", F.col("_cut") + 1, F.length("key")))
+        out = out.withColumn("key", F.when(F.col("_cut") == 0, F.col("key")).otherwise(shorter)).drop("_cut")
     return out
 
 
@@ -84,8 +74,8 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2) ->
     never the product; the distance is verified.
     """
     unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
-    left = unknown.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
-    right = dictionary.select(F.col("word").alias("candidate"), "n", F.explode(deletions(F.col("word"), most)).alias("key"))
+    left = deletion_keys(unknown, "word", most)
+    right = deletion_keys(dictionary.select(F.col("word").alias("candidate"), "n"), "candidate", most)
     pairs = left.join(right, "key").select("word", "candidate", "n").distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "candidate", most)).filter(F.col("distance") >= 0)
 
