@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import U64, column, map_arrow, mix, owner, ragged, steps
-from .vocab import PIECES, fragments, indexed, pieces, stored
+from .vocab import PIECES, fragments, indexed, keep_only, pieces, stored
 
 BUCKETS = 1 << 21
 PRIOR = 50.0
@@ -46,6 +46,7 @@ def tokens(texts: pa.Array, model: str = PIECES) -> tuple[np.ndarray, np.ndarray
     flat, off = fragments(pc.replace_substring(texts, "▁", " "))
     idx, keys = indexed(flat)
     store = stored("pieces", model)
+    keep_only(store)
     row = store.rows(keys)[idx]
     size = store.len[row]
     return store.ids[ragged(store.start[row], size)], np.concatenate([[0], np.cumsum(size)])[off]

@@ -190,6 +190,13 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def scrubbed(text: str) -> str:
+    """The text redacted until nothing is found: what stands between two spans may become one when they are gone."""
+    while spans := find(text):
+        text = redacted(text, spans)
+    return text
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span (overlapping ones joined, named by the first kind) replaced by [KIND]."""
     out, at = [], 0
@@ -222,7 +229,7 @@ def redact_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            new = pa.array([redacted(t, s) if t and (s := find(t)) else t for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            new = pa.array([scrubbed(t) if t else t for t in b.column(at).to_pylist()], b.schema.field(at).type)
             arrays = list(b.columns)
             arrays[at] = new
             if (n := b.schema.get_field_index("n_chars")) >= 0:
@@ -258,4 +265,4 @@ def brute(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-__all__ = ["KINDS", "brute", "find", "find_pii", "pii_digest", "redact_pii", "redacted"]
+__all__ = ["KINDS", "brute", "find", "find_pii", "pii_digest", "redact_pii", "redacted", "scrubbed"]

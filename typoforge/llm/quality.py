@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import BYTE_CODE, SPACED, U64, column, filled, map_arrow, mix, owner, prefix, ragged, span, steps, words
-from .vocab import PIECES, indexed, spaced_words, stored
+from .vocab import PIECES, indexed, keep_only, spaced_words, stored
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS = 50
@@ -107,12 +107,12 @@ def _measure(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: str, byt
     # Tokens: words encode once; the step's distinct words meet the store.
     flat, flat_off = spaced_words(texts)
     idx, keys = indexed(flat)
-    store = stored("pieces", model)
+    store, byte_store = stored("pieces", model), stored("byte words", byte_model)
+    keep_only(store, byte_store)
     row = store.rows([" " + k.replace("▁", " ") for k in keys])
     size = store.len[row]
     every = store.ids[ragged(store.start[row], size)]  # of the distinct words
     fallback = np.bincount(np.repeat(np.arange(len(keys)), size), (every >= 3) & (every < 259), len(keys)).astype(np.int64)
-    byte_store = stored("byte words", byte_model)
     byte_row = byte_store.rows(keys)
     byte_size = byte_store.len[byte_row]
     wdoc = owner(flat_off)

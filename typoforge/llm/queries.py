@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .base import documents
 from .decontaminate import leak_digest
 from .lm_scoring import score
@@ -58,4 +59,4 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE, "op7_near_dedup": oracles.NEAR_DEDUP}

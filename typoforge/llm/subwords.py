@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import column, map_arrow, ragged, steps
-from .vocab import PIECES, Store, flattened, fragments, indexed, pieces
+from .vocab import PIECES, Store, flattened, fragments, indexed, keep_only, pieces
 
 DROPOUT = 0.1
 SEED = 20260
@@ -139,6 +139,7 @@ class Codec:
 
     def encode(self, texts: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
+        keep_only(self.store)
         flat, off = fragments(texts)
         idx, keys = indexed(flat)
         doc_variant = np.repeat(variants, np.diff(off))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import column, map_arrow, ragged, shared_dir, steps
-from .vocab import WORD_BPE, indexed, stored, word_bpe, word_tiles
+from .vocab import WORD_BPE, indexed, keep_only, stored, word_bpe, word_tiles
 
 MAGIC = b"TFSV"
 SEGMENT_IDS = 500_000
@@ -100,6 +100,7 @@ def _encode(model: str, end_id: int, segment_ids: int):
             return row
 
         words = stored("words", model)
+        keep_only(words)
         for rows, data, off in steps(batches, most=STEP):
             special = [i for i, t in enumerate(column(rows, "text").to_pylist()) if "<|" in t] if b"<|" in memoryview(np.ascontiguousarray(data)).tobytes() else []
             flat, tile_off = word_tiles(data, off)

@@ -6,6 +6,7 @@ import functools
 import itertools
 import os
 import re
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -80,6 +81,17 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lens.sum())), lens
 
 
+#: All stores of this worker: a worker serves one operator after another.
+_STORES: weakref.WeakSet = weakref.WeakSet()
+
+
+def keep_only(*stores: Store) -> None:
+    """Empty all other stores of this worker, so that its memory is that of the operator it runs."""
+    for s in _STORES:
+        if s.n and s not in stores:
+            s.clear()
+
+
 class Store:
     """Ids by key, computed once while kept.
 
@@ -87,9 +99,10 @@ class Store:
     whatever the vocabulary.  encode takes a list of keys and returns (all ids, how many each key has).
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 700_000) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 300_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
+        _STORES.add(self)
 
     def clear(self) -> None:
         self.row: dict = {}
@@ -149,7 +162,7 @@ def stored(kind: str, model: str) -> Store:
         sp = pieces(model)
         return Store(lambda keys: flattened(piece_ids(sp, keys)))
     if kind == "words":
-        return Store(WordBpe(model))
+        return Store(WordBpe(model), 700_000)
     if kind == "byte words":
         return Store(_byte_words(model))
     raise ValueError(kind)
