@@ -55,3 +55,29 @@ def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Colu
 def padded(ids: Column, length: Column, pad: Column) -> Column:
     """An array cut or filled up on the right to a length."""
     return F.concat(F.slice(ids, F.lit(1), length), F.array_repeat(pad, F.greatest(length - F.size(ids), F.lit(0))))
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes as B, KB or MB, with one decimal from KB on."""
+    return (
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB")))
+    )
+
+
+def softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    raised = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(raised, lambda x: x / total)
+
+
+def argmax(values: Column) -> Column:
+    """The first position (from 0) of the largest value; null of an empty array."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def stamp() -> Column:
+    """The time of the query as text, for run records."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -92,3 +92,46 @@ def positions(samples: DataFrame, *, by: str = "sample_index", code: str = "code
 
     w = Window.partitionBy(by).orderBy("line", "col", "name")
     return extract_names(samples, by=by, code=code).select(by, "name", "line", "col", F.row_number().over(w).alias("ordinal"))
+
+
+def line_diff(before: str | Column, after: str | Column) -> Column:
+    """array<struct<line,op,text>> of what differs, line by line: op is removed or added, text the differing span."""
+    import difflib
+
+    @F.pandas_udf("array<struct<line:int,op:string,text:string>>")
+    def run(before: pd.Series, after: pd.Series) -> pd.Series:
+        def one(a: str | None, b: str | None) -> list[dict]:
+            x, y = (a or "").split("\n"), (b or "").split("\n")
+            out = []
+            for i in range(max(len(x), len(y))):
+                p, q = x[i] if i < len(x) else "", y[i] if i < len(y) else ""
+                if p != q:
+                    for op, s, e, t, u in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
+                        if op != "equal" and e > s:
+                            out.append({"line": i + 1, "op": "removed", "text": p[s:e]})
+                        if op != "equal" and u > t:
+                            out.append({"line": i + 1, "op": "added", "text": q[t:u]})
+            return out
+
+        return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+    return run(before, after)
+
+
+def align_to_subwords(samples: DataFrame, *, ids=None, start: int = 0, end: int = 1, most: int = 512) -> DataFrame:
+    """sample_index, pos, input_id, word_id: subwords of the code tokens between a start and an end id (whose word is
+    null), cut at `most`.  ids gives a token's subwords (its UTF-8 bytes unless given)."""
+    from ..operators.encode import byte_ids
+
+    ids = ids or byte_ids
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, source in zip(b["sample_index"], b["code"], strict=True):
+                inner = [(x, w) for w, t in enumerate(scopes.code_tokens(source or "")) for x in ids(t.text)][: most - 2]
+                rows += [(i, p, x, w) for p, (x, w) in enumerate([(start, None), *inner, (end, None)])]
+            made = pd.DataFrame(rows, columns=["sample_index", "pos", "input_id", "word_id"])
+            yield made.astype({"word_id": "Int32"})
+
+    return samples.select("sample_index", "code").mapInPandas(run, "sample_index long, pos int, input_id int, word_id int")

@@ -227,9 +227,9 @@ def applied_tags(spark, sf_dir):
     return w.select("conv_id", "turn", E.apply_tags(F.col("t"), tag).alias("text"))
 
 
-@query("SELECT m.model, d.r_name AS preset, CASE WHEN m.model = 'llm_api' THEN 'llm_' || d.r_name ELSE m.model END AS slug FROM (SELECT unnest(['llm_api', 'spellcheck', 'gector']) AS model) m, region d")
+@query("SELECT m.model, d.r_name AS preset, CASE WHEN m.model = 'llm_api' THEN 'llm_' || d.r_name ELSE m.model END AS slug FROM (SELECT unnest(['llm_api', 'spellcheck', 'tagger']) AS model) m, region d")
 def model_slug(spark, sf_dir):
-    m = spark.createDataFrame([("llm_api",), ("spellcheck",), ("gector",)], "model string")
+    m = spark.createDataFrame([("llm_api",), ("spellcheck",), ("tagger",)], "model string")
     return m.crossJoin(table(spark, sf_dir, "region").select(F.col("r_name").alias("preset"))).withColumn("slug", N.model_slug(F.col("model"), F.col("preset")))
 
 
@@ -261,11 +261,23 @@ def cleaned_output(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_output(raw).alias("cleaned"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def html_escaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.html_escape(F.col("html")).alias("escaped"))
 
 
+@query("SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' WHEN strlen(text) < 1048576 THEN format('{:.1f} KB', round(strlen(text) / 1024.0, 1)) ELSE format('{:.1f} MB', round(strlen(text) / 1048576.0, 1)) END AS size FROM documents")
+def byte_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.byte_size(F.octet_length("text")).alias("size"))
+
+
+@query("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM e), x AS (SELECT vec_id, v, top, [exp(y - top) FOR y IN v] AS z FROM m)
+SELECT vec_id, round(list_max(z) / list_sum(z), 6) AS p, (list_position(v, top) - 1)::INT AS label FROM x""")
+def softmax_argmax(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(X.softmax(v)), 6).alias("p"), X.argmax(v).alias("label"))
+
+
 @query("SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.0, 0.5 * (1 + cos(pi() * (step - 100) / 900.0))) END, 9)::DOUBLE AS factor FROM (SELECT unnest(range(1001)) AS step)")
 def learning_rate(spark, sf_dir):
     return spark.range(1001).select(F.col("id").alias("step"), F.round(X.learning_rate(F.col("id"), 100, 1000), 9).alias("factor"))
@@ -682,6 +694,17 @@ def evaluated_spelling(spark, sf_dir):
     return fixers.evaluate(s, fixers.SpellFix(dictionary))[0]
 
 
+@query()
+def line_diffs(spark, sf_dir):
+    s = inject.build(snippets(spark), PLAN).filter("has_errors")
+    return s.select("sample_index", analyze.line_diff("fixed", "code").alias("d")).select("sample_index", F.explode("d").alias("d")).select("sample_index", "d.*")
+
+
+@query()
+def aligned_subwords(spark, sf_dir):
+    return analyze.align_to_subwords(readers.load_demo(spark).withColumnRenamed("id", "sample_index"))
+
+
 @query()
 def text_scores(spark, sf_dir):
     s = inject.build(snippets(spark), PLAN).filter("has_errors")
