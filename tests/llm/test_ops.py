@@ -232,6 +232,24 @@ def test_near_duplicates_in_large_regions(spark, monkeypatch):
     assert pairs(got, "doc_id", "n_shingles", "component_id", "kept") == expect(exact_components(rows))
 
 
+def test_near_duplicates_of_one_source(spark):
+    """A star: 1,100 copies at 0.85 to 0.9 to their source and below 0.85 to each other, so nothing but the source links them."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(404)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1100):
+        at = r.randint(0, 3)
+        copy = list(base)
+        for k in range(r.choice([4, 5, 6])):
+            copy[(at + 60 * k + r.randint(0, 49)) % 404] = f"v{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    sets = [shingle_set(t) for _, t in rows]
+    near = [100 * len(sets[0] & s) >= 85 * len(sets[0] | s) for s in sets]
+    assert all(near)
+    got = near_dedup.near_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.component_id for x in got.collect()} == {0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(200, 201 + i) for i in range(20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -7,14 +7,15 @@ prefix puts them into one region, and the depth adapts to the region: where more
 prefix, the region is cut at the next min-hash, and where they share all of them, by a salted hash whose
 parts' first members form a region again.
 
-Verification takes two rounds, each on the full shingle sets (100 * intersection >= 85 * union):
-first neighbours in every order, which joins most of each group along a path; then every candidate pair of
-every order whose classes are not yet in one component.  So the pairs grow with the documents, not with the
-square of a group.  Candidates are sifted before that by the lowest bits of all 192 min-hashes: a pair at 0.85
+Verification takes rounds, each on the full shingle sets (100 * intersection >= 85 * union): first
+neighbours in every order, which joins most of each group along a path; then every class of a region that was
+cut meets the region's most linked class (the source of a star of copies); then every candidate pair of every
+order whose classes are not yet in one component.  What cutting a region took apart is made up for at last:
+every class outside the region's largest component meets all others of other components.  So no pair of a
+region is left out, and the pairs grow with the documents unless many classes of a region stay unlinked.  Candidates are sifted before that by the lowest bits of all 192 min-hashes: a pair at 0.85
 differs in over 32 of them with probability 7e-6, and such pairs aren't verified.
 
-At similarity 0.85, a pair shares 5 of 8 min-hashes' prefix in none of 24 orders with probability 8e-7; within
-regions that are cut deeper a pair may be seen less often, but there its group's other members lead to it.
+At similarity 0.85, a pair shares 5 of 8 min-hashes' prefix in none of 24 orders with probability 8e-7.
 
 Texts: words are runs of bytes other than ASCII white space; with fewer than five words the whole sequence is one
 shingle; null or wordless texts have none and link with nothing.  Rows that repeat a doc_id are one node
@@ -38,6 +39,8 @@ TREES = 24
 DEPTH = 8
 LEAST = 5
 REGION = 64
+#: Classes of a region that was cut which one block of the last round holds.
+BLOCK = 512
 PERCENT = 85
 SHINGLE = 5
 #: Bits of the sketch by which candidates are sifted, and how many may differ: five standard deviations beyond
@@ -146,9 +149,7 @@ def _regions(first_only: bool):
             right.append(cls[j[ok]])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            for s in range(0, len(pairs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], names=["a", "b"])
+            yield from _pairs(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
 
     return run
 
@@ -157,9 +158,10 @@ def _regions(first_only: bool):
 ROW = ("deep", "cls", "n", "s1", "s2", "s3")
 
 
-def _cut(leaves: DataFrame, most: int) -> DataFrame:
-    """leaves with regions of at most `most` classes: deeper prefixes where more share one, then salted parts."""
-    done, rest = [], leaves.select("region", *ROW)
+def _cut(leaves: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(leaves with regions of at most `most` classes: deeper prefixes where more share one, then salted parts;
+    the regions that were cut, whole)."""
+    done, rest, wide = [], leaves.select("region", *ROW), None
     for depth in range(LEAST, DEPTH + 1):
         bits = 16 * (DEPTH - depth)
         key = rest.withColumn("key", F.xxhash64("region", F.shiftrightunsigned("deep", bits), F.lit(depth)) if depth > LEAST else F.col("region"))
@@ -167,6 +169,7 @@ def _cut(leaves: DataFrame, most: int) -> DataFrame:
         sized = store(key.join(sizes, "key"), "regions")
         done.append(sized.filter(F.col("size") <= most).select(F.col("key").alias("region"), *ROW))
         rest = sized.filter(F.col("size") > most).select("region", *ROW, "key", "size")
+        wide = rest.select("region", *ROW, "size") if wide is None else wide
         if depth < DEPTH:
             if rest.isEmpty():
                 rest = None
@@ -186,7 +189,92 @@ def _cut(leaves: DataFrame, most: int) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, wide
+
+
+def _sifted(a: str, b: str) -> F.Column:
+    """Whether classes a and b (structs) are of different components, and sizes and sketches allow a link."""
+    at = lambda side, c: F.col(f"{side}.{c}")
+    differ = sum((F.bit_count(at(a, c).bitwiseXOR(at(b, c))) for c in ("s1", "s2", "s3")), F.lit(0))
+    alike = 100 * F.least(at(a, "n"), at(b, "n")) >= PERCENT * F.greatest(at(a, "n"), at(b, "n"))
+    return (at(a, "comp") != at(b, "comp")) & alike & (differ <= DIFFER)
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _split(wide: DataFrame, components: DataFrame) -> DataFrame:
+    """wide with comp; only regions of several components."""
+    wide = wide.select("region", "cls", "n", "s1", "s2", "s3", "size")
+    rows = wide.join(components, wide["cls"] == components["node"], "left").select(*wide.columns, F.coalesce("component", "cls").alias("comp"))
+    rows = store(rows, "wide")
+    several = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+    return rows.join(several, "region")
+
+
+def _with_hubs(split: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidate pairs of each region's most linked class with all others."""
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a")))
+    degree = ends.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("degree"))
+    me = F.struct("cls", "n", "s1", "s2", "s3", "comp")
+    hubs = split.join(degree, "cls").groupBy("region").agg(F.max_by(me, F.struct("degree", "cls")).alias("x"))
+    both = split.select("region", me.alias("y")).join(hubs, "region").filter(_sifted("x", "y"))
+    return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of probes with the members of a block: rows come with all of a (region, block) in one partition."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    order = np.lexsort(tuple(t[c].to_numpy() for c in ("cls", "probe", "block", "region")))
+    region, block, probe, cls, n, comp = (t[c].to_numpy()[order] for c in ("region", "block", "probe", "cls", "n", "comp"))
+    sketch = [t[c].to_numpy()[order].view(U64) for c in ("s1", "s2", "s3")]
+    new = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (block[1:] != block[:-1])]))
+    held, size = [], 0
+    for s, e in zip(new, np.append(new[1:], len(region)), strict=True):
+        mid = s + int(np.searchsorted(probe[s:e], 1))
+        base = np.arange(s, mid)
+        step = max(1, 1_000_000 // max(len(base), 1))
+        for p in range(mid, e, step):
+            q = np.arange(p, min(p + step, e))
+            ok = comp[q][:, None] != comp[base][None, :]
+            ok &= 100 * np.minimum(n[q][:, None], n[base][None, :]) >= PERCENT * np.maximum(n[q][:, None], n[base][None, :])
+            i, j = np.nonzero(ok)
+            i, j = q[i], base[j]
+            near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in sketch) <= DIFFER
+            i, j = cls[i[near]], cls[j[near]]
+            if len(i):
+                held.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+                size += len(i)
+            if size > 1_000_000:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > 500_000:
+                    yield from _pairs(held[0])
+                    held = []
+                size = sum(map(len, held))
+    if held:
+        yield from _pairs(np.unique(np.concatenate(held), axis=0))
+
+
+def _pairs(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(pairs), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], names=["a", "b"])
+
+
+def _rest(split: DataFrame, parts: int, block: int) -> DataFrame:
+    """Every candidate pair of the regions: each class outside a region's largest component with all of the others.
+
+    A region's classes are dealt into blocks once; those outside the largest component go to each block besides.
+    """
+    large = split.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    rows = split.join(large, "region").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    base = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(0))
+    probes = rows.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
+    dealt = base.unionByName(probes).select("region", "block", "probe", "cls", "n", "comp", "s1", "s2", "s3")
+    return map_arrow(dealt.repartition(parts, "region", "block"), _across, "a long, b long").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,21 +319,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = real.groupBy("sa", "sb", "n").agg(F.min(F.struct("doc_id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("s1", "s2", "s3", "labels")))
     classes = store(classes.select("sa", "sb", "n", F.col("at.doc_id").alias("cls"), F.col("at.th").alias("th"), "s1", "s2", "s3", "labels"), "classes")
     leaves = classes.select("cls", "n", "s1", "s2", "s3", F.explode("labels").alias("l")).select("l.region", "l.deep", "cls", "n", "s1", "s2", "s3")
-    cut = store(_cut(leaves, REGION), "leaves")
-    wanted = cut.select("cls").distinct().join(classes.select("cls", "th"), "cls")
+    cut, wide = _cut(leaves, REGION)
+    cut = store(cut, "leaves")
+    wanted = cut.select("cls").unionByName(wide.select("cls")).distinct().join(classes.select("cls", "th"), "cls")
     texts = rows.join(wanted.select(F.col("cls").alias("doc_id"), "th"), ["doc_id", "th"]).select(F.col("doc_id").alias("cls"), "text")
     texts = store(texts, "texts")
 
     pairs = map_arrow(cut.withColumn("comp", F.col("cls")).repartition(parts, "region"), _regions(True), "a long, b long").distinct()
     links = _linked(pairs, texts)
     first = components(links)
+    several = not wide.isEmpty()
+    if several:
+        hubs = _linked(_with_hubs(_split(wide, first), links), texts)
+        links = links.unionByName(hubs)
+        first = components(_edges(first).unionByName(hubs))
     joined = cut.join(first, cut["cls"] == first["node"], "left").select("region", *ROW, F.coalesce("component", "cls").alias("comp"))
     pairs = map_arrow(joined.repartition(parts, "region"), _regions(False), "a long, b long").distinct()
     more = _linked(pairs, texts)
+    if several:
+        # Another hub may show now, where stars share a region; what is left then meets pair by pair.
+        links = links.unionByName(more)
+        hubs = _linked(_with_hubs(_split(wide, components(_edges(first).unionByName(more))), links), texts)
+        more = more.unionByName(hubs)
+        more = more.unionByName(_linked(_rest(_split(wide, components(_edges(first).unionByName(more))), parts, BLOCK), texts))
     # Rows that repeat a doc_id with other texts are one node already: classes that share it as a member link.
     same = real.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("sa").alias("x"), F.max("sa").alias("y")).filter("x <> y").select("doc_id")
     member = real.join(same, "doc_id").join(classes.select("sa", "sb", "n", "cls"), ["sa", "sb", "n"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-    whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(member))
+    whole = components(_edges(first).unionByName(more).unionByName(member))
     named = classes.join(whole, classes["cls"] == whole["node"], "left").select("sa", "sb", "n", F.coalesce("component", "cls").alias("component_id"))
     out = signed.drop("labels", "s1", "s2", "s3").join(named, ["sa", "sb", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
