@@ -163,6 +163,40 @@ def test_lm_scores(spark, docs):
             assert got[d].loss_difference is None
 
 
+@pytest.mark.parametrize("hot", [None, 0, 30])
+def test_lm_scores_are_exact(spark, monkeypatch, hot):
+    """Two bigrams of frequent pieces that share a hashed cell of 2^21, one of them rare, keep counts of their own."""
+    sp = vocab.pieces()
+    word = [i for i in range(sp.get_piece_size()) if re.fullmatch("▁[a-z]{3,}", sp.id_to_piece(i)) and sp.encode(sp.id_to_piece(i)[1:]) == [i]][:2000]
+    left, right = (np.array(x) for x in zip(*((a, b) for a in word[:150] for b in word[-150:]), strict=True))
+    at = lm_scoring.cell(left, right, 1 << 21)
+    order = np.argsort(at, kind="stable")
+    i, j = next((a, b) for a, b in zip(order[:-1], order[1:], strict=True) if at[a] == at[b] and left[a] != left[b] and right[a] != right[b])
+    (a, b), (c, d) = ((sp.id_to_piece(int(left[k]))[1:], sp.id_to_piece(int(right[k]))[1:]) for k in (i, j))
+    texts = [f"{a} {b} " * 40 + "end", f"{c} x " * 40, f"y {d} " * 40, f"{c} {d}", "", None]
+    rows = list(enumerate(texts))
+    if hot is not None:
+        monkeypatch.setattr(lm_scoring, "HOT_MOST", hot, raising=False)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), labels).collect()}
+    ids = {k: sp.encode(t or "") for k, t in rows}
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for k, x in ids.items():
+        for m in (0, 1) if k in (0, 2) else (1,):
+            uni[m].update(x + [-1] * bool(x))
+            bi[m].update(zip([-1, *x], x, strict=False))
+    n = [sum(u.values()) - u[-1] for u in uni]
+    scale, v = (1.0, n[0] / n[1]), sp.get_piece_size()
+
+    def loss(m, h, w):
+        p = (uni[m][w] * scale[m] + 0.5) / (n[m] * scale[m] + v / 2)
+        return -np.log((bi[m][h, w] * scale[m] + lm_scoring.PRIOR * p) / (uni[m][h] * scale[m] + lm_scoring.PRIOR))
+
+    for k, x in ids.items():
+        want = np.mean([loss(0, h, w) - loss(1, h, w) for h, w in zip([-1, *x], x, strict=False)]) if x else None
+        assert got[k].n_tokens == len(x) and (got[k].loss_difference == pytest.approx(want, abs=1e-9) if x else got[k].loss_difference is None)
+
+
 def test_token_file(docs, spark, tmp_path):
     rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     ids = [[*e.ids, 1] for e in vocab.word_bpe().encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]

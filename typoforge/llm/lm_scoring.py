@@ -1,16 +1,19 @@
 """Operator 5, LM scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus (documents labelled good) and of the background (all documents), share
-one vocabulary: the pieces of a public SentencePiece model.  Both are built the same way from counts over whole
-corpora, background counts scaled to the target's size, so their smoothing matches.  Unigram counts are exact.
-Bigrams are counted in BUCKETS hashed cells, a fixed number of parameters that every bigram of the corpus goes
-into, each read with the bound that no bigram is more frequent than either of its pieces:
+one vocabulary: the pieces of a public SentencePiece model.  Both are built the same way from exact counts over
+whole corpora, background counts scaled to the target's size, so their smoothing matches:
 
-    p(w | h) = (min(cell(h, w), c(h), c(w)) + K * p(w)) / (c(h) + K),   p(w) = (c(w) + 1/2) / (n + V/2)
+    p(w | h) = (c(h, w) + K * p(w)) / (c(h) + K),   p(w) = (c(w) + 1/2) / (n + V/2)
 
 A document's score is the mean over its tokens of loss_target - loss_background in nats (lower: more like
-the target).  Tasks count cells, a shuffle adds them up (partial sums; it grows with the input), and the
-model, bounded by BUCKETS and the vocabulary, is broadcast.
+the target).  Tasks count their distinct bigrams, a shuffle adds them up, and the table of bigrams with their
+differences stays distributed: it grows with the input.  The HOT_MOST most frequent bigrams at most are
+broadcast and looked up in the scan; the documents' other bigrams are joined to the table by a shuffle.
+Unigram counts are sums of bigram counts, bounded by the vocabulary, and broadcast.
+
+With `buckets`, bigrams are counted in so many hashed cells instead, a model of bounded size whose cells add up
+colliding bigrams, read with the bound min(cell(h, w), c(h), c(w)); no query uses it.
 
 Defined cases: a null or empty text has no tokens and a null score; documents without a label, or with a null
 one, are background only; several labels of a document count as good if one is; with no good document the
@@ -26,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, column, map_arrow, mix, owner, ragged, steps
+from .base import U64, column, map_arrow, mix, owner, ragged, steps, store
 from .vocab import PIECES, fragments, indexed, keep_only, pieces, stored
 
-BUCKETS = 1 << 21
+#: Bigrams that are broadcast at most (16 bytes each).
+HOT_MOST = 1 << 20
 PRIOR = 50.0
 STEP = 4_000_000
 
 
-def cell(left: np.ndarray, right: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def cell(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
     """The cells of bigrams of piece ids; id -1 stands before a text."""
     return (mix((left.astype(np.int64) + 1).astype(U64) << U64(32) | right.astype(U64)) & U64(buckets - 1)).astype(np.int64)
 
@@ -67,24 +71,25 @@ class Models:
         """uni: 2 x (V + 1) (index 0: before a text), bi: 2 x buckets; row 0 the target, row 1 the background."""
         self.prior, self.v = prior, uni.shape[1] - 1
         total = uni[:, 1:].sum(axis=1).astype(float)
-        scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
-        self.uni = uni * scale[:, None]
-        self.bi = (bi * scale[:, None]).astype(np.float32)
+        self.scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
+        self.uni = uni * self.scale[:, None]
+        self.bi = (bi * self.scale[:, None]).astype(np.float32)
         n = self.uni[:, 1:].sum(axis=1)
         self.p = (self.uni + 0.5) / (n + self.v / 2)[:, None]
 
     def difference(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """loss_target - loss_background of each bigram."""
         at = cell(left, right, self.bi.shape[1])
-        logs = []
-        for k in (0, 1):
-            ch, cw = self.uni[k][left + 1], self.uni[k][right + 1]
-            both = np.minimum(self.bi[k][at], np.minimum(ch, cw))
-            logs.append(np.log((both + self.prior * self.p[k][right + 1]) / (ch + self.prior)))
+        both = [np.minimum(self.bi[k][at], np.minimum(self.uni[k][left + 1], self.uni[k][right + 1])) for k in (0, 1)]
+        return self.of_counts(left, right, both)
+
+    def of_counts(self, left: np.ndarray, right: np.ndarray, both: list[np.ndarray]) -> np.ndarray:
+        """difference() of bigrams whose scaled counts are known."""
+        logs = [np.log((both[k] + self.prior * self.p[k][right + 1]) / (self.uni[k][left + 1] + self.prior)) for k in (0, 1)]
         return logs[1] - logs[0]
 
 
-def count_cells(docs: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS) -> DataFrame:
+def count_cells(docs: DataFrame, *, model: str = PIECES, buckets: int) -> DataFrame:
     """kind (0 unigram, 1 bigram), at (id + 1, or cell), target, background: counts over all documents.
 
     docs has text and good (boolean).
@@ -115,7 +120,7 @@ def count_cells(docs: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS)
     return counted.groupBy("kind", "at").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def fit(counts: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS, prior: float = PRIOR) -> Models:
+def fit(counts: DataFrame, *, model: str = PIECES, buckets: int, prior: float = PRIOR) -> Models:
     """The models on the driver: at most V + 1 + buckets rows, whatever the corpus."""
     t = counts.toArrow()
     uni, bi = np.zeros((2, pieces(model).get_piece_size() + 1), np.int64), np.zeros((2, buckets), np.float32)
@@ -135,8 +140,124 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(good.withColumn("_good", F.lit(True)).hint("merge"), ids["doc_id"] == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("good"))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """doc_id, n_tokens, loss_difference (mean, nats per token)."""
+def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.int64) + 1) << 32 | right.astype(np.int64)
+
+
+def count_bigrams(docs: DataFrame, *, model: str = PIECES) -> DataFrame:
+    """key (left id + 1, right id), target, background: exact counts over all documents.
+
+    docs has text and good (boolean).
+    """
+
+    def out(held: list[np.ndarray]) -> np.ndarray:
+        every = np.concatenate(held, axis=1)
+        keys, inv = np.unique(every[0], return_inverse=True)
+        sums = np.zeros((2, len(keys)), np.int64)
+        for k in (0, 1):
+            np.add.at(sums[k], inv, every[k + 1])
+        return np.stack([keys, *sums])
+
+    def sent(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, t.shape[1], 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in t], names=["key", "target", "background"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for rows, _, _ in steps(batches, most=STEP):
+            ids, off = tokens(column(rows, "text"), model)
+            good = column(rows, "good").to_numpy(zero_copy_only=False)
+            keys, inv = np.unique(_key(_before(ids, off), ids), return_inverse=True)
+            mine = good[owner(off)]
+            held.append(np.stack([keys, np.bincount(inv[mine], minlength=len(keys)), np.bincount(inv, minlength=len(keys))]))
+            size += len(keys)
+            if size > 2_000_000:
+                held = [out(held)]
+                size = held[0].shape[1]
+                if size > 1_000_000:
+                    yield from sent(held[0])
+                    held, size = [], 0
+        if held:
+            yield from sent(out(held))
+
+    counted = map_arrow(docs.select("text", "good"), run, "key long, target long, background long")
+    return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _exact_models(bigrams: DataFrame, model: str, prior: float) -> Models:
+    """Models without bigrams: unigrams by their right pieces, and the texts that begin."""
+    right, first = F.col("key").bitwiseAND(0xFFFFFFFF), F.shiftright("key", 32) == 0
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    begun = [F.sum(F.when(first, F.col(c)).otherwise(0)).alias(f"{c}_first") for c in ("target", "background")]
+    t = bigrams.groupBy((right + 1).alias("at")).agg(*sums, *begun).toArrow()
+    uni = np.zeros((2, pieces(model).get_piece_size() + 1), np.int64)
+    for k, name in enumerate(("target", "background")):
+        uni[k][t["at"].to_numpy()] = t[name].to_numpy()
+        uni[k][0] = t[f"{name}_first"].to_numpy().sum()
+    return Models(uni, np.zeros((2, 1)), prior)
+
+
+def _hot(bigrams: DataFrame, most: int) -> tuple[int, bool]:
+    """(the least power of two whose bigrams, those as frequent or more, are at most `most`; whether these are all)."""
+    by = {r.b: r.n for r in bigrams.groupBy(F.floor(F.log2("background")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
+    least, total = 64, 0
+    for b in sorted(by, reverse=True):
+        if total + by[b] > most:
+            break
+        least, total = b, total + by[b]
+    return least, total == sum(by.values())
+
+
+def _score_exactly(docs: DataFrame, labels: DataFrame, model: str, prior: float) -> DataFrame:
+    spark = docs.sparkSession
+    bigrams = store(count_bigrams(with_target(docs, labels), model=model), "bigrams")
+    models = spark.sparkContext.broadcast(_exact_models(bigrams, model, prior))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = models.value
+        for b in batches:
+            key = column(b, "key").to_numpy()
+            both = [column(b, c).to_numpy() * m.scale[k] for k, c in enumerate(("target", "background"))]
+            yield pa.RecordBatch.from_arrays([column(b, "key"), pa.array(m.of_counts((key >> 32) - 1, key & 0xFFFFFFFF, both))], names=["key", "difference"])
+
+    least, whole = _hot(bigrams, HOT_MOST)
+    frequent = bigrams.filter(F.col("background") >= F.lit(2.0) ** least)
+    t = map_arrow(frequent, differences, "key long, difference double").toArrow()
+    key, value = t["key"].to_numpy(), t["difference"].to_numpy()
+    order = np.argsort(key)
+    hot = spark.sparkContext.broadcast((key[order], value[order]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = hot.value
+        for rows, _, _ in steps(batches, most=STEP):
+            ids, off = tokens(column(rows, "text"), model)
+            mine = _key(_before(ids, off), ids)
+            at = np.searchsorted(key, mine)
+            known = np.zeros(len(mine), bool)
+            inside = at < len(key)
+            known[inside] = key[at[inside]] == mine[inside]
+            n, doc = np.diff(off), owner(off)
+            total = np.bincount(doc[known], value[at[known]], len(n))[: len(n)]
+            miss = np.flatnonzero(~known)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(miss, off).astype(np.int32)), pa.array(mine[miss]))
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(n.astype(np.int64)), pa.array(total.astype(float)), lists], names=["doc_id", "n_tokens", "known", "rest"])
+
+    scanned = map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, known double, rest array<long>")
+    mean = F.when(F.col("n_tokens") > 0, (F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))
+    if whole:
+        return scanned.withColumn("more", F.lit(0.0)).select("doc_id", "n_tokens", mean.alias("loss_difference"))
+    scanned = store(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rare = map_arrow(bigrams.filter(F.col("background") < F.lit(2.0) ** least), differences, "key long, difference double")
+    entries = scanned.select("row", F.explode("rest").alias("key"))
+    more = entries.join(rare, "key").groupBy("row").agg(F.sum("difference").alias("more"))
+    return scanned.join(more, "row", "left").select("doc_id", "n_tokens", mean.alias("loss_difference"))
+
+
+def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, buckets: int | None = None, prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_tokens, loss_difference (mean, nats per token); buckets: bigrams in hashed cells instead of exact ones."""
+    if buckets is None:
+        return _score_exactly(docs, labels, model, prior)
     spark = docs.sparkSession
     models = spark.sparkContext.broadcast(fit(count_cells(with_target(docs, labels), model=model, buckets=buckets), model=model, buckets=buckets, prior=prior))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
