@@ -66,6 +66,25 @@ def test_fixers(spark, built):
     assert fixed(fixers.SpellFix(spark.createDataFrame([("tech", 5)], "word string, n long"))) == [("teh", "tech")]
 
 
+def test_spelling_with_two_edits(spark, data):
+    s = spark.createDataFrame([(1, "teh = 1\nprint(teh)\n", ["teh"])], "sample_index long, code string, names array<string>")
+    fixed = fixers.SpellFix(spark.createDataFrame([("the", 5)], "word string, n long")).fix(s)
+    assert [(r.corrupted, r.fixed) for r in fixed.collect()] == [("teh", "the")]
+    import duckdb
+
+    from typoforge.queries import QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"""create table w as select word, count(*) filter (lang = 'en') as n from
+        (select lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) as word, lang from '{data}/documents.parquet') group by 1""")
+    con.execute("create table u as select word from w where n = 0 order by hash(word) limit 60")
+    want = con.execute("select u.word, w.word, w.n, levenshtein(u.word, w.word) from u, w where w.n > 0 and levenshtein(u.word, w.word) <= 2").fetchall()
+    some = {r[0] for r in con.execute("select word from u").fetchall()}
+    got = QUERIES["spell_candidates_whole"](spark, data).collect()
+    assert sorted((r.word, r.candidate, r.n, r.distance) for r in got if r.word in some) == sorted(want)
+    assert {r.distance for r in got} == {1, 2} and any(r.n < 100 for r in got)
+
+
 def test_sample_files(spark, built, tmp_path):
     path = str(tmp_path / "s")
     sinks.write_samples(built.select(*SAMPLE.names), path)

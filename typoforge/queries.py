@@ -466,17 +466,28 @@ def position_diff(spark, sf_dir):
     return R.position_diff(e, e)
 
 
+def _spelled_words(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
+    return w.groupBy("word").agg(F.count("*").alias("all"), F.count_if(F.col("lang") == "en").alias("n"))
+
+
 @query("""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word, lang FROM documents), d AS (SELECT word, count(*) AS n FROM w WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 100),
 u AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM d)),
 lk AS (SELECT word, word AS key FROM u UNION SELECT word, word[:i] || word[i+2:] FROM (SELECT word, unnest(range(len(word))) AS i FROM u)),
 rk AS (SELECT word AS candidate, n, word AS key FROM d UNION SELECT word, n, word[:i] || word[i+2:] FROM (SELECT word, n, unnest(range(len(word))) AS i FROM d))
 SELECT DISTINCT word, candidate, n, levenshtein(word, candidate)::INT AS distance FROM lk JOIN rk USING (key) WHERE levenshtein(word, candidate) <= 1""")
 def spell_candidates(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
-    counts = w.groupBy("word").agg(F.count("*").alias("all"), F.count_if(F.col("lang") == "en").alias("n"))
+    counts = _spelled_words(spark, sf_dir)
     return R.spell_candidates(counts, counts.filter("n >= 100").select("word", "n"), 1)
 
 
+@query()
+def spell_candidates_whole(spark, sf_dir):
+    """Two edits and every English word; tested against brute force."""
+    counts = _spelled_words(spark, sf_dir)
+    return R.spell_candidates(counts, counts.filter("n > 0").select("word", "n"))
+
+
 @query("""WITH t AS (SELECT conv_id AS sample_index, turn, string_split(text, ' ') AS t FROM conversations), k AS (SELECT sample_index, turn, unnest(range(len(t))) AS pos, unnest(t) AS text FROM t),
 e AS (SELECT DISTINCT sample_index, text AS corrupted FROM k WHERE len(text) = 5), v AS (SELECT word AS tag, (row_number() OVER (ORDER BY n DESC, word) + 2)::INT AS idx FROM (SELECT corrupted AS word, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 2))
 SELECT k.sample_index, k.turn, k.pos::INT AS pos, k.text, CASE WHEN NOT regexp_matches(k.text, '^[A-Za-z]') THEN 0 WHEN e.corrupted IS NULL THEN 0 ELSE coalesce(v.idx, 2) END::INT AS label
