@@ -303,6 +303,14 @@ def test_pii(docs):
     assert clean.columns == docs.columns and all(not pii.brute(x.text or "") for x in clean.collect() if x.doc_id is not None)
 
 
+def test_ibans_after_a_cue():
+    raw = "DE89 3704 0044 0532 0130 00"
+    for t in (f"IBAN: {raw} BIC COBADEFFXXX", f"iban for payments by bank transfer only: {raw}", f"IBAN AB12 3456 7890 1234 or {raw}.", f"IBAN:{raw.replace(' ', '')}", f"IBAN{raw}", "IBAN" + "." * 59 + raw):
+        assert [t[s:e].replace(" ", "") for k, s, e in pii.find(t) if k == "iban"] == [raw.replace(" ", "")], t
+        assert raw not in pii.scrubbed(t)
+    assert not [x for x in pii.find(f"IBAN {raw[:-1]}1 BIC") if x[0] == "iban"]
+
+
 def test_quality(docs, spark):
     want = [{"doc_id": x[0], **quality.brute(x[1])} for x in corpus()]
     assert pairs(quality.measure(docs), *want[0]) == expect(want)

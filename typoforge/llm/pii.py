@@ -39,7 +39,10 @@ URL = ALPHA | DIGITS | frozenset("-._~:/?#[]@!$&'()*+,;=%")
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("account", "acct", "a/c", "konto", "compte", "cuenta", "iban", "IBAN", "Account", "Acct", "Konto", "Compte", "Cuenta")
 _AFTER_CUE = re.compile(r"(?:\.| ?(?:no|number|nr|num)\b\.?| ?#)?[ ]?[:#=]?[ ]?([0-9](?:[ -]?[0-9]){5,13})(?![0-9])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_NEXT = re.compile(r" ?[A-Z0-9]")
+#: Characters after a cue in which an IBAN can start; its end is not bounded by them.
+IBAN_REACH = 60
 
 
 @lru_cache(1)
@@ -88,6 +91,23 @@ def iban(text: str) -> bool:
     return 15 <= len(raw) <= 34 and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
 
 
+def _iban(text: str, at: int, least: int) -> tuple[int, int] | None:
+    """The first valid IBAN that starts within IBAN_REACH characters after `at`: at each country code the longest end
+    before a non-alphanumeric character for which mod 97 holds."""
+    for m in _IBAN_START.finditer(text, at, min(len(text), at + IBAN_REACH + 6)):
+        if m.start() < least or m.start() >= at + IBAN_REACH:
+            continue
+        ends, end, size = [], m.end(), 4
+        while size < 34 and (more := _IBAN_NEXT.match(text, end)):
+            end, size = more.end(), size + 1
+            if size >= 15 and not text[end : end + 1].isalnum():
+                ends.append(end)
+        for end in reversed(ends):
+            if iban(text[m.start() : end]):
+                return m.start(), end
+    return None
+
+
 def _email(text: str, at: int, least: int) -> tuple[int, int, bool] | None:
     start = _left(text, at, least, LOCAL)
     end = _right(text, at + 1, LABEL)
@@ -166,9 +186,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if kind == "account":
             if at and text[at - 1].isalnum():
                 continue
-            if text[at : last + 1].lower() == "iban" and (m := _IBAN.search(text, last + 1, last + 60)) and m.start() >= done["iban"] and iban(m[0]):
-                spans["iban"].append((m.start(), m.end()))
-                done["iban"] = m.end()
+            if text[at : last + 1].lower() == "iban" and (found := _iban(text, last + 1, done["iban"])):
+                spans["iban"].append(found)
+                done["iban"] = found[1]
                 continue
             got = _account(text, last + 1, 0)
             if got and got[0] >= done[kind]:
