@@ -249,21 +249,33 @@ def exact_components(rows):
 def test_near_duplicates(docs):
     want = exact_components([(r[0], r[1]) for r in corpus()])
     assert pairs(near_dedup.near_digest(docs), *want[0]) == expect(want)
-    assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
+    clash = docs.withColumnsRenamed({"pos": "_id", "key": "id", "n": "hash"})
+    kept = near_dedup.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns
+    ids = [x.doc_id for x in kept.collect()]
+    assert sorted(x for x in ids if x is not None) == sorted({x["doc_id"] for x in want if x["kept"] and x["doc_id"] is not None})
 
 
-def test_near_duplicates_in_large_regions(spark, monkeypatch):
+def test_near_duplicates_of_one_link(spark):
+    """3,000 copies that differ by a word each, and outliers that link with exactly one of them."""
     r = random.Random(2)
-    base = [f"w{r.randint(0, 10**6)}" for _ in range(200)]
-    rows = []
-    for i in range(90):
-        copy = list(base)
-        for k in r.sample(range(200), r.randint(1, 2)):
-            copy[k] = f"v{i}"
-        rows.append((i, " ".join(copy)))
-    monkeypatch.setattr(near_dedup, "REGION", 16)
-    got = near_dedup.near_digest(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert pairs(got, "doc_id", "n_shingles", "component_id", "kept") == expect(exact_components(rows))
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, tag, places):
+        return [f"{tag}x{k}" if k in places else w for k, w in enumerate(words)]
+
+    copies = [changed(base, f"c{i}", {5 + i % 190}) for i in range(3000)]
+    rows = [(i, " ".join(c)) for i, c in enumerate(copies)]
+    for i in range(120):
+        parent = 25 * i
+        places = r.sample([k for k in range(8, 192, 12) if abs(k - 5 - parent % 190) > 8], 3)
+        rows.append((4000 + i, " ".join(changed(copies[parent], f"o{i}", set(places)))))
+    sets = {d: shingle_set(t) for d, t in rows}
+    for d in range(4000, 4120):
+        near = [i for i in range(3000) if 100 * len(sets[d] & sets[i]) >= 85 * len(sets[d] | sets[i])]
+        assert near == [25 * (d - 4000)]
+    got = near_dedup.near_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {x.component_id for x in got.collect()} == {0}
 
 
 def test_near_duplicates_of_one_source(spark):

@@ -52,14 +52,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, text: th tells apart rows that repeat a doc_id with another text; a null text is empty."""
+    """doc_id, th, text: th (64 bits) tells apart rows that repeat a doc_id with another text; a null text is empty."""
     return docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        F.hash(F.col(f"`{text_col}`")).alias("th"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("th"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches small enough for texts of any usual length."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -99,10 +111,10 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def filled(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """The batches with a last column _whole: the named text column with nulls as empty texts."""
+def filled(batches: Iterator[pa.RecordBatch], name: str, whole: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a last column `whole`: the named text column with nulls as empty texts."""
     for b in batches:
-        yield b.append_column("_whole", pc.fill_null(column(b, name), ""))
+        yield b.append_column(whole, pc.fill_null(column(b, name), ""))
 
 
 # --------------------------------------------------------------------------- words

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM, LOWER, U64, column, filled, keyed, map_arrow, owner, prefix, span, steps, word_hashes, words
+from .base import ALNUM, LOWER, U64, column, filled, fresh, keyed, map_arrow, owner, prefix, span, steps, word_hashes, words
 
 NGRAM = 10
 BLOCK_BYTES = 32_000_000
@@ -104,7 +104,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, block_b
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col=id_col, text_col=text_col)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th int, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"
     parts, blocks = [], 1
     for blocks, windows in _item_blocks(benchmark, n, block_bytes, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(windows)
@@ -177,23 +177,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
     if mode == "documents":
+        (whole,) = fresh(docs, "whole")
         # Each block of items drops what it hits, in place: no join, whatever the number of blocks.
         for _, windows in _item_blocks(benchmark, n, block_bytes, "item_id", "text"):
             sent = docs.sparkSession.sparkContext.broadcast(windows)
 
             def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                for rows, data, off in steps(filled(batches, "text"), "_whole"):
+                for rows, data, off in steps(filled(batches, "text", whole), whole):
                     low = LOWER[data]
                     starts, ends, word_off = words(low, off, ALNUM)
                     hit, _ = sent.value.scan(low, starts, ends, word_off)
                     bad = np.zeros(rows.num_rows, bool)
                     bad[np.searchsorted(word_off, np.flatnonzero(hit), side="right") - 1] = True
-                    yield rows.filter(pa.array(~bad)).drop_columns(["_whole"])
+                    yield rows.filter(pa.array(~bad)).drop_columns([whole])
 
             docs = map_arrow(docs, clean, docs.schema)
         return docs
-    found = find_leaks(docs, benchmark, n=n, block_bytes=block_bytes).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("hits").alias("_hits")).dropDuplicates(["_id", "_th"])
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.hash(docs["text"]) == F.col("_th"))
+    i, h, hits = fresh(docs, "id", "hash", "hits")
+    found = find_leaks(docs, benchmark, n=n, block_bytes=block_bytes).filter("n_hit > 0").dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("hits").alias(hits))
+    on = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h))
 
     @F.pandas_udf("string")
     def cut(texts, hits):
@@ -211,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
             out.append(b"".join([*keep, raw[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    return docs.join(found, on, "left").withColumn("text", cut("text", "_hits")).select(*docs.columns)
+    return docs.join(found, on, "left").withColumn("text", cut("text", hits)).select(*docs.columns)
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

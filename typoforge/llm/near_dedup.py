@@ -2,25 +2,25 @@
 
 Every document's distinct 5-word shingles (A-Z lower-cased) give TREES sorted signature orders of DEPTH
 min-hashes each.  Documents with equal shingle sets are one class from here on.  In every order, classes that
-share a prefix of at least LEAST min-hashes are a region; candidates are the classes whose longest common
-prefix puts them into one region, and the depth adapts to the region: where more than REGION classes share a
-prefix, the region is cut at the next min-hash, and where they share all of them, by a salted hash whose
-parts' first members form a region again.
-
-Verification takes rounds, each on the full shingle sets (100 * intersection >= 85 * union): first
-neighbours in every order, which joins most of each group along a path; then every class of a region that was
-cut meets the region's most linked class (the source of a star of copies); then every candidate pair of every
-order whose classes are not yet in one component.  What cutting a region took apart is made up for at last:
-every class outside the region's largest component meets all others of other components.  So no pair of a
-region is left out, and the pairs grow with the documents unless many classes of a region stay unlinked.  Candidates are sifted before that by the lowest bits of all 192 min-hashes: a pair at 0.85
-differs in over 32 of them with probability 7e-6, and such pairs aren't verified.
+share a prefix of at least LEAST min-hashes are a region, and neighbours in the order, which have the longest
+common prefix of the region, are candidates: the depth adapts to how crowded a region is.  An order is dealt by
+ranges, so no region gathers in one task, and streamed, so memory is a batch.
+
+Candidates are verified on the full shingle sets (100 * intersection >= 85 * union) in three kinds of rounds:
+neighbours of every order, which joins most of each group along a path; every class of a region of several
+components with the region's most linked class (the source of a star of copies), until that finds nothing or
+HUB_ROUNDS times; at last, all classes of regions that still have several components by a prefix join of their
+sets.  That join is exact: no pair of different components is left out, however large a region is, and rare
+shingles keep its candidates few.  The first two kinds only save work; they are sifted by the lowest bits of all
+192 min-hashes.
 
 At similarity 0.85, a pair shares 5 of 8 min-hashes' prefix in none of 24 orders with probability 8e-7.
 
 Texts: words are runs of bytes other than ASCII white space; with fewer than five words the whole sequence is one
 shingle; null or wordless texts have none and link with nothing.  Rows that repeat a doc_id are one node
 (linked by it); rows with a null doc_id link with nothing, have a null component_id and are kept.  doc_id is an
-integer; other columns are ignored; an empty table gives an empty result.
+integer; other columns are ignored, whatever their names; an empty table gives an empty result; a very long text is
+a step of its own, and its set is held whole.
 """
 
 from __future__ import annotations
@@ -32,19 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, SPACED, U64, column, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
+from .base import LOWER, SPACED, U64, column, fresh, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
 from .components import components
 
 TREES = 24
 DEPTH = 8
 LEAST = 5
-REGION = 64
-#: Classes of a region that was cut which one block of the last round holds.
-BLOCK = 512
+#: Rounds with the most linked classes before the prefix join.
+HUB_ROUNDS = 2
 PERCENT = 85
 SHINGLE = 5
-#: Bits of the sketch by which candidates are sifted, and how many may differ: five standard deviations beyond
-#: what a pair of similarity 0.85 differs in.
+#: Bits of the sketch by which candidates of the first rounds are sifted, and how many may differ.
 SKETCH = 192
 DIFFER = 32
 
@@ -124,72 +122,40 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "th"), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(sketch[:, k].copy()) for k in range(3)), lists], names=["doc_id", "th", "n", "sa", "sb", "s1", "s2", "s3", "labels"])
 
 
-def _regions(first_only: bool):
-    """Candidate pairs of small regions: rows come with all of a region in one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        order = np.lexsort(tuple(t[c].to_numpy() for c in ("cls", "deep", "region")))
-        region, cls, n, comp = (t[c].to_numpy()[order] for c in ("region", "cls", "n", "comp"))
-        sketch = [t[c].to_numpy()[order].view(U64) for c in ("s1", "s2", "s3")]  # bitwise_count takes absolute values of signed numbers
-        reach = 1 if first_only else REGION - 1
-        left, right = [], []
-        for k in range(1, reach + 1):
-            i = np.flatnonzero(region[k:] == region[:-k]) if k < len(region) else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            j = i + k
-            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            ok = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= DIFFER
-            left.append(cls[i[ok]])
-            right.append(cls[j[ok]])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield from _pairs(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-
-    return run
-
-
-#: What a class carries in each order.
-ROW = ("deep", "cls", "n", "s1", "s2", "s3")
-
-
-def _cut(leaves: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(leaves with regions of at most `most` classes: deeper prefixes where more share one, then salted parts;
-    the regions that were cut, whole)."""
-    done, rest, wide = [], leaves.select("region", *ROW), None
-    for depth in range(LEAST, DEPTH + 1):
-        bits = 16 * (DEPTH - depth)
-        key = rest.withColumn("key", F.xxhash64("region", F.shiftrightunsigned("deep", bits), F.lit(depth)) if depth > LEAST else F.col("region"))
-        sizes = key.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = store(key.join(sizes, "key"), "regions")
-        done.append(sized.filter(F.col("size") <= most).select(F.col("key").alias("region"), *ROW))
-        rest = sized.filter(F.col("size") > most).select("region", *ROW, "key", "size")
-        wide = rest.select("region", *ROW, "size") if wide is None else wide
-        if depth < DEPTH:
-            if rest.isEmpty():
-                rest = None
-                break
-            rest = rest.select("region", *ROW)
-    while rest is not None and not rest.isEmpty():
-        # All of `key` share every min-hash: parts of about half of `most`, then the parts' first members again.
-        parts = F.ceil(2 * F.col("size") / most)
-        part = store(rest.withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("cls", "key"), parts))), "parts")
-        heads = part.groupBy("key", "part").agg(F.min("cls").alias("cls"), F.count("*").alias("members"))
-        done.append(part.select(F.col("part").alias("region"), *ROW))
-        up = part.join(heads.select("part", "cls"), ["part", "cls"]).select("region", *ROW, "key")
-        size = up.groupBy("key").agg(F.count("*").alias("size"))
-        up = store(up.join(size, "key").withColumn("key", F.xxhash64("key", F.lit(1))), "heads")
-        done.append(up.filter(F.col("size") <= most).select(F.col("key").alias("region"), *ROW))
-        rest = up.filter(F.col("size") > most)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, wide
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of regions, each with the class before it in the order (null where that is of another region).
+
+    Rows come sorted by (region, deep, cls), and only the last one of a batch is held.  The first and the last row of
+    a partition are always members, as the rest of their region may stand in the next partition.
+    """
+    last, first = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        region, cls = (column(b, c).to_numpy() for c in ("region", "cls"))
+        if last is None:
+            before, had = cls[0], False
+        else:
+            before, had = last[2:]
+            region, cls = np.append(last[0], region), np.append(last[1], cls)
+        prev = np.append(before, cls[:-1])
+        has = np.append(had, region[1:] == region[:-1])
+        member = has | np.append(has[1:], False)
+        member[0] |= first
+        last = region[-1], cls[-1], prev[-1], has[-1]
+        if len(region) > 1:
+            first = False
+            yield _members(region[:-1], cls[:-1], prev[:-1], has[:-1], member[:-1])
+    if last is not None:
+        yield _members(*(np.array([x]) for x in last), np.ones(1, bool))
+
+
+def _members(region: np.ndarray, cls: np.ndarray, prev: np.ndarray, has: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(region[member]), pa.array(cls[member]), pa.array(prev[member], mask=~has[member])], names=["region", "cls", "prev"])
+
+
+#: What a class is sifted by.
+ROW = ("n", "s1", "s2", "s3")
 
 
 def _sifted(a: str, b: str) -> F.Column:
@@ -204,77 +170,99 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def _split(wide: DataFrame, components: DataFrame) -> DataFrame:
-    """wide with comp; only regions of several components."""
-    wide = wide.select("region", "cls", "n", "s1", "s2", "s3", "size")
-    rows = wide.join(components, wide["cls"] == components["node"], "left").select(*wide.columns, F.coalesce("component", "cls").alias("comp"))
-    rows = store(rows, "wide")
+def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with comp; only regions of several components."""
+    rows = members.join(found, members["cls"] == found["node"], "left").select("region", "cls", *ROW, F.coalesce("component", "cls").alias("comp"))
+    rows = store(rows, "split")
     several = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
-    return rows.join(several, "region")
+    return store(rows.join(several, "region"), "several")
 
 
 def _with_hubs(split: DataFrame, links: DataFrame) -> DataFrame:
     """Candidate pairs of each region's most linked class with all others."""
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     degree = ends.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("degree"))
-    me = F.struct("cls", "n", "s1", "s2", "s3", "comp")
+    me = F.struct("cls", *ROW, "comp")
     hubs = split.join(degree, "cls").groupBy("region").agg(F.max_by(me, F.struct("degree", "cls")).alias("x"))
     both = split.select("region", me.alias("y")).join(hubs, "region").filter(_sifted("x", "y"))
     return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of probes with the members of a block: rows come with all of a (region, block) in one partition."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    order = np.lexsort(tuple(t[c].to_numpy() for c in ("cls", "probe", "block", "region")))
-    region, block, probe, cls, n, comp = (t[c].to_numpy()[order] for c in ("region", "block", "probe", "cls", "n", "comp"))
-    sketch = [t[c].to_numpy()[order].view(U64) for c in ("s1", "s2", "s3")]
-    new = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (block[1:] != block[:-1])]))
-    held, size = [], 0
-    for s, e in zip(new, np.append(new[1:], len(region)), strict=True):
-        mid = s + int(np.searchsorted(probe[s:e], 1))
-        base = np.arange(s, mid)
-        step = max(1, 1_000_000 // max(len(base), 1))
-        for p in range(mid, e, step):
-            q = np.arange(p, min(p + step, e))
-            ok = comp[q][:, None] != comp[base][None, :]
-            ok &= 100 * np.minimum(n[q][:, None], n[base][None, :]) >= PERCENT * np.maximum(n[q][:, None], n[base][None, :])
-            i, j = np.nonzero(ok)
-            i, j = q[i], base[j]
-            near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in sketch) <= DIFFER
-            i, j = cls[i[near]], cls[j[near]]
-            if len(i):
-                held.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
-                size += len(i)
-            if size > 1_000_000:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > 500_000:
-                    yield from _pairs(held[0])
-                    held = []
-                size = sum(map(len, held))
-    if held:
-        yield from _pairs(np.unique(np.concatenate(held), axis=0))
-
-
-def _pairs(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(pairs), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], names=["a", "b"])
-
-
-def _rest(split: DataFrame, parts: int, block: int) -> DataFrame:
-    """Every candidate pair of the regions: each class outside a region's largest component with all of the others.
-
-    A region's classes are dealt into blocks once; those outside the largest component go to each block besides.
+def _least(n: np.ndarray) -> np.ndarray:
+    """The least size of a set that can be linked with one of n."""
+    return -(-PERCENT * n // 100)
+
+
+def _needed(both: np.ndarray) -> np.ndarray:
+    """How many shingles two sets that are linked share at least, by the sum of their sizes."""
+    return -(-PERCENT * both // (100 + PERCENT))
+
+
+def _bounds(most: int) -> np.ndarray:
+    """The least size of every bucket of sizes, each about a 25th wider than the last."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 26 // 25))
+    return np.array(out, np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with the roles that they have in the prefix join: (bucket of the smaller set's size, whether this is the
+    larger one, the last place of a shingle, in the order of shingles, that a link must share one up to)."""
+    role = pa.struct([("b", pa.int32()), ("large", pa.bool_()), ("last", pa.int64())])
+    for rows, data, off in steps(batches):
+        h, soff = shingles(data, off)
+        n = np.diff(soff)
+        bounds = _bounds(int(n.max(initial=1)))
+        own, low = (np.searchsorted(bounds, x, side="right") - 1 for x in (n, _least(n)))
+        count = own - low + 1
+        doc, b = np.repeat(np.arange(len(n)), count), ragged(low, count)
+        last = n[doc] - _needed(n[doc] + np.maximum(bounds[b], _least(n[doc])))
+        # Each set's roles as the larger one, by bucket, and behind them the one as the smaller.
+        at = np.cumsum(count)
+        made = pa.StructArray.from_arrays([pa.array(x) for x in (np.insert(b, at, own).astype(np.int32), np.insert(np.ones(len(b), bool), at, False), np.insert(last, at, n - _needed(2 * n)))], fields=list(role))
+        roles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at + np.arange(1, len(n) + 1)]).astype(np.int32)), made)
+        lists = pa.ListArray.from_arrays(pa.array(soff.astype(np.int32)), pa.array(h.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([column(rows, "cls"), column(rows, "comp"), pa.array(n), roles, lists], names=["cls", "comp", "n", "roles", "h"])
+
+
+def _apart(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs of all classes of regions with several components, by prefixes of their sets, rarest shingles first.
+
+    Sets of s <= l shingles at PERCENT share at least o = ceil(PERCENT * (s + l) / (100 + PERCENT)), so in any order of
+    all shingles they share one among the first s - o + 1 and l - o + 1.  In the order of their frequency those of most
+    texts occur nowhere else, and only shared shingles become rows.  Rows meet by shingle and bucket of the smaller
+    set's size; where one component has most rows of such a key, these don't meet each other.
     """
-    large = split.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    rows = split.join(large, "region").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    base = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(0))
-    probes = rows.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
-    dealt = base.unionByName(probes).select("region", "block", "probe", "cls", "n", "comp", "s1", "s2", "s3")
-    return map_arrow(dealt.repartition(parts, "region", "block"), _across, "a long, b long").distinct()
+    who = split.select("cls", "comp").distinct()
+    sets = store(map_arrow(texts.join(who, "cls").select("cls", "comp", "text"), _sets, "cls long, comp long, n long, roles array<struct<b:int,large:boolean,last:long>>, h array<long>"), "sets")
+    each = sets.select("cls", F.explode("h").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = each.join(often, "x").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("order"))
+    most = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1 - F.col("alone")
+    shared = shared.join(sets.drop("h"), "cls").withColumn("alone", F.col("n") - F.size("order"))  # shingles of this set only come first
+    places = shared.select("cls", "comp", "n", "roles", "alone", F.posexplode(F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("at", "e"))
+    placed = places.select("cls", "comp", "n", (F.col("alone") + F.col("at")).alias("at"), "e.x", F.explode("roles").alias("r")).filter("at <= r.last")
+    index = store(placed.select("x", "r.b", "r.large", "cls", "comp", "n", "at"), "prefixes")
+    counts = index.groupBy("x", "b", "comp").agg(F.count("*").alias("k"))
+    several = counts.groupBy("x", "b").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    index = store(index.join(several, ["x", "b"]).withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "keys")
+    s, l = index.filter("not large").alias("s"), index.filter("large").alias("l")  # noqa: E741
+    need = F.ceil(PERCENT * (F.col("s.n") + F.col("l.n")) / (100 + PERCENT))
+    smaller = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.cls") < F.col("l.cls")))
+    early = (F.col("s.at") <= F.col("s.n") - need) & (F.col("l.at") <= F.col("l.n") - need)
+    sized = 100 * F.col("s.n") >= PERCENT * F.col("l.n")
+    on = (F.col("s.x") == F.col("l.x")) & (F.col("s.b") == F.col("l.b")) & smaller & sized & early & (F.col("s.comp") != F.col("l.comp"))
+    pair = F.least("s.cls", "l.cls").alias("a"), F.greatest("s.cls", "l.cls").alias("b")
+    met = s.filter("minor").join(l, on).select(*pair).unionByName(s.filter("not minor").join(l.filter("minor"), on).select(*pair))
+    return met.distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that hold on their full texts."""
+    one = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return store(map_arrow(two, _verify, "a long, b long"), "links")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,51 +289,41 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column(rows, "a").filter(keep), column(rows, "b").filter(keep)], names=["a", "b"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that hold on their full texts."""
-    one = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return store(map_arrow(two, _verify, "a long, b long"), "links")
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = store(map_arrow(rows, _sign, "doc_id long, th int, n long, sa long, sb long, s1 long, s2 long, s3 long, labels array<struct<region:long,deep:long>>"), "signatures")
+    signed = store(map_arrow(rows, _sign, "doc_id long, th long, n long, sa long, sb long, s1 long, s2 long, s3 long, labels array<struct<region:long,deep:long>>"), "signatures")
     # One class for each set; its node is its least doc_id.  Labels follow from the set.
     real = signed.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("sa", "sb", "n").agg(F.min(F.struct("doc_id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("s1", "s2", "s3", "labels")))
     classes = store(classes.select("sa", "sb", "n", F.col("at.doc_id").alias("cls"), F.col("at.th").alias("th"), "s1", "s2", "s3", "labels"), "classes")
-    leaves = classes.select("cls", "n", "s1", "s2", "s3", F.explode("labels").alias("l")).select("l.region", "l.deep", "cls", "n", "s1", "s2", "s3")
-    cut, wide = _cut(leaves, REGION)
-    cut = store(cut, "leaves")
-    wanted = cut.select("cls").unionByName(wide.select("cls")).distinct().join(classes.select("cls", "th"), "cls")
-    texts = rows.join(wanted.select(F.col("cls").alias("doc_id"), "th"), ["doc_id", "th"]).select(F.col("doc_id").alias("cls"), "text")
-    texts = store(texts, "texts")
-
-    pairs = map_arrow(cut.withColumn("comp", F.col("cls")).repartition(parts, "region"), _regions(True), "a long, b long").distinct()
-    links = _linked(pairs, texts)
-    first = components(links)
-    several = not wide.isEmpty()
-    if several:
-        hubs = _linked(_with_hubs(_split(wide, first), links), texts)
-        links = links.unionByName(hubs)
-        first = components(_edges(first).unionByName(hubs))
-    joined = cut.join(first, cut["cls"] == first["node"], "left").select("region", *ROW, F.coalesce("component", "cls").alias("comp"))
-    pairs = map_arrow(joined.repartition(parts, "region"), _regions(False), "a long, b long").distinct()
-    more = _linked(pairs, texts)
-    if several:
-        # Another hub may show now, where stars share a region; what is left then meets pair by pair.
-        links = links.unionByName(more)
-        hubs = _linked(_with_hubs(_split(wide, components(_edges(first).unionByName(more))), links), texts)
-        more = more.unionByName(hubs)
-        more = more.unionByName(_linked(_rest(_split(wide, components(_edges(first).unionByName(more))), parts, BLOCK), texts))
+    # The orders, dealt by ranges of (region, deep, cls), so that a region of any size is split.
+    leaves = classes.select("cls", F.explode("labels").alias("l")).select("l.region", "l.deep", "cls")
+    order = leaves.repartitionByRange(parts, "region", "deep", "cls").sortWithinPartitions("region", "deep", "cls")
+    near = store(map_arrow(order, _neighbours, "region long, cls long, prev long"), "neighbours")
+    info = classes.select("cls", *ROW)
+    members = store(near.join(info, "cls"), "members")
+    wanted = near.select("cls").distinct().join(classes.select("cls", "th"), "cls")
+    texts = store(rows.join(wanted.select(F.col("cls").alias("doc_id"), "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("cls"), "text"), "texts")
+
+    me, other = F.struct("cls", *ROW, F.col("cls").alias("comp")), info.select(F.col("cls").alias("prev"), F.struct("cls", *ROW, F.col("cls").alias("comp")).alias("x"))
+    pairs = members.filter("prev is not null").select("prev", me.alias("y")).distinct().join(other, "prev").filter(_sifted("x", "y"))
+    links = _linked(pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), texts)
+    found = components(links)
+    split = _split(members, found)
+    for _ in range(HUB_ROUNDS):
+        hubs = _linked(_with_hubs(split, links), texts)
+        if hubs.isEmpty():
+            break
+        links, found = links.unionByName(hubs), components(_edges(found).unionByName(hubs))
+        split = _split(members, found)
+    more = _linked(_apart(split, texts), texts)
     # Rows that repeat a doc_id with other texts are one node already: classes that share it as a member link.
     same = real.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("sa").alias("x"), F.max("sa").alias("y")).filter("x <> y").select("doc_id")
     member = real.join(same, "doc_id").join(classes.select("sa", "sb", "n", "cls"), ["sa", "sb", "n"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-    whole = components(_edges(first).unionByName(more).unionByName(member))
+    whole = components(_edges(found).unionByName(more).unionByName(member))
     named = classes.join(whole, classes["cls"] == whole["node"], "left").select("sa", "sb", "n", F.coalesce("component", "cls").alias("component_id"))
     out = signed.drop("labels", "s1", "s2", "s3").join(named, ["sa", "sb", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -357,7 +335,15 @@ def near_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).drop("th")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group (of the least doc_id), all columns as they are; of rows that repeat an id, all that are kept."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id", "th").distinct()
-    return docs.join(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), (docs["doc_id"] == F.col("_id")) & (F.hash(docs["text"]) == F.col("_th")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group (of the least doc_id), all columns as they are; one of rows that repeat an id and its text."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("doc_id is not null")
+    rows = store(found.groupBy("doc_id", "th").agg(F.first("kept").alias("kept"), F.count("*").alias("k")).filter("not kept or k > 1"), "dropped")
+    i, h = fresh(docs, "id", "hash")
+    mine = (docs[f"`{id_col}`"].cast("long") == F.col(i)) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(h))
+    named = lambda x: x.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    out = docs.join(named(rows), mine, "left_anti")
+    again = rows.filter("kept")
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(named(again), mine, "left_semi").dropDuplicates([id_col, text_col]))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import BYTE_CODE, SPACED, U64, column, filled, map_arrow, mix, owner, prefix, ragged, span, steps, words
+from .base import BYTE_CODE, SPACED, U64, column, filled, fresh, map_arrow, mix, owner, prefix, ragged, span, steps, words
 from .vocab import PIECES, indexed, keep_only, spaced_words, stored
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -169,13 +169,14 @@ def measure(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str
 def keep_good(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str = PIECES, byte_model: str = BYTE_VOCABULARY, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that pass, all columns as they are."""
     bands = bands or BANDS
+    (whole,) = fresh(docs, "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in steps(filled(batches, text_col), "_whole"):
-            m = _measure(column(rows, "_whole"), data, off, model, byte_model)
+        for rows, data, off in steps(filled(batches, text_col, whole), whole):
+            m = _measure(column(rows, whole), data, off, model, byte_model)
             at = rows.schema.get_field_index(lang_col)
             langs = pc.cast(rows.column(at), pa.string()).to_pylist() if at >= 0 else [None] * rows.num_rows
-            yield rows.filter(pa.array(_kept(m, langs, bands))).drop_columns(["_whole"])
+            yield rows.filter(pa.array(_kept(m, langs, bands))).drop_columns([whole])
 
     return map_arrow(docs, run, docs.schema)
 

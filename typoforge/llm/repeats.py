@@ -230,7 +230,7 @@ def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: f
     rows = keyed(docs, id_col=id_col, text_col=text_col)
     rows = rows.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = map_arrow(rows, _find(kind), "rid long, th int, pos int, key long, full long")
+    found = map_arrow(rows, _find(kind), "rid long, th long, pos int, key long, full long")
     keys = (
         found.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("a"), F.max("full").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
     )
@@ -255,7 +255,7 @@ def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: f
     plain = hits.filter("not mixed").select("rid", "th", one.alias("r"))
     moved = F.transform("runs", lambda r: F.struct((F.col("pos") + r["lo"]).alias("lo"), (F.col("pos") + r["hi"]).alias("hi")))
     solved_hits = hits.filter("mixed").join(decided, ["key", "full"]).select("rid", "th", moved.alias("r"))
-    ranges = plain.unionByName(solved_hits).groupBy("rid", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
+    ranges = plain.unionByName(solved_hits).groupBy("rid", "th").agg(F.flatten(F.collect_set("r")).alias("runs"))
     return rows, ranges
 
 
