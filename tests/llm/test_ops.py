@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import plain
 import pytest
 
 from typoforge.llm import decontaminate, lm_scoring, near_dedup, pii, quality, substring_dedup, subwords, suffix_dedup, token_counts, token_file, vocab
@@ -324,7 +325,7 @@ def test_ibans_after_a_cue():
 
 
 def test_quality(docs, spark):
-    want = [{"doc_id": x[0], **quality.brute(x[1])} for x in corpus()]
+    want = [{"doc_id": x[0], **plain.quality_counts(x[1])} for x in corpus()]
     assert pairs(quality.measure(docs), *want[0]) == expect(want)
     kept = {x.doc_id for x in quality.measure(docs).filter("kept").collect()}
     good = quality.keep_good(docs)
@@ -342,22 +343,29 @@ def test_subwords(docs):
     assert texts == sorted((r[1] or "") for r in corpus())
     again = subwords.encode_pieces(docs.repartition(1))
     assert pairs(encoded, "doc_id", "ids") == pairs(again, "doc_id", "ids")
-    plain = {r[0]: vocab.pieces().encode(r[1] or "") for r in corpus() if r[0] is not None}
+    exact = {r[0]: vocab.pieces().encode(r[1] or "") for r in corpus() if r[0] is not None}
     same = {r.doc_id: r.ids for r in subwords.encode_pieces(docs, dropout=0.0).collect() if r.doc_id is not None}
-    assert same == plain and any(r.ids != plain[r.doc_id] for r in encoded.collect() if r.doc_id is not None)
-    c, r = subwords.Codec(dropout=0.3), random.Random(2)
-    for _ in range(3000):
-        f = "".join(r.choice(["a", "b", "the", "ing", " ", "é", "er", "on", "."]) for _ in range(r.randint(1, 12)))
-        k = r.randint(0, 2**32 - 1)
-        assert c._short(f, k) == c._long(f, k)
-    odd = spark_free(c, ["a▁b", "▁", " ▁ ", "\0\n"])
-    assert odd
+    assert same == exact and any(r.ids != exact[r.doc_id] for r in encoded.collect() if r.doc_id is not None)
+    want = {r[0]: plain.dropped_merges(vocab.pieces(), r[1] or "", r[0], subwords.SEED, subwords.DROPOUT) for r in corpus()}
+    assert all(r.ids == want[r.doc_id] for r in encoded.collect())
+    ab = spark_free(subwords.Codec(), ["ab " * 300] * 2)
+    assert ab[0] != ab[1] and len(set(ab[0])) > 2  # occurrences of a pre-token differ, within and across documents
+
+
+def test_merge_dropout_by_hand():
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "b", "the", "ing", " ", "  ", "é", "er", "on", ".", "\n", "▁", "漢", "\0", "internationalisation"]) for _ in range(r.randint(0, 14))) for _ in range(700)]
+    texts += ["a▁b", "▁", " ▁ ", "x" * 90, "the" * 40, " " * 70]
+    for dropout in (0.0, 0.1, 0.5):
+        ids = spark_free(subwords.Codec(dropout=dropout), texts)
+        assert ids == [plain.dropped_merges(vocab.pieces(), t, i, subwords.SEED, dropout) for i, t in enumerate(texts)]
 
 
 def spark_free(c, texts):
-    ids, off = c.encode(pa.array(texts), np.zeros(len(texts), np.int64))
+    ids, off = c.encode(pa.array(texts), np.array([subwords.document_key(subwords.SEED, i) for i in range(len(texts))], np.uint64))
     data, at = c.decode(ids, off)
-    return [data[at[i] : at[i + 1]].tobytes().decode() for i in range(len(texts))] == texts
+    assert [data[at[i] : at[i + 1]].tobytes().decode() for i in range(len(texts))] == texts
+    return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 def test_empty_tables(empty, spark):

@@ -7,7 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pyarrow as pa
+import plain
 
 import corpus_pipeline
 from typoforge.llm import pii, quality, subwords, vocab
@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def kept_by_quality(text, lang, sp, encode):
-    if quality.brute(text)["base_failed"]:
+    if plain.quality_counts(text)["base_failed"]:
         return False
     words = WORD.findall(text)
     ids = [i for w in words for i in sp.encode(w)]
@@ -61,12 +61,10 @@ def test_pipeline_matches_a_plain_version(spark, data):
     encode = lambda w: [made(w)[0]]
     rows = [(d, t) for d, t, lang in docs if kept_by_quality(t, lang, sp, encode)]
     rows = [(d, pii.scrubbed(t)) for d, t in without_leaks(without_near_copies(rows), items)]
-    c, want = subwords.Codec(), []
+    want = []
     for d, t in rows:
         assert not pii.brute(t)
-        flat, _ = vocab.fragments(pa.array([t]))
-        v = subwords.variant_of(subwords.SEED, d)
-        ids = [i for f in flat.to_pylist() for i in c.pre_token(f, v)]
+        ids = plain.dropped_merges(sp, t, d, subwords.SEED, subwords.DROPOUT)
         want.append((d, len(t.encode()), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
     got = corpus_pipeline.run(spark, data).select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "lossless").collect()
     assert sorted(map(tuple, got)) == sorted(want) and 0 < len(want) < len(docs)

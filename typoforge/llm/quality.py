@@ -184,16 +184,3 @@ def keep_good(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: s
 def quality_digest(docs: DataFrame, **options) -> DataFrame:
     return measure(docs, **options)
 
-
-def brute(text: str | None) -> dict[str, int]:
-    """The base counts, word by word (for tests)."""
-    import re
-    from collections import Counter
-
-    text = text or ""
-    w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-    hit = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
-    out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
-    return out | {"base_failed": out["n_words"] < 50 or 100 * len(hit) > 50 * len(w)}
