@@ -87,6 +87,67 @@ def test_word_repeats(docs, hot):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def test_repeats_of_null_ids(spark):
+    """Texts whose 32-bit hashes are equal, beside a null id and an id of -1, are still told apart."""
+    seen, pair = {}, None
+    hashes = spark.range(300000).selectExpr("id", "hash(concat(repeat(concat('word', id, ' '), 60), 'end')) AS h").groupBy("h").agg({"id": "min", "*": "count"})
+    twice = hashes.filter("`count(1)` > 1").limit(1).collect()
+    if twice:
+        ids = [x.id for x in spark.range(300000).selectExpr("id", "hash(concat(repeat(concat('word', id, ' '), 60), 'end')) AS h").filter(f"h = {twice[0].h}").collect()]
+        pair = [f"word{i} " * 60 + "end" for i in ids[:2]]
+    a, b = pair or ["x1 " * 90, "x2 " * 90]
+    own = lambda t: " ".join(f"{w}{i}" for i, w in enumerate(t.split()))
+    rows = [(None, own("p " * 90)), (None, own("q " * 90)), (-1, own("r " * 90)), (7, own("p " * 90)), (None, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeated_words(docs).collect()}
+    assert (None, 90) in got and (7, 90) in got and (-1, 0) in got and (None, 0) in got
+    got = {(r.doc_id, r.n_removed > 0) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {(None, True), (None, False), (7, True), (-1, False)}
+
+
+def test_factoring():
+    """Blocks of pieces against counting; without its factors the parse would miss windows, as most lie inside of one."""
+    import time
+
+    from typoforge.llm.repeats import Contexts
+    from typoforge.llm.substring_dedup import KIND, Reference, solve
+
+    def contexts(places, texts, copies):
+        cut = [(d, p, max(0, p - KIND.width + 1), min(len(texts[d]), p + KIND.length)) for d, p in places]
+        sym = np.concatenate([texts[d][a:b] for d, _, a, b in cut]).astype(np.uint64)
+        off = np.concatenate([[0], np.cumsum([b - a for _, _, a, b in cut])])
+        col = lambda k: np.array([c[k] for c in cut], np.int64)
+        return Contexts(sym.view(np.uint8), sym, off, col(1) - col(2), np.array(copies), np.zeros(len(cut), np.int64), col(0), col(1)), cut
+
+    r = np.random.default_rng(3)
+    for _ in range(150):
+        base = r.integers(0, 9, 400)
+        texts = [np.concatenate([r.integers(0, 9, r.integers(0, 30)), base[(s := r.integers(0, 200)) : s + r.integers(30, 200)], r.integers(0, 9, 40)]) for _ in range(6)]
+        texts.append(np.tile([1, 2, 3], 40))
+        places = sorted({(int(d), int(p)) for d in range(7) for p in r.integers(0, len(texts[d]) - 35, 5)})
+        copies = [int(r.integers(1, 3)) if r.random() < 0.1 else 1 for _ in places]
+        c, cut = contexts(places, texts, copies)
+        seen = {}
+        for d in range(7):
+            there = {i for x, _, a, b in cut if x == d for i in range(a, b)}
+            for i in there:
+                if all(i + k in there for k in range(35)):
+                    seen.setdefault(tuple(texts[d][i : i + 35].tolist()), set()).add((d, i))
+        want = np.zeros((len(cut), KIND.width), bool)
+        for k, (d, p, a, b) in enumerate(cut):
+            for i in range(a, min(b - 34, p + 1)):
+                want[k, p - i] = copies[k] > 1 or len(seen[tuple(texts[d][i : i + 35].tolist())]) > 1
+        assert (solve(c, KIND) == want).all()
+    texts = [np.concatenate([r.integers(9, 2**60, 23), base[:35], r.integers(9, 2**60, 40)]) for _ in range(8000)]
+    c, _ = contexts([(d, 23) for d in range(8000)], texts, [1] * 8000)
+    start = time.perf_counter()
+    made = solve(c, KIND)
+    assert time.perf_counter() - start < 5 and made[:, 0].all() and made.sum() == 8000
+    ref = Reference(c)
+    ref.match = np.minimum(ref.match, 34)  # no factor is long enough, no boundary finds a window
+    assert not ref.repeated(35).any()
+
+
 def test_suffix_arrays():
     r = random.Random(7)
     for t in range(1500):

@@ -7,10 +7,10 @@
 2. Keys are counted (partial aggregation).  A key seen once has no repeated window.  Where all contexts of a
    repeated key are equal, all their windows repeat.
 3. For the other repeated keys, each distinct context is fetched once, and a solver (operator 1: suffix
-   arrays; operator 2: relative Lempel-Ziv factors) decides for every d whether the window occurs in another
-   context of the block.  Contexts of a key never split over blocks; keys with more than HOT contexts are
-   decided by counting their windows instead, with partial aggregation, so no key gathers in one task
-   (a partition balance alone: both ways give the same windows).
+   arrays; operator 2: relative Lempel-Ziv factors) decides for every d whether the window occurs at another
+   place of the block.  Contexts come sorted by key and are solved block by block, so memory is bounded;
+   contexts of a key never split over blocks; keys with more than HOT contexts are decided by counting their
+   windows instead, with partial aggregation, so no key gathers in one task (both ways give the same windows).
 4. Ranges of repeated windows go back to their documents.
 
 Hashes have 64 bits; a context counts as equal to another on two of them (key and full), and the solvers
@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 
 from .base import U64, column, keyed, map_arrow, mix, powers, prefix, ragged, span, steps, store, text_bytes
 
-#: A key is hot if its contexts are more than HOT, and more than HOT_SHARE of a partition's mean.
-HOT = 256
-HOT_SHARE = 2.5
-#: Contexts that a solver takes at once.
+#: A key with more contexts is settled by counting windows.
+HOT = 4096
+#: Contexts that a solver takes at once, and a key's more.
 BLOCK = 4096
 _PLACES = U64((1 << 28) - 1)
 #: Bytes of text that one search for anchors takes: small arrays stay in cache.
@@ -52,7 +51,7 @@ class Kind:
 
 @dataclass
 class Contexts:
-    """Distinct contexts of a block: bytes, symbols, the anchor after `left` symbols; copies of each."""
+    """Distinct contexts of a block: bytes, symbols, the anchor after `left` symbols; copies of each, and where one is."""
 
     data: np.ndarray
     symbols: np.ndarray
@@ -60,6 +59,8 @@ class Contexts:
     left: np.ndarray
     copies: np.ndarray
     key: np.ndarray
+    text: np.ndarray
+    pos: np.ndarray
 
 
 def anchors(sym: np.ndarray, off: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +134,9 @@ def _fetch(kind: Kind):
             raw = data[ragged(a, b - a)].tobytes()
             bounds = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
             text = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("full"), flat.field("copies"), pa.array(left.astype(np.int32)), text], names=["key", "full", "copies", "left", "text"])
+            place = mix(column(rows, "rid").to_numpy().view(U64)) ^ column(rows, "th").to_numpy().view(U64)
+            out = [flat.field("key"), flat.field("full"), flat.field("copies"), pa.array(left.astype(np.int32)), text, pa.array(place[doc].view(np.int64)), flat.field("pos")]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "full", "copies", "left", "text", "doc", "pos"])
 
     return run
 
@@ -144,7 +147,8 @@ def _contexts(batch: pa.Table | pa.RecordBatch, kind: Kind) -> Contexts:
         text = text.combine_chunks()
     data, off = text_bytes(text)
     sym, soff, _, _ = kind.symbols(data, off)
-    return Contexts(data, sym, soff, np.asarray(batch["left"]).astype(np.int64), np.asarray(batch["copies"]), np.asarray(batch["key"]))
+    left, copies, key, doc, pos = (np.asarray(batch[c]) for c in ("left", "copies", "key", "doc", "pos"))
+    return Contexts(data, sym, soff, left.astype(np.int64), copies, key, doc, pos.astype(np.int64))
 
 
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -180,22 +184,29 @@ def _joined_runs(kind: Kind):
 
 
 def _solve(kind: Kind):
-    """Decide contexts in blocks that keep the contexts of a key together."""
+    """Decide contexts, which come sorted by key, in blocks that keep the contexts of a key together."""
+
+    def solved(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        repeated = kind.solve(_contexts(part, kind), kind)
+        return pa.RecordBatch.from_arrays([part["key"].combine_chunks(), part["full"].combine_chunks(), _runs(repeated, kind)], names=["key", "full", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if held is None:
-            return
-        held = held.combine_chunks().sort_by("key")
-        key = held["key"].to_numpy()
-        edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        i = 0
-        while i < len(edge) - 1:
-            j = max(i + 1, int(np.searchsorted(edge, edge[i] + BLOCK, side="right")) - 1)
-            part = held.slice(edge[i], edge[j] - edge[i]).combine_chunks()
-            repeated = kind.solve(_contexts(part, kind), kind)
-            yield pa.RecordBatch.from_arrays([part["key"].combine_chunks(), part["full"].combine_chunks(), _runs(repeated, kind)], names=["key", "full", "runs"])
-            i = j
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < BLOCK:
+                continue
+            t = pa.Table.from_batches(held)
+            key = t["key"].to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if whole:
+                yield solved(t.slice(0, whole))
+                held = t.slice(whole).to_batches()
+                n -= whole
+        if n:
+            yield solved(pa.Table.from_batches(held))
 
     return run
 
@@ -224,7 +235,7 @@ def _windows(kind: Kind):
     return run
 
 
-def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed rows with rid, ranges): ranges has rid, th, runs: array<struct<lo,hi>> in symbols of each text, not yet united."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col=id_col, text_col=text_col)
@@ -238,14 +249,13 @@ def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: f
     hits = store(found.join(keys, "key"), "anchors")
     need = hits.filter("mixed").groupBy("key", "full").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "th", "pos")).alias("at"))
     want = need.groupBy("at.rid", "at.th").agg(F.collect_list(F.struct("at.pos", "key", "full", "copies")).alias("want"))
-    contexts = store(map_arrow(rows.join(want, ["rid", "th"]), _fetch(kind), "key long, full long, copies long, left int, text binary"), "contexts")
-    most = max(hot, int(hot_share * contexts.count() / parts))
-    crowded = store(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "crowded")
+    contexts = store(map_arrow(rows.join(want, ["rid", "th"]), _fetch(kind), "key long, full long, copies long, left int, text binary, doc long, pos int"), "contexts")
+    crowded = store(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "crowded")
     runs = "key long, full long, runs array<struct<lo:int,hi:int>>"
     if crowded.isEmpty():
-        decided = map_arrow(contexts.repartition(parts, "key"), _solve(kind), runs)
+        decided = map_arrow(contexts.repartition(parts, "key").sortWithinPartitions("key"), _solve(kind), runs)
     else:
-        decided = map_arrow(contexts.join(crowded, "key", "left_anti").repartition(parts, "key"), _solve(kind), runs)
+        decided = map_arrow(contexts.join(crowded, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key"), _solve(kind), runs)
         windows = map_arrow(contexts.join(crowded, "key", "left_semi"), _windows(kind), "win long, key long, full long, d int, copies long")
         often = store(windows.groupBy("win").agg(F.sum("copies").alias("n")).filter("n > 1").select("win"), "often")
         counted = windows.join(often, "win").groupBy("key", "full").agg(F.collect_list("d").alias("ds"))

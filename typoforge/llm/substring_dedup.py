@@ -1,10 +1,11 @@
 """Operator 2, substring dedup: words covered by a window of 35 words that starts at more than one place.
 
-repeats.py brings together the distinct contexts in which a repeat may start or end; each block of them is an
-indexed reference block, and its documents' contexts are factored against it by relative Lempel-Ziv parsing:
-from the current word, the longest match with another place of the reference becomes a factor; a factor of 35
-words or more is a duplicate span.  The windows that cross the end of a factor are checked at that boundary
-before the parse moves on, so no window is missed; shorter factors are literals.
+repeats.py deals the pieces of documents in which a repeat may start or end to blocks, so that equal ones meet in
+one.  A block's pieces, those that overlap in a document joined again, are its reference: every place stands in it
+once, indexed by a suffix array.  Each piece is factored greedily against that reference by relative Lempel-Ziv
+parsing: from the current word, the longest match with another place becomes a factor (at most LONGEST words; a
+word that occurs nowhere else is a literal).  A factor of 35 words or more is a duplicate span.  Windows that cross
+a factor's end are checked at that boundary, by the longest match of their first word.
 
 Words are runs of bytes other than ASCII white space, compared by 64-bit hashes.  A null text has no words;
 matches do not cross documents, but count within one; repeated rows are places of their own; a null doc_id is
@@ -20,69 +21,94 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import SPACED, U64, column, mix, prefix, ragged, span, steps, word_hashes, words
+from .base import SPACED, column, ragged, steps, word_hashes, words
 from .repeats import Contexts, Kind, apply_ranges, marked, repeated_ranges
 
 LENGTH = 35
 WIDTH = 24
 GRAM = 4
+#: Words of a factor at most, a power of two over LENGTH.
+LONGEST = 64
 
 
 class Reference:
-    """An indexed reference block: where each window of `length` symbols, at its distance from the anchor, starts."""
-
-    def __init__(self, c: Contexts, kind: Kind) -> None:
-        self.sym, self.length = c.symbols, kind.length
-        most = np.minimum(np.diff(c.off) - kind.length, c.left)
-        self.least = np.maximum(c.left - (kind.width - 1), 0)
-        self.n = np.maximum(most - self.least + 1, 0)
-        ctx = np.repeat(np.arange(len(c.left)), self.n)
-        self.at = ragged(c.off[:-1] + self.least, self.n)
-        d = c.left[ctx] - (self.at - c.off[ctx])
-        h = span(prefix(c.symbols), self.at, self.at + kind.length) ^ mix(d.astype(U64) + U64(11))
-        self.order = np.argsort(h, kind="stable")
-        s = h[self.order]
-        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(s)))
-        self.first, self.count = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
-        self.first[self.order], self.count[self.order] = np.repeat(edge, count), np.repeat(count, count)
-        self.end = c.off[1:][ctx]
-
-    def longest(self, w: int) -> int:
-        """The longest match of the text at window w with another place of its window."""
-        places = self.order[self.first[w] : self.first[w] + self.count[w]]
-        places = places[places != w]
-        own, n, end = int(self.at[w]), self.length, int(self.end[w])
-        starts, ends = self.at[places], self.end[places]
-        while own + n < end:
-            more = starts + n < ends
-            more &= self.sym[np.minimum(starts + n, len(self.sym) - 1)] == self.sym[own + n]
-            if not more.any():
-                break
-            starts, ends, n = starts[more], ends[more], n + 1
-        return n
+    """An indexed reference block: the pieces of documents, joined where they overlap, and each place's longest match."""
+
+    def __init__(self, c: Contexts) -> None:
+        size = np.diff(c.off)
+        start = c.pos - c.left
+        order = np.lexsort((start, c.text))
+        first = np.concatenate([[True], c.text[order][1:] != c.text[order][:-1]])
+        # Documents side by side on one line, so that one running maximum finds what overlaps.
+        base = np.cumsum(first) * (int(start.max(initial=0)) + int(size.max(initial=0)) + 2)
+        begin = base + start[order]
+        until = np.maximum.accumulate(begin + size[order])
+        before = np.concatenate([[0], until[:-1]])
+        new = np.maximum(until - np.maximum(begin, before), 0)
+        self.symbols = c.symbols[ragged(c.off[1:][order] - new, new)]
+        upto = np.cumsum(new)
+        #: Where each context starts in the reference.
+        self.start = np.empty(len(order), np.int64)
+        self.start[order] = upto - (until - begin)
+        piece = np.cumsum(begin > before)
+        ends = np.append(upto[np.flatnonzero(np.diff(piece))], len(self.symbols))
+        self.stop = ends[np.repeat(piece - 1, new)]
+        self.match = self._longest()
+
+    def _longest(self) -> np.ndarray:
+        """Each place's longest match with another place, LONGEST words at most: of its neighbours in the suffix array."""
+        n = len(self.symbols)
+        at = np.arange(n)
+        ranks = [np.unique(self.symbols, return_inverse=True)[1].reshape(-1) + 1]
+        width = 1
+        while width < LONGEST:
+            r = ranks[-1]
+            next_rank = np.where(at + width < self.stop, r[np.minimum(at + width, n - 1)], 0)
+            ranks.append(np.unique(r * (n + 1) + next_rank, return_inverse=True)[1].reshape(-1) + 1)
+            width *= 2
+        order = np.argsort(ranks[-1], kind="stable")
+        x, y = order[:-1], order[1:]
+        common = np.zeros(len(x), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            left = np.minimum(self.stop[x] - x, self.stop[y] - y) - common
+            i = np.flatnonzero(left > 0)
+            i = i[ranks[k][x[i] + common[i]] == ranks[k][y[i] + common[i]]]
+            common[i] += np.minimum(1 << k, left[i])
+        match = np.zeros(n, np.int64)
+        match[x] = common
+        match[y] = np.maximum(match[y], common)
+        return match
+
+    def repeated(self, length: int) -> np.ndarray:
+        """For each place, whether the window that starts there is repeated, from the factors and their boundaries."""
+        n, step, starts, x = len(self.symbols), self.match.tolist(), [], 0
+        while x < n:
+            starts.append(x)
+            x += step[x] or 1
+        starts = np.array(starts, np.int64)
+        ends = np.append(starts[1:], n)
+        long = np.flatnonzero(ends - starts >= length)
+        edge = np.zeros(n + 1, np.int64)
+        edge[starts[long]] += 1
+        edge[ends[long] - length + 1] -= 1
+        out = np.cumsum(edge[:-1]) > 0
+        at = np.arange(n)
+        crossing = at + length > ends[np.searchsorted(starts, at, side="right") - 1]
+        out[crossing] = self.match[crossing] >= length
+        return out
 
 
 def solve(c: Contexts, kind: Kind) -> np.ndarray:
-    """repeated[context, d], by factoring every context against the reference block."""
-    ref = Reference(c, kind)
+    """repeated[context, d], by factoring the pieces of the block against it."""
+    ref = Reference(c)
+    known = ref.repeated(kind.length)
+    most = np.minimum(np.diff(c.off) - kind.length, c.left)  # last start of a window, in the context
+    least = np.maximum(c.left - (kind.width - 1), 0)
+    n = np.maximum(most - least + 1, 0)
+    ctx = np.repeat(np.arange(len(c.left)), n)
+    at = ragged(least, n)
     out = np.zeros((len(c.left), kind.width), bool)
-    known = (ref.count > 1).tolist()
-    w = 0
-    for i, (n, least, left, copies) in enumerate(zip(ref.n.tolist(), ref.least.tolist(), c.left.tolist(), c.copies.tolist(), strict=True)):
-        s = 0
-        while s < n:
-            if copies > 1:
-                size = kind.length + n - 1 - s
-            elif known[w + s]:
-                size = ref.longest(w + s)
-            else:
-                s += 1  # no factor that is long enough starts here
-                continue
-            last = min(s + size - kind.length, n - 1)
-            out[i, left - least - last : left - least - s + 1] = True
-            s = last + 1  # the windows that cross the factor's end come next
-        w += n
+    out[ctx, c.left[ctx] - at] = known[ref.start[ctx] + at] | (c.copies[ctx] > 1)
     return out
 
 
@@ -96,7 +122,7 @@ KIND = Kind(LENGTH, WIDTH, GRAM, _words, solve)
 
 def remove_repeated_words(docs: DataFrame, *, kind: Kind = KIND, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (words joined by one space)."""
-    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot, "hot_share": 0.0}))
+    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in steps(batches):

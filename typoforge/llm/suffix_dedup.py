@@ -177,7 +177,7 @@ KIND = Kind(LENGTH, WIDTH, GRAM, _bytes, solve)
 
 def remove_repeats(docs: DataFrame, *, kind: Kind = KIND, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans (byte ranges) and kept (binary)."""
-    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot, "hot_share": 0.0}))
+    rows, ranges = repeated_ranges(docs, kind, id_col=id_col, text_col=text_col, **({} if hot is None else {"hot": hot}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in steps(batches):
