@@ -66,6 +66,62 @@ def test_fixers(spark, built):
     assert fixed(fixers.SpellFix(spark.createDataFrame([("tech", 5)], "word string, n long"))) == [("teh", "tech")]
 
 
+def test_the_last_of_a_name_counts(spark):
+    t = spark.createDataFrame([(1, "x", "zeta", 0), (1, "x", "alpha", 1)], "sample_index long, corrupted string, original string, position int")
+    f = spark.createDataFrame([(1, "x", "zz", 0), (1, "x", "alpha", 1)], "sample_index long, corrupted string, fixed string, position int")
+    r = evaluate.per_sample(evaluate.last_fixes(f), t).first()
+    assert (r.tp, r.fp, r.fn) == (1, 0, 0)
+
+
+def test_a_model_runs_once(spark, built, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def rewrite(codes):
+        with open(calls, "a") as f:
+            f.write("x\n" * len(codes))
+        return codes
+
+    metrics, results = fixers.evaluate(built, fixers.TextFix(rewrite))
+    m = metrics.first()
+    assert results.count() == m.total_samples and m.total_time_seconds > 0 < m.avg_time_per_kb_seconds
+    with open(calls) as f:
+        assert len(f.readlines()) == built.count()
+
+
+def test_chat_errors():
+    class Answer(Exception):
+        def __init__(self, status, wait=None):
+            self.status_code = status
+            self.response = type("R", (), {"headers": {"retry-after": wait} if wait else {}})()
+
+    assert fixers.passing(OSError()) and fixers.passing(Answer(429)) and fixers.passing(Answer(503)) and not fixers.passing(Answer(400)) and not fixers.passing(ValueError())
+    assert fixers.retry_after(Answer(429, "7")) == 7.0 and fixers.retry_after(Answer(429, "soon")) is None and fixers.retry_after(OSError()) is None
+
+
+def test_a_service_that_is_down_fails_the_job(spark):
+    def ask(prompt):
+        raise OSError("down")
+
+    s = spark.createDataFrame([(1, "teh = 1\n", ["teh"])], "sample_index long, code string, names array<string>")
+    with pytest.raises(Exception, match="down"):
+        fixers.ChatFix(ask, "{code}", sleep=lambda _: None).fix(s).collect()
+
+
+def test_known_misspellings_in_words_of_names(spark):
+    s = spark.createDataFrame([(1, "", ["getTehCount", "teh", "TEH_x", "fine", "tehran"])], "sample_index long, code string, names array<string>")
+    table = spark.createDataFrame([("teh", "the"), ("teh", "tech")], "word string, correction string")
+    got = {r.corrupted: r.fixed for r in fixers.TableFix(table).fix(s).collect()}
+    assert got == {"getTehCount": "getTechCount", "teh": "tech", "TEH_x": "TECH_x"}
+
+
+def test_models_with_prompt_and_clean_up(spark):
+    from typoforge.functions.text import clean_output, lm_prompt
+
+    s = spark.createDataFrame([(1, "teh = 1\nprint(teh)\n", ["teh"])], "sample_index long, code string, names array<string>")
+    fix = fixers.TextFix(lambda codes: ["the = 1\nprint(the)\n\n \n"] * len(codes), prompt=lm_prompt, clean=clean_output)
+    assert [(r.corrupted, r.fixed) for r in fix.fix(s).collect()] == [("teh", "the")]
+
+
 def test_spelling_with_two_edits(spark, data):
     s = spark.createDataFrame([(1, "teh = 1\nprint(teh)\n", ["teh"])], "sample_index long, code string, names array<string>")
     fixed = fixers.SpellFix(spark.createDataFrame([("the", 5)], "word string, n long")).fix(s)

@@ -1,7 +1,9 @@
 """Evaluation: predicted fixes against true edits, per sample and over all samples.
 
-fixes has sample_index, corrupted, fixed; truth has sample_index, corrupted, original.  Of rows that repeat a
-name the last position wins.  Everything is one join on (sample_index, corrupted) and partial aggregates.
+fixes has sample_index, corrupted, fixed; truth has sample_index, corrupted, original; either may have a column
+position.  Of rows that repeat a name the one of the greatest position wins, as in a map that is filled in order;
+rows without positions have no order, so the greatest value stands.  Everything is one join on (sample_index,
+corrupted) and partial aggregates.
 """
 
 from __future__ import annotations
@@ -17,18 +19,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def last_fixes(fixes: DataFrame, position: str | None = None) -> DataFrame:
+def _last(frame: DataFrame, value: str) -> DataFrame:
+    """One row for each name."""
+    which = F.max_by(value, "position") if "position" in frame.columns else F.max(value)
+    return frame.groupBy("sample_index", "corrupted").agg(which.alias(value))
+
+
+def last_fixes(fixes: DataFrame) -> DataFrame:
     """One fix for each name: of several the last, and no fix that changes nothing."""
-    if position is None:
-        one = fixes.groupBy("sample_index", "corrupted").agg(F.max("fixed").alias("fixed"))
-    else:
-        one = fixes.groupBy("sample_index", "corrupted").agg(F.max_by("fixed", position).alias("fixed"))
-    return one.filter(F.col("corrupted") != F.col("fixed"))
+    return _last(fixes, "fixed").filter(F.col("corrupted") != F.col("fixed"))
 
 
 def matched(fixes: DataFrame, truth: DataFrame) -> DataFrame:
     """Names of either side with both targets and a status: correct, wrong, missed, false fix."""
-    one = truth.groupBy("sample_index", "corrupted").agg(F.max("original").alias("original"))
+    one = _last(truth, "original")
     status = (
         F.when(F.col("original").isNull(), "false fix")
         .when(F.col("fixed").isNull(), "missed")

@@ -59,11 +59,11 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.explode(made).alias("name")).unionByName(c).distinct()
 
 
-_SQL_EVAL = """truth AS (SELECT l_orderkey AS sample_index, 'name' || l_linenumber AS corrupted, max('part' || l_partkey) AS original FROM lineitem GROUP BY 1, 2),
-fixes AS (SELECT sample_index, corrupted, max(fixed) AS fixed FROM (
-  SELECT l_orderkey AS sample_index, 'name' || (l_linenumber + CASE WHEN l_quantity > 45 THEN 10 ELSE 0 END) AS corrupted,
+_SQL_EVAL = """truth AS (SELECT l_orderkey AS sample_index, 'name' || l_linenumber AS corrupted, arg_max('part' || l_partkey, (l_partkey * 1000000 + l_suppkey) * 100000 + datediff('day', DATE '1970-01-01', l_shipdate::DATE)) AS original FROM lineitem GROUP BY 1, 2),
+fixes AS (SELECT sample_index, corrupted, arg_max(fixed, position) AS fixed FROM (
+  SELECT l_orderkey AS sample_index, 'name' || (l_linenumber + CASE WHEN l_quantity > 45 THEN 10 ELSE 0 END) AS corrupted, (l_partkey * 1000000 + l_suppkey) * 100000 + datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS position,
     CASE WHEN l_discount < 0.05 THEN 'part' || l_partkey ELSE 'name' || l_suppkey END AS fixed FROM lineitem WHERE l_tax < 0.06)
-  GROUP BY 1, 2 HAVING corrupted <> max(fixed)),
+  GROUP BY 1, 2 HAVING corrupted <> arg_max(fixed, position)),
 matched AS (SELECT coalesce(t.sample_index, f.sample_index) AS sample_index, coalesce(t.corrupted, f.corrupted) AS corrupted, original, fixed,
   CASE WHEN original IS NULL THEN 'false fix' WHEN fixed IS NULL THEN 'missed' WHEN original = fixed THEN 'correct' ELSE 'wrong' END AS status
   FROM truth t FULL JOIN fixes f ON t.sample_index = f.sample_index AND t.corrupted = f.corrupted),
@@ -75,11 +75,13 @@ def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """(fixes, truth, results)"""
     li = table(spark, sf_dir, "lineitem")
     word = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    truth = li.select(F.col("l_orderkey").alias("sample_index"), word("name", F.col("l_linenumber")).alias("corrupted"), word("part", F.col("l_partkey")).alias("original"))
+    position = (F.col("l_partkey").cast("long") * 1000000 + F.col("l_suppkey")) * 100000 + F.unix_date(F.col("l_shipdate").cast("date"))
+    truth = li.select(F.col("l_orderkey").alias("sample_index"), word("name", F.col("l_linenumber")).alias("corrupted"), word("part", F.col("l_partkey")).alias("original"), position.alias("position"))
     fixes = li.filter("l_tax < 0.06").select(
         F.col("l_orderkey").alias("sample_index"),
         word("name", F.col("l_linenumber") + F.when(F.col("l_quantity") > 45, 10).otherwise(0)).alias("corrupted"),
         F.when(F.col("l_discount") < 0.05, word("part", F.col("l_partkey"))).otherwise(word("name", F.col("l_suppkey"))).alias("fixed"),
+        position.alias("position"),
     )
     goal = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise(F.concat("o_orderstatus", "o_orderpriority"))
     results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_index"), F.col("o_orderpriority").alias("corrupted_code"), F.col("o_orderpriority").alias("predicted_code"), goal.alias("ground_truth_code"))
@@ -656,67 +658,156 @@ def mean_loss(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean_loss"), F.count("*").alias("steps"))
 
 
-# --------------------------------------------------------------------------- code analysis, on bundled snippets
+# --------------------------------------------------------------------------- code analysis, on snippets made of table rows
 
+# A snippet for each part or supplier: a function, two parameters of which one is assigned again, and two variables.
+_SNIPPET = (
+    (("", "'def'", "k"), (" ", "f", "n"), ("", "'('", "o"), ("", "x", "n"), ("", "','", "o"), (" ", "y", "n"), ("", "')'", "o"), ("", "':'", "o")),
+    (("    ", "w", "n"), (" ", "'='", "o"), (" ", "x", "n"), (" ", "'+'", "o"), (" ", "y", "n")),
+    (("    ", "'for'", "k"), (" ", "s", "n"), (" ", "'in'", "k"), (" ", "'range'", "n"), ("", "'('", "o"), ("", "w", "n"), ("", "')'", "o"), ("", "':'", "o")),
+    (("        ", "y", "n"), (" ", "'='", "o"), (" ", "y", "n"), (" ", "'+'", "o"), (" ", "s", "n")),
+    (("    ", "'return'", "k"), (" ", "y", "n")),
+)
 
-def snippets(spark: SparkSession) -> DataFrame:
-    return readers.load_demo(spark).select(F.col("id").alias("snippet_id"), F.lit("train").alias("split"), "code")
 
+def _code_sql(suffix: str = "") -> str:
+    lines = [" || ".join(f"'{gap}' || {text}" + (f" || '{suffix}'" if text in "fxyws" else "") for gap, text, _ in line) for line in _SNIPPET]
+    return " || ".join(f"{line} || chr(10)" for line in lines)
 
-PLAN = inject.Plan(seed=11, variants=3)
 
+def _token_sql() -> str:
+    out, pos = [], 0
+    for row, line in enumerate(_SNIPPET, 1):
+        before = []
+        for gap, text, kind in line:
+            before.append(f"{len(gap)}")
+            out.append(f"{{pos: {pos}, text: {text}, row: {row}, col: ({' + '.join(before)})::INT, kind: '{'OP' if kind == 'o' else 'NAME'}', is_name: {str(kind != 'o').lower()}}}")
+            before.append(f"len({text})")
+            pos += 1
+    return f"[{', '.join(out)}]"
 
-@query()
+
+_SQL_CODE = f"""named AS (SELECT p_partkey AS id, 'mix_' || p_partkey AS f, split_part(p_name, ' ', 1) || '_count' AS x, split_part(p_name, ' ', 2) || '_total' AS y, 'whole_' || p_partkey AS w, 'step_' || p_partkey AS s FROM part),
+snippets AS (SELECT *, {_code_sql()} AS code FROM named)"""
+
+
+def snippets_of(rows: DataFrame) -> DataFrame:
+    """id, code of rows with id and words (two words)."""
+    word = lambda k: F.split_part("words", F.lit(" "), F.lit(k))
+    number = lambda p: F.concat(F.lit(p), F.col("id").cast("string"))
+    parts = {"f": number("mix_"), "x": F.concat(word(1), F.lit("_count")), "y": F.concat(word(2), F.lit("_total")), "w": number("whole_"), "s": number("step_")}
+    pieces = []
+    for line in _SNIPPET:
+        for gap, text, _ in line:
+            pieces += [F.lit(gap), parts.get(text, F.lit(text.strip("'")))]
+        pieces.append(F.lit("\n"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.concat(*pieces).alias("code"))
+
+
+def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets_of(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("words")))
+
+
+def supplier_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snippet_id, split, code: a snippet for each supplier, with the words of the part of its number."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("words"))
+    made = snippets_of(p.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id"))
+    return made.select(F.col("id").alias("snippet_id"), F.lit("train").alias("split"), "code")
+
+
+_SQL_SUPPLIER = f"{_SQL_CODE}, chosen AS (SELECT id, code FROM snippets JOIN supplier ON s_suppkey = id)"
+
+#: Every snippet has names for two typos, and no comments, so how much is built follows from the plan.
+PLAN = inject.Plan(seed=11, variants=3, p_edit=1.0, comments=False)
+
+
+def snippets(spark: SparkSession) -> DataFrame:
+    """The bundled snippets."""
+    return readers.load_demo(spark).select(F.col("id").alias("snippet_id"), F.lit("train").alias("split"), "code")
+
+
+@query(f"""WITH {_SQL_CODE}, d AS (SELECT id, unnest([{{name: f, scope_id: 0, kind: 'function', line: 1, col: 4::INT}}, {{name: x, scope_id: 1, kind: 'parameter', line: 1, col: (len(f) + 5)::INT}},
+{{name: y, scope_id: 1, kind: 'parameter', line: 1, col: (len(f) + len(x) + 7)::INT}}, {{name: w, scope_id: 1, kind: 'variable', line: 2, col: 4::INT}}, {{name: s, scope_id: 1, kind: 'variable', line: 3, col: 8::INT}},
+{{name: y, scope_id: 1, kind: 'variable', line: 4, col: 8::INT}}], recursive := true) FROM snippets) SELECT * FROM d""")
 def code_names(spark, sf_dir):
-    return analyze.extract_names(readers.load_demo(spark), by="id")
+    return analyze.extract_names(part_code(spark, sf_dir), by="id")
 
 
-@query()
+@query(f"WITH {_SQL_CODE} SELECT id, unnest({_token_sql()}, recursive := true) FROM snippets")
 def code_tokens(spark, sf_dir):
-    return readers.load_demo(spark).select("id", F.posexplode(analyze.code_tokens(F.col("code"))).alias("pos", "t")).select("id", "pos", "t.*")
+    return part_code(spark, sf_dir).select("id", F.posexplode(analyze.code_tokens(F.col("code"))).alias("pos", "t")).select("id", "pos", "t.*")
 
 
-@query()
+@query(f"WITH {_SQL_CODE} SELECT id, {_code_sql('_x')} AS code FROM named")
 def renamed_code(spark, sf_dir):
-    named = analyze.extract_names(readers.load_demo(spark), by="id").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("name", F.concat("name", F.lit("_x"))))).alias("m"))
-    return readers.load_demo(spark).join(named, "id").select("id", analyze.rename_names("code", "m").alias("code"))
+    code = part_code(spark, sf_dir)
+    named = analyze.extract_names(code, by="id").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("name", F.concat("name", F.lit("_x"))))).alias("m"))
+    return code.join(named, "id").select("id", analyze.rename_names("code", "m").alias("code"))
+
+
+@query(f"WITH {_SQL_CODE} SELECT id, replace(code, w, w || '_x') AS code FROM snippets")
+def renamed_binding(spark, sf_dir):
+    code = part_code(spark, sf_dir)
+    wide = F.concat(F.lit("whole_"), F.col("id").cast("string"), F.lit("_x"))
+    return code.select("id", analyze.rename_binding("code", F.lit(2), F.lit(4), wide).alias("code"))
 
 
 @query()
 def built_samples(spark, sf_dir):
-    return inject.build(snippets(spark), PLAN)
+    return inject.build(supplier_code(spark, sf_dir), PLAN)
+
+
+@query(f"""WITH {_SQL_SUPPLIER}, v AS (SELECT *, unnest(range(4)) AS v FROM chosen)
+SELECT id * 4 + v AS sample_index, v > 0 AS has_errors, CASE WHEN v = 0 THEN code END AS clean_code, CASE WHEN v > 0 THEN code END AS fixed, CASE WHEN v > 0 THEN 2 ELSE 0 END AS n_edits,
+CASE WHEN v > 0 THEN len(code) END AS n_restored, 'python' AS language, 'train' AS split FROM v""")
+def built_shapes(spark, sf_dir):
+    """What of a build doesn't depend on draws: undoing the edits gives the snippet again."""
+    b = inject.build(supplier_code(spark, sf_dir), PLAN)
+    undone = F.aggregate("edits", F.col("code"), lambda acc, e: F.replace(acc, e["corrupted_name"], e["original_name"]))
+    return b.select(
+        "sample_index", "has_errors", F.when(~F.col("has_errors"), F.col("code")).alias("clean_code"), "fixed", F.size("edits").alias("n_edits"),
+        F.when(F.col("has_errors") & (undone == F.col("fixed")), F.length("fixed").cast("long")).alias("n_restored"), "language", "split",
+    )
 
 
-@query()
+@query("SELECT count(*) AS clean, (3 * count(*))::BIGINT AS corrupted, 0::BIGINT AS no_typo FROM supplier JOIN part ON s_suppkey = p_partkey")
 def build_counts(spark, sf_dir):
-    return inject.build_counts(inject.build(snippets(spark), PLAN), PLAN.variants)
+    return inject.build_counts(inject.build(supplier_code(spark, sf_dir), PLAN), PLAN.variants)
 
 
-@query()
+def _quality(frame: DataFrame) -> DataFrame:
+    """Metrics without times."""
+    return frame.drop("total_time_seconds", "avg_time_per_sample_seconds", "avg_time_per_kb_seconds")
+
+
+@query("""SELECT (3 * count(*))::BIGINT AS total_samples, 1.0::DOUBLE AS exact_match_rate, 1.0::DOUBLE AS identifier_precision, 1.0::DOUBLE AS identifier_recall, 1.0::DOUBLE AS identifier_f1,
+0.0::DOUBLE AS avg_normalized_edit_distance, count(*) AS clean_samples_total, 0::BIGINT AS clean_false_positive_count, 0.0::DOUBLE AS clean_false_positive_rate FROM supplier JOIN part ON s_suppkey = p_partkey""")
 def evaluated_perfect(spark, sf_dir):
-    return fixers.evaluate(inject.build(snippets(spark), PLAN), fixers.PerfectFix())[0]
+    return _quality(fixers.evaluate(inject.build(supplier_code(spark, sf_dir), PLAN), fixers.PerfectFix())[0])
 
 
 @query()
 def evaluated_spelling(spark, sf_dir):
-    s = inject.build(snippets(spark), PLAN)
+    s = inject.build(supplier_code(spark, sf_dir), PLAN)
     words = analyze.extract_names(s.filter("not has_errors")).select(F.explode(N.split_identifier(F.col("name"))).alias("word"))
     dictionary = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return fixers.evaluate(s, fixers.SpellFix(dictionary))[0]
+    return _quality(fixers.evaluate(s, fixers.SpellFix(dictionary))[0])
 
 
 @query()
 def line_diffs(spark, sf_dir):
-    s = inject.build(snippets(spark), PLAN).filter("has_errors")
+    s = inject.build(supplier_code(spark, sf_dir), PLAN).filter("has_errors")
     return s.select("sample_index", analyze.line_diff("fixed", "code").alias("d")).select("sample_index", F.explode("d").alias("d")).select("sample_index", "d.*")
 
 
-@query()
+@query(f"""WITH {_SQL_CODE}, t AS (SELECT id, unnest({_token_sql()}, recursive := true) FROM snippets), c AS (SELECT id, pos AS word_id, unnest(range(len(text))) AS k, text FROM t),
+b AS (SELECT id, word_id, ord(text[k + 1]) + 3 AS input_id, row_number() OVER (PARTITION BY id ORDER BY word_id, k) AS pos FROM c)
+SELECT id AS sample_index, pos::INT AS pos, input_id, word_id FROM b WHERE pos <= 510 UNION ALL SELECT id, 0, 0, NULL FROM snippets UNION ALL SELECT id, least(510, count(*))::INT + 1, 1, NULL FROM b GROUP BY 1""")
 def aligned_subwords(spark, sf_dir):
-    return analyze.align_to_subwords(readers.load_demo(spark).withColumnRenamed("id", "sample_index"))
+    return analyze.align_to_subwords(part_code(spark, sf_dir).withColumnRenamed("id", "sample_index"))
 
 
 @query()
 def text_scores(spark, sf_dir):
-    s = inject.build(snippets(spark), PLAN).filter("has_errors")
+    s = inject.build(supplier_code(spark, sf_dir), PLAN).filter("has_errors")
     return report.text_scores(s.select(F.col("code").alias("predicted"), F.col("fixed").alias("reference")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +18,23 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir; a temporary one only where there are no other machines."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.gettempdir()
+    return f"{path.rstrip('/')}/typoforge"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder, so that every use reads the same rows."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def make_session(name: str = "typoforge", master: str | None = None, **settings: str) -> SparkSession:
     """A session; further settings as keywords with dots as double underscores."""
     builder = SparkSession.builder.appName(name)
