@@ -12,6 +12,7 @@ import plain
 import pytest
 
 from typoforge.llm import decontaminate, lm_scoring, near_dedup, pii, quality, substring_dedup, subwords, suffix_dedup, token_counts, token_file, vocab
+from typoforge.llm.base import text_bytes
 from typoforge.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -396,6 +397,40 @@ def test_quality(docs, spark):
     assert [x.kept for x in quality.measure(odd).collect()] == [False]
 
 
+PROSE = {
+    "cyrillic": ("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами без какого бы то ни было различия, как то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения.", "а", "я"),
+    "greek": ("Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες χωρίς καμία απολύτως διάκριση, ειδικότερα ως προς τη φυλή, το χρώμα, το φύλο, τη γλώσσα, τις θρησκείες.", "α", "ω"),
+    "arabic": ("يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان، دون أي تمييز، كالتمييز بسبب العنصر أو اللون أو الجنس أو اللغة أو الدين أو الرأي السياسي أو أي رأي آخر، أو الأصل الوطني أو الاجتماعي أو الثروة أو الميلاد.", "ا", "ي"),
+    "devanagari": ("सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। सभी को इस घोषणा में सन्निहित सभी अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य विचार.", "अ", "ह"),
+    "hangul": ("모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 인종, 피부색, 성, 언어, 종교, 정치적 또는 기타의 견해, 민족적 또는 사회적 출신, 재산, 출생 또는 기타의 신분과 같은 어떠한 종류의 차별이 없이, 이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다.", "가", "힣"),
+    "han": ("人人 生而 自由, 在 尊严 和 权利 上 一律 平等. 他们 赋有 理性 和 良心, 并 应 以 兄弟 关系 的 精神 相 对待. 人人 有 资格 享有 本 宣言 所载 的 一切 权利 和 自由, 不分 种族, 肤色, 性别, 语言, 宗教, 政治 或 其他 见解, 国籍 或 社会 出身, 财产, 出生 或 其他 身份 等 任何 区别. 人人 有权 享有 生命.", "一", "龥"),
+    "hebrew": ("כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם זכאי לזכויות ולחרויות שנקבעו בהכרזה זו ללא הפליה כלשהי מטעמי גזע, צבע, מין, לשון, דת, דעה פוליטית או דעה בבעיות אחרות, בגלל מוצא לאומי או חברתי, קנין, לידה או מעמד אחר.", "א", "ת"),
+}
+
+
+def test_quality_bands_by_script(spark):
+    """Prose of each script stays, random letters of it in words of the same lengths go."""
+    r, rows = random.Random(5), []
+    for k, (text, a, b) in enumerate(PROSE.values()):
+        rows.append((2 * k, text, None))
+        rows.append((2 * k + 1, " ".join("".join(chr(r.randint(ord(a), ord(b))) for _ in range(max(2, len(w)))) for w in (text.split() * 3)), "xx"))
+    data, off = text_bytes(pa.array([x[1] for x in rows]))
+    assert [quality.SCRIPTS[k] for k in quality.scripts(data, off)] == [s for s in PROSE for _ in range(2)]
+    got = {x.doc_id: (x.base_failed, x.kept) for x in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {k: (False, k % 2 == 0) for k in range(2 * len(PROSE))}
+
+
+def test_fitted_bands(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    bands = quality.fit_bands(docs, labels, least_rows=5)
+    assert set(bands) <= {"en", "de", "fr", "es"} and "en" in bands
+    good = {x.doc_id for x in labels.filter("quality = 1").collect()}
+    lang = {x.doc_id: x.lang for x in docs.collect()}
+    own = quality.measure(docs, bands={**quality.BANDS, **bands}).collect()
+    assert all(x.kept for x in own if x.doc_id in good and not x.base_failed and lang[x.doc_id] in bands)
+    assert all(b.least_chars >= quality.BANDS[k].least_chars and b.least_byte_chars >= quality.BANDS[k].least_byte_chars for k, b in bands.items())
+
+
 def test_subwords(docs):
     got = subwords.pieces_digest(docs, with_ids=True)
     assert got.filter("not lossless").count() == 0

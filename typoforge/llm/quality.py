@@ -10,8 +10,9 @@ Before the bands, the base rules: fewer than 50 words, or more than half of the
 that occur at least twice.
 
 Defined cases: a null or empty text has no words and fails the base; a null or unknown language is judged by
-script; rows that repeat are judged each by itself; other columns pass through.  Lines and windows are told
-apart by 64-bit hashes within one document.  Memory: a step of texts, and a bounded store of words.
+script; rows that repeat are judged each by itself; other columns pass through, whatever their names; an empty
+table gives an empty result; a very long text is a step of its own.  Lines and windows are told apart by 64-bit
+hashes within one document.  Memory: a step of texts, and a bounded store of words.
 """
 
 from __future__ import annotations
@@ -44,15 +45,61 @@ class Band(NamedTuple):
     least_entropy: float  # bits per token, of texts of 50 words or more
 
 
-#: Fixed bands; languages first, then scripts for what has none of these languages.
+#: Bands of languages (fit_bands() over the labelled documents of the sample tables gives narrower ones), then of scripts
+#: for texts of no such language: between what prose of the script measures and what random letters of it do.
 BANDS = {
     "en": Band(1.6, 6.0, 1.85, 0.05, 4.0),
     "de": Band(1.7, 6.0, 2.0, 0.05, 4.0),
     "fr": Band(1.5, 6.0, 1.7, 0.05, 4.0),
     "es": Band(1.55, 6.0, 1.75, 0.05, 4.0),
-    "latin": Band(1.2, 10.0, 1.2, 0.25, 3.0),
-    "other": Band(0.25, 10.0, 0.25, 1.0, 3.0),
+    "latin": Band(1.0, 8.0, 1.5, 0.25, 3.5),
+    "greek": Band(0.5, 3.0, 1.3, 0.15, 3.5),
+    "cyrillic": Band(1.3, 6.0, 1.5, 0.15, 3.5),
+    "hebrew": Band(0.5, 3.0, 1.12, 0.15, 3.5),
+    "arabic": Band(0.6, 3.0, 1.2, 0.15, 3.5),
+    "devanagari": Band(0.5, 3.0, 0.62, 0.3, 3.5),
+    "thai": Band(0.55, 3.0, 0.72, 0.3, 3.5),
+    "hangul": Band(0.45, 3.0, 0.7, 0.4, 3.5),
+    "han": Band(0.42, 3.0, 0.5, 0.4, 3.5),
+    "other": Band(0.25, 8.0, 0.28, 0.9, 3.0),
 }
+#: Scripts as they are counted; han includes kana.
+SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "devanagari", "thai", "hangul", "han", "other")
+
+
+def _script_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Scripts (index, -1: no letter) by the first byte of a character, and by the first two bytes."""
+    first = np.full(256, -1, np.int8)
+    both = np.full(1 << 16, -1, np.int8)
+    at = SCRIPTS.index
+    for name, ranges in (("latin", [(0xC3, 0xC9)]), ("greek", [(0xCD, 0xCF)]), ("cyrillic", [(0xD0, 0xD4)]), ("hebrew", [(0xD6, 0xD7)]), ("arabic", [(0xD8, 0xDB)]), ("other", [(0xCA, 0xCC), (0xD5, 0xD5), (0xDC, 0xE1), (0xEA, 0xEA), (0xF0, 0xF0)]), ("hangul", [(0xEB, 0xED)]), ("han", [(0xE3, 0xE9)])):
+        for a, b in ranges:
+            first[a : b + 1] = at(name)
+    both[:] = np.repeat(first, 256)
+    two = (("devanagari", 0xE0A4, 0xE0A5), ("thai", 0xE0B8, 0xE0B9), ("hangul", 0xE184, 0xE187), ("latin", 0xE1B8, 0xE1BB), ("greek", 0xE1BC, 0xE1BF), ("hangul", 0xEAB0, 0xEABF), ("other", 0xED9F, 0xEDBF), ("han", 0xEFA4, 0xEFAB), ("arabic", 0xEFAD, 0xEFBB))
+    for name, a, b in two:
+        both[a : b + 1] = at(name)
+    both[0xE380] = -1  # punctuation
+    return first, both
+
+
+_FIRST, _BOTH = _script_tables()
+
+
+def scripts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each text, the index of the script that most of its letters are in (the first of equals; other: no letters)."""
+    n_docs, k = len(off) - 1, len(SCRIPTS)
+    ascii_letters = np.zeros(256, bool)
+    ascii_letters[0x41:0x5B] = ascii_letters[0x61:0x7B] = True
+    plain = np.concatenate([[0], np.cumsum(ascii_letters[data])])
+    at = np.flatnonzero(data >= 0xC3)
+    pair = data[at].astype(np.int64) << 8 | data[np.minimum(at + 1, max(len(data) - 1, 0))]
+    script = _BOTH[pair]
+    at, script = at[script >= 0], script[script >= 0]
+    doc = np.searchsorted(off, at, side="right") - 1
+    count = np.bincount(doc * k + script, minlength=n_docs * k).reshape(n_docs, k)
+    count[:, 0] += plain[off[1:]] - plain[off[:-1]]
+    return np.where(count.any(axis=1), count.argmax(axis=1), k - 1)
 
 
 def entropy(doc: np.ndarray, ids: np.ndarray, n_docs: int, vocab: int) -> np.ndarray:
@@ -126,29 +173,41 @@ def _measure(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: str, byt
     first = np.cumsum(size) - size
     ids = every[ragged(first[idx], size[idx])]
     out["entropy"] = entropy(np.repeat(wdoc, size[idx]), ids.astype(np.int64), n_docs, 1 << 16)
-    # Script: Latin if at least half of the letters are ASCII letters or of the two-byte range up to U+024F.
-    ascii_letters = np.zeros(256, bool)
-    ascii_letters[0x41:0x5B] = ascii_letters[0x61:0x7B] = True
-    latin = np.concatenate([[0], np.cumsum(ascii_letters[data] | ((data >= 0xC3) & (data <= 0xC9)))])
-    letters = np.concatenate([[0], np.cumsum(ascii_letters[data] | (data >= 0xC2))])
-    out["latin"] = 2 * (latin[off[1:]] - latin[off[:-1]]) >= letters[off[1:]] - letters[off[:-1]]
+    out["script"] = scripts(data, off)
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
     return out
 
 
 def _kept(m: dict[str, np.ndarray], langs: list, bands: dict[str, Band]) -> np.ndarray:
-    at = [x if x in bands and x not in ("latin", "other") else "latin" if latin else "other" for x, latin in zip(langs, m["latin"].tolist(), strict=True)]
+    at = [x if x in bands and x not in SCRIPTS else SCRIPTS[k] for x, k in zip(langs, m["script"].tolist(), strict=True)]
     band = np.array([bands[x] for x in at], float).reshape(-1, len(Band._fields)).T
     fine = (m["chars_per_token"] >= band[0]) & (m["chars_per_token"] <= band[1]) & (m["byte_chars_per_token"] >= band[2])
     return ~m["base_failed"] & fine & (m["fallback_share"] <= band[3]) & (m["entropy"] >= band[4])
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, *, margin: float = 0.1, least_rows: int = 20, **options) -> dict[str, Band]:
+    """Bands of the languages of docs that keep every document labelled good, `margin` wider than what those measure.
+
+    labels has doc_id and quality (1: good); a language with fewer good documents than least_rows gets no band.
+    Documents that fail the base rules don't count.  The result is one row a language, from partial aggregates.
+    """
+    (i,) = fresh(docs, "id")
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias(i)).distinct()
+    chosen = docs.join(good, docs["doc_id"] == F.col(i), "left_semi").select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    m = measure(chosen, with_lang=True, **options).filter("not base_failed")
+    fitted = m.groupBy("lang").agg(
+        F.count("*").alias("k"), F.min("chars_per_token").alias("a"), F.max("chars_per_token").alias("b"), F.min("byte_chars_per_token").alias("c"), F.max("fallback_share").alias("d"), F.min("entropy").alias("e")
+    )
+    rows = fitted.filter((F.col("k") >= least_rows) & (F.col("lang") != "")).collect()
+    return {r.lang: Band(r.a * (1 - margin), r.b * (1 + margin), r.c * (1 - margin), r.d * (1 + margin) + margin / 10, r.e * (1 - margin)) for r in rows}
+
+
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DOUBLES = ("chars_per_token", "byte_chars_per_token", "fallback_share", "entropy")
 
 
-def measure(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str = PIECES, byte_model: str = BYTE_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row a document: doc_id, the counts, the measures, base_failed and kept."""
+def measure(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str = PIECES, byte_model: str = BYTE_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_lang: bool = False) -> DataFrame:
+    """One row a document: doc_id, the counts, the measures, base_failed and kept; lang if asked for."""
     bands = bands or BANDS
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), lang.alias("lang"))
@@ -158,12 +217,12 @@ def measure(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str
             m = _measure(column(rows, "text"), data, off, model, byte_model)
             kept = _kept(m, column(rows, "lang").to_pylist(), bands)
             yield pa.RecordBatch.from_arrays(
-                [column(rows, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in LONGS), *(pa.array(m[k]) for k in DOUBLES), pa.array(m["base_failed"]), pa.array(kept)],
-                names=["doc_id", *LONGS, *DOUBLES, "base_failed", "kept"],
+                [column(rows, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in LONGS), *(pa.array(m[k]) for k in DOUBLES), pa.array(m["base_failed"]), pa.array(kept), *[column(rows, "lang")] * with_lang],
+                names=["doc_id", *LONGS, *DOUBLES, "base_failed", "kept", *["lang"] * with_lang],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"doc_id {kind}, {', '.join(f'{k} long' for k in LONGS)}, {', '.join(f'{k} double' for k in DOUBLES)}, base_failed boolean, kept boolean")
+    return map_arrow(rows, run, f"doc_id {kind}, {', '.join(f'{k} long' for k in LONGS)}, {', '.join(f'{k} double' for k in DOUBLES)}, base_failed boolean, kept boolean" + ", lang string" * with_lang)
 
 
 def keep_good(docs: DataFrame, *, bands: dict[str, Band] | None = None, model: str = PIECES, byte_model: str = BYTE_VOCABULARY, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
