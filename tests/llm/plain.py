@@ -1,6 +1,7 @@
 """Plain versions of what the operators compute, one text and one step at a time."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -67,6 +68,37 @@ def dropped_merges(sp, text, doc_id, seed, dropout):
     return out
 
 
+def held_out_losses(encode, size, rows, good, prior):
+    """Mean loss_target - loss_background of rows (id, text), each scored by bigram models of all the others."""
+    ids = [encode(t or "") for _, t in rows]
+    pairs = [Counter(zip([-1, *x], x, strict=False)) for x in ids]
+    pieces, totals = [Counter(), Counter()], [Counter(), Counter()]
+    for (d, _), x, p in zip(rows, ids, pairs, strict=True):
+        for m in (0, 1) if d in good else (1,):
+            pieces[m].update(x)
+            totals[m].update(p)
+    n = [sum(c.values()) for c in pieces]
+    scale = (1.0, n[0] / n[1] if n[0] and n[1] else 1.0)
+    begin = [Counter(), Counter()]
+    for m in (0, 1):
+        for (h, _), k in totals[m].items():
+            begin[m][h] += k
+    out = []
+    for (d, _), x, p in zip(rows, ids, pairs, strict=True):
+        mine = Counter()
+        for (h, _), k in p.items():
+            mine[h] += k
+
+        def loss(m, h, w, p=p, mine=mine, held=(d in good, True)):
+            back = (pieces[m][w] * scale[m] + 0.5) / (n[m] * scale[m] + size / 2)
+            both, first = totals[m][h, w] - held[m] * p[h, w], begin[m][h] - held[m] * mine[h]
+            return -math.log((both * scale[m] + prior * back) / (first * scale[m] + prior))
+
+        each = [loss(0, h, w) - loss(1, h, w) for h, w in zip([-1, *x], x, strict=False)]
+        out.append((d, len(x), sum(each) / len(each) if each else None))
+    return out
+
+
 def quality_counts(text):
     """The base counts of the quality rules."""
     text = text or ""

@@ -204,60 +204,39 @@ def test_decontamination(spark, docs):
     assert cut.count() == len(want)
 
 
-def test_lm_scores(spark, docs):
+@pytest.mark.parametrize("hot", [None, 0, 30])
+def test_lm_scores(spark, docs, monkeypatch, hot):
+    if hot is not None:
+        monkeypatch.setattr(lm_scoring, "HOT_MOST", hot)
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(40)] + [(2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lm_scoring.score(docs, labels, buckets=1 << 12).collect()}
     sp = vocab.pieces()
-    rows = [(r[0], sp.encode(r[1] or "")) for r in corpus()]
-    v = sp.get_piece_size()
-    uni, bi = np.zeros((2, v + 1)), np.zeros((2, 1 << 12))
-    for d, ids in rows:
-        for k in (0, 1) if d is not None and d < 40 and d % 2 == 0 else (1,):
-            for left, right in zip([-1, *ids], ids, strict=False):
-                uni[k][right + 1] += 1
-                bi[k][lm_scoring.cell(np.array([left]), np.array([right]), 1 << 12)[0]] += 1
-            uni[k][0] += bool(ids)
-    m = lm_scoring.Models(uni, bi)
-    for d, ids in rows:
-        if ids:
-            each = m.difference(np.array([-1, *ids[:-1]]), np.array(ids))
-            assert got[d].n_tokens == len(ids) and got[d].loss_difference == pytest.approx(each.mean(), abs=1e-6)
-        else:
-            assert got[d].loss_difference is None
+    want = plain.held_out_losses(sp.encode, sp.get_piece_size(), [r[:2] for r in corpus()], set(range(0, 40, 2)), lm_scoring.PRIOR)
+    clash = docs.withColumnsRenamed({"pos": "of", "key": "good", "n": "row"})
+    got = lm_scoring.score(clash, labels).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or 0)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and g[2] == (w[2] and pytest.approx(w[2], abs=1e-9))
 
 
-@pytest.mark.parametrize("hot", [None, 0, 30])
-def test_lm_scores_are_exact(spark, monkeypatch, hot):
-    """Two bigrams of frequent pieces that share a hashed cell of 2^21, one of them rare, keep counts of their own."""
+def test_lm_models_are_distributions(spark, docs):
     sp = vocab.pieces()
-    word = [i for i in range(sp.get_piece_size()) if re.fullmatch("▁[a-z]{3,}", sp.id_to_piece(i)) and sp.encode(sp.id_to_piece(i)[1:]) == [i]][:2000]
-    left, right = (np.array(x) for x in zip(*((a, b) for a in word[:150] for b in word[-150:]), strict=True))
-    at = lm_scoring.cell(left, right, 1 << 21)
-    order = np.argsort(at, kind="stable")
-    i, j = next((a, b) for a, b in zip(order[:-1], order[1:], strict=True) if at[a] == at[b] and left[a] != left[b] and right[a] != right[b])
-    (a, b), (c, d) = ((sp.id_to_piece(int(left[k]))[1:], sp.id_to_piece(int(right[k]))[1:]) for k in (i, j))
-    texts = [f"{a} {b} " * 40 + "end", f"{c} x " * 40, f"y {d} " * 40, f"{c} {d}", "", None]
-    rows = list(enumerate(texts))
-    if hot is not None:
-        monkeypatch.setattr(lm_scoring, "HOT_MOST", hot, raising=False)
-    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), labels).collect()}
-    ids = {k: sp.encode(t or "") for k, t in rows}
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for k, x in ids.items():
-        for m in (0, 1) if k in (0, 2) else (1,):
-            uni[m].update(x + [-1] * bool(x))
-            bi[m].update(zip([-1, *x], x, strict=False))
-    n = [sum(u.values()) - u[-1] for u in uni]
-    scale, v = (1.0, n[0] / n[1]), sp.get_piece_size()
-
-    def loss(m, h, w):
-        p = (uni[m][w] * scale[m] + 0.5) / (n[m] * scale[m] + v / 2)
-        return -np.log((bi[m][h, w] * scale[m] + lm_scoring.PRIOR * p) / (uni[m][h] * scale[m] + lm_scoring.PRIOR))
-
-    for k, x in ids.items():
-        want = np.mean([loss(0, h, w) - loss(1, h, w) for h, w in zip([-1, *x], x, strict=False)]) if x else None
-        assert got[k].n_tokens == len(x) and (got[k].loss_difference == pytest.approx(want, abs=1e-9) if x else got[k].loss_difference is None)
+    v, r = sp.get_piece_size(), np.random.default_rng(1)
+    counts = r.integers(0, 3, (2, 40, 30))  # of bigrams of few pieces
+    uni, begun = np.zeros((2, v + 1), np.int64), np.zeros((2, v + 1), np.int64)
+    uni[:, 1:31], begun[:, :40] = counts.sum(axis=1), counts.sum(axis=2)
+    m = lm_scoring.Models(uni, begun)
+    for k in (0, 1):
+        for h in range(40):
+            c = np.zeros(v)
+            c[:30] = counts[k, h] * m.scale[k]
+            assert ((c + m.prior * m.p[k][1:]) / (begun[k][h] * m.scale[k] + m.prior)).sum() == pytest.approx(1.0)
+
+
+def test_no_labelled_document(spark, docs):
+    sp, labels = vocab.pieces(), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = plain.held_out_losses(sp.encode, sp.get_piece_size(), [r[:2] for r in corpus()], set(), lm_scoring.PRIOR)
+    got = lm_scoring.score(docs, labels).collect()
+    assert sorted(round(r.loss_difference, 9) for r in got if r.n_tokens) == sorted(round(w[2], 9) for w in want if w[1])
 
 
 def test_token_file(docs, spark, tmp_path):

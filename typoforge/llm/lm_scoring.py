@@ -6,18 +6,20 @@ whole corpora, background counts scaled to the target's size, so their smoothing
 
     p(w | h) = (c(h, w) + K * p(w)) / (c(h) + K),   p(w) = (c(w) + 1/2) / (n + V/2)
 
-A document's score is the mean over its tokens of loss_target - loss_background in nats (lower: more like
-the target).  Tasks count their distinct bigrams, a shuffle adds them up, and the table of bigrams with their
-differences stays distributed: it grows with the input.  The HOT_MOST most frequent bigrams at most are
-broadcast and looked up in the scan; the documents' other bigrams are joined to the table by a shuffle.
-Unigram counts are sums of bigram counts, bounded by the vocabulary, and broadcast.
+c(h) counts the bigrams that begin with h, so p(. | h) sums to 1.  A document's score is the mean over its tokens
+of loss_target - loss_background in nats (lower: more like the target).  Every document is held out: its own
+bigrams are taken off both models' counts before it is scored (off the target's if it is labelled good), so no
+document is scored by a model that saw it.
 
-With `buckets`, bigrams are counted in so many hashed cells instead, a model of bounded size whose cells add up
-colliding bigrams, read with the bound min(cell(h, w), c(h), c(w)); no query uses it.
+Tasks count their distinct bigrams, a shuffle adds them up, and the table of bigrams stays distributed: it grows
+with the input.  The HOT_MOST most frequent bigrams at most are broadcast and looked up in the scan; the
+documents' other bigrams are joined to the table by a shuffle.  Unigram and context counts are sums of bigram
+counts, bounded by the vocabulary, and broadcast.
 
 Defined cases: a null or empty text has no tokens and a null score; documents without a label, or with a null
 one, are background only; several labels of a document count as good if one is; with no good document the
-target is uniform; rows that repeat are counted and scored each; other columns are ignored.
+target is uniform; rows that repeat are counted and scored each, held out one by one; other columns are ignored,
+whatever their names; an empty table gives an empty result; a very long text is a step of its own.
 """
 
 from __future__ import annotations
@@ -29,20 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, column, map_arrow, mix, owner, ragged, steps, store
+from .base import column, map_arrow, owner, ragged, steps, store
 from .vocab import PIECES, fragments, indexed, keep_only, pieces, stored
 
-#: Bigrams that are broadcast at most (16 bytes each).
+#: Bigrams that are broadcast at most (24 bytes each).
 HOT_MOST = 1 << 20
 PRIOR = 50.0
 STEP = 4_000_000
 
 
-def cell(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
-    """The cells of bigrams of piece ids; id -1 stands before a text."""
-    return (mix((left.astype(np.int64) + 1).astype(U64) << U64(32) | right.astype(U64)) & U64(buckets - 1)).astype(np.int64)
-
-
 def tokens(texts: pa.Array, model: str = PIECES) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids of all texts, offsets by text), as the library gives them."""
     import pyarrow.compute as pc
@@ -65,79 +62,35 @@ def _before(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Models:
-    """The counts of both corpora as arrays; losses of bigrams."""
+    """The counts of both corpora by piece (index 0: before a text); row 0 the target, row 1 the background."""
 
-    def __init__(self, uni: np.ndarray, bi: np.ndarray, prior: float = PRIOR) -> None:
-        """uni: 2 x (V + 1) (index 0: before a text), bi: 2 x buckets; row 0 the target, row 1 the background."""
-        self.prior, self.v = prior, uni.shape[1] - 1
-        total = uni[:, 1:].sum(axis=1).astype(float)
+    def __init__(self, uni: np.ndarray, begun: np.ndarray, prior: float = PRIOR) -> None:
+        """uni: how often each piece occurs; begun: how many bigrams begin with it; both 2 x (V + 1)."""
+        self.prior = prior
+        total = uni.sum(axis=1).astype(float)
         self.scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
-        self.uni = uni * self.scale[:, None]
-        self.bi = (bi * self.scale[:, None]).astype(np.float32)
-        n = self.uni[:, 1:].sum(axis=1)
-        self.p = (self.uni + 0.5) / (n + self.v / 2)[:, None]
-
-    def difference(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """loss_target - loss_background of each bigram."""
-        at = cell(left, right, self.bi.shape[1])
-        both = [np.minimum(self.bi[k][at], np.minimum(self.uni[k][left + 1], self.uni[k][right + 1])) for k in (0, 1)]
-        return self.of_counts(left, right, both)
-
-    def of_counts(self, left: np.ndarray, right: np.ndarray, both: list[np.ndarray]) -> np.ndarray:
-        """difference() of bigrams whose scaled counts are known."""
-        logs = [np.log((both[k] + self.prior * self.p[k][right + 1]) / (self.uni[k][left + 1] + self.prior)) for k in (0, 1)]
+        v = uni.shape[1] - 1
+        n = total * self.scale
+        self.begun = begun
+        self.p = (uni * self.scale[:, None] + 0.5) / (n + v / 2)[:, None]
+
+    def difference(self, key: np.ndarray, counts: np.ndarray, own: np.ndarray, own_begun: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """loss_target - loss_background of bigrams with these counts (2 rows) in documents that hold `own` of them."""
+        left, right = key >> 32, (key & 0xFFFFFFFF) + 1
+        logs = []
+        for k, mine in ((0, good.astype(np.int64)), (1, 1)):
+            c = (counts[k] - own * mine) * self.scale[k]
+            h = (self.begun[k][left] - own_begun * mine) * self.scale[k]
+            logs.append(np.log((c + self.prior * self.p[k][right]) / (h + self.prior)))
         return logs[1] - logs[0]
 
 
-def count_cells(docs: DataFrame, *, model: str = PIECES, buckets: int) -> DataFrame:
-    """kind (0 unigram, 1 bigram), at (id + 1, or cell), target, background: counts over all documents.
-
-    docs has text and good (boolean).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = pieces(model).get_piece_size() + 1
-        uni = np.zeros((2, v), np.int64)
-        bi = np.zeros((2, buckets), np.int32)
-        for rows, _, _ in steps(batches, most=STEP):
-            ids, off = tokens(column(rows, "text"), model)
-            good = column(rows, "good").to_numpy(zero_copy_only=False)
-            left = _before(ids, off)
-            at = cell(left, ids, buckets)
-            mine = good[owner(off)]
-            full = np.diff(off) > 0
-            for k, sel in ((0, mine), (1, slice(None))):
-                uni[k] += np.bincount(ids[sel] + 1, minlength=v)
-                uni[k][0] += int((full & good).sum() if k == 0 else full.sum())
-                bi[k] += np.bincount(at[sel], minlength=buckets).astype(np.int32)
-        for kind, (t, b) in enumerate((uni, bi)):
-            used = np.flatnonzero(b)
-            for i in range(0, len(used), 100_000):
-                u = used[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.astype(np.int32)), pa.array(t[u].astype(np.int64)), pa.array(b[u].astype(np.int64))], names=["kind", "at", "target", "background"])
-
-    counted = map_arrow(docs.select("text", "good"), run, "kind int, at int, target long, background long")
-    return counted.groupBy("kind", "at").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(counts: DataFrame, *, model: str = PIECES, buckets: int, prior: float = PRIOR) -> Models:
-    """The models on the driver: at most V + 1 + buckets rows, whatever the corpus."""
-    t = counts.toArrow()
-    uni, bi = np.zeros((2, pieces(model).get_piece_size() + 1), np.int64), np.zeros((2, buckets), np.float32)
-    kind, at = t["kind"].to_numpy(), t["at"].to_numpy()
-    for k, name in enumerate(("target", "background")):
-        n = t[name].to_numpy()
-        uni[k][at[kind == 0]] = n[kind == 0]
-        bi[k][at[kind == 1]] = n[kind == 1]
-    return Models(uni, bi, prior)
-
-
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, good: whether the document has a label of quality 1."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
     # Labels grow with the documents, so this is a sort-merge join at every size.
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return ids.join(good.withColumn("_good", F.lit(True)).hint("merge"), ids["doc_id"] == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("good"))
+    return ids.join(good.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.col("of").isNotNull().alias("good"))
 
 
 def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -184,17 +137,16 @@ def count_bigrams(docs: DataFrame, *, model: str = PIECES) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def _exact_models(bigrams: DataFrame, model: str, prior: float) -> Models:
-    """Models without bigrams: unigrams by their right pieces, and the texts that begin."""
-    right, first = F.col("key").bitwiseAND(0xFFFFFFFF), F.shiftright("key", 32) == 0
-    sums = [F.sum(c).alias(c) for c in ("target", "background")]
-    begun = [F.sum(F.when(first, F.col(c)).otherwise(0)).alias(f"{c}_first") for c in ("target", "background")]
-    t = bigrams.groupBy((right + 1).alias("at")).agg(*sums, *begun).toArrow()
-    uni = np.zeros((2, pieces(model).get_piece_size() + 1), np.int64)
-    for k, name in enumerate(("target", "background")):
-        uni[k][t["at"].to_numpy()] = t[name].to_numpy()
-        uni[k][0] = t[f"{name}_first"].to_numpy().sum()
-    return Models(uni, np.zeros((2, 1)), prior)
+def _models(bigrams: DataFrame, model: str, prior: float) -> Models:
+    """Piece counts, as sums of bigram counts by their right and by their left pieces: V + 1 rows at most each."""
+    made = []
+    for at in (F.col("key").bitwiseAND(0xFFFFFFFF) + 1, F.shiftright("key", 32)):
+        t = bigrams.groupBy(at.alias("at")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
+        out = np.zeros((2, pieces(model).get_piece_size() + 1), np.int64)
+        for k, name in enumerate(("target", "background")):
+            out[k][t["at"].to_numpy()] = t[name].to_numpy()
+        made.append(out)
+    return Models(*made, prior)
 
 
 def _hot(bigrams: DataFrame, most: int) -> tuple[int, bool]:
@@ -208,68 +160,53 @@ def _hot(bigrams: DataFrame, most: int) -> tuple[int, bool]:
     return least, total == sum(by.values())
 
 
-def _score_exactly(docs: DataFrame, labels: DataFrame, model: str, prior: float) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_tokens, loss_difference (mean, nats per token)."""
     spark = docs.sparkSession
-    bigrams = store(count_bigrams(with_target(docs, labels), model=model), "bigrams")
-    models = spark.sparkContext.broadcast(_exact_models(bigrams, model, prior))
-
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = models.value
-        for b in batches:
-            key = column(b, "key").to_numpy()
-            both = [column(b, c).to_numpy() * m.scale[k] for k, c in enumerate(("target", "background"))]
-            yield pa.RecordBatch.from_arrays([column(b, "key"), pa.array(m.of_counts((key >> 32) - 1, key & 0xFFFFFFFF, both))], names=["key", "difference"])
-
+    labelled = store(with_target(docs, labels), "lm-texts")
+    bigrams = store(count_bigrams(labelled, model=model), "bigrams")
+    models = spark.sparkContext.broadcast(_models(bigrams, model, prior))
     least, whole = _hot(bigrams, HOT_MOST)
-    frequent = bigrams.filter(F.col("background") >= F.lit(2.0) ** least)
-    t = map_arrow(frequent, differences, "key long, difference double").toArrow()
-    key, value = t["key"].to_numpy(), t["difference"].to_numpy()
+    t = bigrams.filter(F.col("background") >= F.lit(2.0) ** least).toArrow()
+    key = t["key"].to_numpy()
     order = np.argsort(key)
-    hot = spark.sparkContext.broadcast((key[order], value[order]))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hot = spark.sparkContext.broadcast((key[order], np.stack([t[c].to_numpy()[order] for c in ("target", "background")])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, value = hot.value
+        m, (key, counts) = models.value, hot.value
         for rows, _, _ in steps(batches, most=STEP):
             ids, off = tokens(column(rows, "text"), model)
-            mine = _key(_before(ids, off), ids)
-            at = np.searchsorted(key, mine)
-            known = np.zeros(len(mine), bool)
-            inside = at < len(key)
-            known[inside] = key[at[inside]] == mine[inside]
             n, doc = np.diff(off), owner(off)
-            total = np.bincount(doc[known], value[at[known]], len(n))[: len(n)]
+            good = column(rows, "good").to_numpy(zero_copy_only=False)
+            each, which = np.unique(_key(_before(ids, off), ids), return_inverse=True)
+            # The distinct bigrams of each document, how many it has, and how many that begin alike.
+            _, first, own = np.unique(doc * max(len(each), 1) + which.reshape(-1), return_index=True, return_counts=True)
+            _, begin, held = np.unique(doc << 32 | each[which.reshape(-1)] >> 32, return_inverse=True, return_counts=True)
+            mine, which, doc, begun = each[which.reshape(-1)[first]], which.reshape(-1)[first], doc[first], held[begin.reshape(-1)[first]]
+            at = np.minimum(np.searchsorted(key, each), max(len(key) - 1, 0))
+            known = (key[at] == each if len(key) else np.zeros(len(each), bool))[which]
+            value = m.difference(mine[known], counts[:, at[which[known]]], own[known], begun[known], good[doc[known]])
+            total = np.bincount(doc[known], value * own[known], len(n))[: len(n)]
             miss = np.flatnonzero(~known)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(miss, off).astype(np.int32)), pa.array(mine[miss]))
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(n.astype(np.int64)), pa.array(total.astype(float)), lists], names=["doc_id", "n_tokens", "known", "rest"])
+            rest = pa.StructArray.from_arrays([pa.array(x[miss].astype(np.int64)) for x in (mine, own, begun)], names=["key", "own", "begun"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[miss], np.arange(len(n) + 1)).astype(np.int32)), rest)
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "good"), pa.array(n.astype(np.int64)), pa.array(total.astype(float)), lists], names=["doc_id", "good", "n_tokens", "known", "rest"])
 
-    scanned = map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, known double, rest array<long>")
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    scanned = map_arrow(labelled, run, f"doc_id {kind}, good boolean, n_tokens long, known double, rest array<struct<key:long,own:long,begun:long>>")
     mean = F.when(F.col("n_tokens") > 0, (F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))
     if whole:
         return scanned.withColumn("more", F.lit(0.0)).select("doc_id", "n_tokens", mean.alias("loss_difference"))
-    scanned = store(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = map_arrow(bigrams.filter(F.col("background") < F.lit(2.0) ** least), differences, "key long, difference double")
-    entries = scanned.select("row", F.explode("rest").alias("key"))
-    more = entries.join(rare, "key").groupBy("row").agg(F.sum("difference").alias("more"))
-    return scanned.join(more, "row", "left").select("doc_id", "n_tokens", mean.alias("loss_difference"))
-
-
-def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, buckets: int | None = None, prior: float = PRIOR) -> DataFrame:
-    """doc_id, n_tokens, loss_difference (mean, nats per token); buckets: bigrams in hashed cells instead of exact ones."""
-    if buckets is None:
-        return _score_exactly(docs, labels, model, prior)
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(fit(count_cells(with_target(docs, labels), model=model, buckets=buckets), model=model, buckets=buckets, prior=prior))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = models.value
-        for rows, _, _ in steps(batches, most=STEP):
-            ids, off = tokens(column(rows, "text"), model)
-            each = m.difference(_before(ids, off), ids.astype(np.int64))
-            n = np.diff(off)
-            total = np.bincount(owner(off), each, len(n))[: len(n)]
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(n), mean], names=["doc_id", "n_tokens", "loss_difference"])
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, own, begun, target, background = (column(b, c).to_numpy() for c in ("key", "own", "begun", "target", "background"))
+            value = models.value.difference(key, np.stack([target, background]), own, begun, column(b, "good").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(value * own)], names=["row", "difference"])
 
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, loss_difference double")
+    scanned = store(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rare = bigrams.filter(F.col("background") < F.lit(2.0) ** least)
+    entries = scanned.select("row", "good", F.explode("rest").alias("r")).select("row", "good", "r.key", "r.own", "r.begun")
+    each = map_arrow(entries.join(rare, "key"), differences, "row long, difference double")
+    more = each.groupBy("row").agg(F.sum("difference").alias("more"))
+    return scanned.join(more, "row", "left").select("doc_id", "n_tokens", mean.alias("loss_difference"))
