@@ -200,8 +200,13 @@ def test_decontamination(spark, docs):
         bad = {x["doc_id"] for x in want if x["contaminated"]}
         left = decontaminate.decontaminate(docs, bench, block_bytes=block)
         assert left.columns == docs.columns and not bad & {r.doc_id for r in left.collect()} and left.count() == sum(not x["contaminated"] for x in want)
-    cut = decontaminate.decontaminate(docs, bench, mode="spans")
-    assert cut.count() == len(want)
+    clash = docs.withColumnsRenamed({"pos": "_id", "key": "_th", "n": "_hits"})
+    cut = decontaminate.decontaminate(clash, bench, mode="spans")
+    assert cut.columns == clash.columns and cut.count() == len(want)
+    many = decontaminate.Windows([(str(i), " ".join(f"w{i}x{k}" for k in range(100))) for i in range(4000)])
+    import pickle
+
+    assert len(pickle.dumps(many)) < 12 * sum(len(f"w{i}x{k} ") for i in range(4000) for k in range(100))
 
 
 @pytest.mark.parametrize("hot", [None, 0, 30])
@@ -338,6 +343,18 @@ def test_near_duplicates_of_one_source(spark):
     assert {x.component_id for x in got.collect()} == {0}
 
 
+def test_forgotten_tables(spark):
+    import os
+
+    from typoforge.llm.base import forget, store
+
+    t = store(spark.range(3), "kept")
+    path = t.stored_at
+    assert t.count() == 3 and os.path.exists(path)
+    forget(t, None, spark.range(1))
+    assert not os.path.exists(path)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(200, 201 + i) for i in range(20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -353,6 +370,8 @@ def test_pii(docs):
     assert pairs(pii.pii_digest(docs), *want[0]) == expect(want)
     t = "see https://a.example/x. Account no: 1234 5678, IBAN GB82 WEST 1234 5698 7654 32"
     assert {k for k, _, _ in pii.find(t)} >= {"url", "account", "iban"} and "[URL]" in pii.redacted(t, pii.find(t))
+    clash = docs.withColumnsRenamed({"pos": "whole", "key": "_whole", "n": "spans"})
+    assert pii.redact_pii(clash).columns == clash.columns and quality.keep_good(clash).columns == clash.columns
     clean = pii.redact_pii(docs)
     assert clean.columns == docs.columns and all(not pii.brute(x.text or "") for x in clean.collect() if x.doc_id is not None)
 

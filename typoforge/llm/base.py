@@ -26,11 +26,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.typoforge.shared.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir; one of our own only where there are no other machines."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.typoforge.shared.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="typoforge-")
@@ -43,7 +43,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the tables of store() that no later plan reads."""
+    for f in frames:
+        if f is not None and getattr(f, "stored_at", None):
+            remove(f.sparkSession, f.stored_at)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +87,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches small enough for texts of any usual length."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == conf.get("spark.typoforge.batch", "10000"):  # Spark's default; a user's own setting stays
+        conf.set(_BATCH, "2000")
+        conf.set("spark.typoforge.batch", "2000")
     return df.mapInArrow(fn, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import store
+from .base import forget, store
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,9 +31,11 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = store(large, "large-star")
+        forget(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = store(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        forget(large)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

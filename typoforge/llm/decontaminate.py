@@ -11,7 +11,8 @@ shuffle; with more, the hits of a document meet by its key.
 
 Defined cases: null or empty texts have no words and no hits; a null item_id counts as the id "null";
 rows of the benchmark that repeat an id are one item; rows of the documents that repeat an id are
-judged each by its own text; an empty benchmark hits nothing; other columns are ignored.
+judged each by its own text; an empty benchmark hits nothing; other columns are ignored, whatever their names; an
+empty table gives an empty result; a very long text is a step of its own.
 """
 
 from __future__ import annotations
@@ -24,40 +25,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM, LOWER, U64, column, filled, fresh, keyed, map_arrow, owner, prefix, span, steps, word_hashes, words
+from .base import ALNUM, LOWER, U64, column, filled, fresh, keyed, map_arrow, owner, prefix, ragged, span, steps, word_hashes, words
 
 NGRAM = 10
-BLOCK_BYTES = 32_000_000
+#: Bytes of text of a block of items; its arrays take about seven times as many.
+BLOCK_BYTES = 8_000_000
 
 
 class Windows:
-    """The windows of some items: by length, sorted hashes; by words, the items."""
+    """The windows of some items as arrays: by length, hashes in order with the window's first word and its item.
+
+    The items' words stand in one buffer with a space between, so a window is a range of it: about 40 bytes a word.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int = NGRAM) -> None:
-        self.items: dict[bytes, tuple[str, ...]] = {}
-        found: dict[bytes, set[str]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends, _ = words(raw, np.array([0, len(raw)]), ALNUM)
-            if not len(starts):
-                continue
-            size = min(n, len(starts))
-            pre = prefix(word_hashes(raw, starts, ends))
-            at = np.arange(len(starts) - size + 1)
-            hashes.setdefault(size, []).append(span(pre, at, at + size))
-            for i in at:
-                found.setdefault(b" ".join(raw[starts[k] : ends[k]].tobytes() for k in range(i, i + size)), set()).add(item)
-        self.items = {k: tuple(v) for k, v in found.items()}
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in hashes.items()}
-        self.sieve = {k: np.zeros(1 << 20, bool) for k in self.hashes}
-        for k, v in self.hashes.items():
-            self.sieve[k][v & U64((1 << 20) - 1)] = True
+        self.names = [item for item, _ in items]
+        raw = [text.encode() for _, text in items]
+        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        starts, ends, word_off = words(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64), ALNUM)
+        size = ends - starts
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        text = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        text[ragged(self.starts, size)] = data[ragged(starts, size)]
+        self.text = text.tobytes()
+        many = np.diff(word_off)
+        width = np.minimum(many, n)
+        pre = prefix(word_hashes(data, starts, ends))
+        self.hashes, self.first, self.item, self.sieve = {}, {}, {}, {}
+        for k in np.unique(width[many > 0]).tolist():
+            own = np.flatnonzero(width == k)
+            count = many[own] - k + 1
+            at = ragged(word_off[own], count)
+            h = span(pre, at, at + k)
+            order = np.argsort(h, kind="stable")
+            self.hashes[k], self.first[k], self.item[k] = h[order], at[order].astype(np.int32), np.repeat(own, count)[order].astype(np.int32)
+            self.sieve[k] = np.zeros(1 << 20, bool)
+            self.sieve[k][h & U64((1 << 20) - 1)] = True
+
+    def _items(self, size: int, value: np.uint64, found: bytes) -> tuple[str, ...]:
+        """The items with a window of this hash and these words."""
+        known, first = self.hashes[size], self.first[size]
+        out = set()
+        for w in range(int(np.searchsorted(known, value)), int(np.searchsorted(known, value, side="right"))):
+            i = int(first[w])
+            if self.text[self.starts[i] : self.ends[i + size - 1]] == found:  # verified word by word
+                out.add(self.names[self.item[size][w]])
+        return tuple(out)
 
     def scan(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """(words that are hit, (document, item) pairs) of lower-cased texts."""
         hit = np.zeros(len(starts) + 1, np.int64)
         pairs: set[tuple[int, str]] = set()
+        seen: dict[bytes, tuple[str, ...]] = {}
         if len(starts) and self.hashes:
             doc = owner(word_off)
             pre = prefix(word_hashes(low, starts, ends))
@@ -72,8 +92,10 @@ class Windows:
                     continue
                 near = np.minimum(np.searchsorted(known, h[sel]), len(known) - 1)
                 for i in sel[known[near] == h[sel]].tolist():
-                    items = self.items.get(b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(i, i + size)))
-                    if items:  # verified word by word
+                    found = b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(i, i + size))
+                    if found not in seen:
+                        seen[found] = self._items(size, h[i], found)
+                    if items := seen[found]:
                         hit[i] += 1
                         hit[i + size] -= 1
                         d = int(doc[i])

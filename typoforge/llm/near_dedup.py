@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, SPACED, U64, column, fresh, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
+from .base import LOWER, SPACED, U64, column, forget, fresh, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
 from .components import components
 
 TREES = 24
@@ -175,7 +175,9 @@ def _split(members: DataFrame, found: DataFrame) -> DataFrame:
     rows = members.join(found, members["cls"] == found["node"], "left").select("region", "cls", *ROW, F.coalesce("component", "cls").alias("comp"))
     rows = store(rows, "split")
     several = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
-    return store(rows.join(several, "region"), "several")
+    out = store(rows.join(several, "region"), "several")
+    forget(rows)
+    return out
 
 
 def _with_hubs(split: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,8 +320,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if hubs.isEmpty():
             break
         links, found = links.unionByName(hubs), components(_edges(found).unionByName(hubs))
+        forget(split)
         split = _split(members, found)
     more = _linked(_apart(split, texts), texts)
+    forget(split, members, near, texts)
     # Rows that repeat a doc_id with other texts are one node already: classes that share it as a member link.
     same = real.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("sa").alias("x"), F.max("sa").alias("y")).filter("x <> y").select("doc_id")
     member = real.join(same, "doc_id").join(classes.select("sa", "sb", "n", "cls"), ["sa", "sb", "n"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
