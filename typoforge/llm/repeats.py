@@ -9,7 +9,7 @@
 3. For the other repeated keys, each distinct context is fetched once, and a solver (operator 1: suffix
    arrays; operator 2: relative Lempel-Ziv factors) decides for every d whether the window occurs at another
    place of the block.  Contexts come sorted by key and are solved block by block, so memory is bounded;
-   contexts of a key never split over blocks; keys with more than HOT contexts are decided by counting their
+   contexts of a key never split over blocks; keys that would unbalance the tasks are decided by counting their
    windows instead, with partial aggregation, so no key gathers in one task (both ways give the same windows).
 4. Ranges of repeated windows go back to their documents.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .base import U64, column, keyed, map_arrow, mix, powers, prefix, ragged, span, steps, store, text_bytes
 
-#: A key with more contexts is settled by counting windows.
+#: A key is settled by counting windows if its contexts are more than HOT, and more than HOT_SHARE of a partition's
+#: mean, so that it would unbalance the tasks; solvers take about the same time for every context.
 HOT = 4096
+HOT_SHARE = 2.5
 #: Contexts that a solver takes at once, and a key's more.
 BLOCK = 4096
 _PLACES = U64((1 << 28) - 1)
@@ -235,7 +237,7 @@ def _windows(kind: Kind):
     return run
 
 
-def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed rows with rid, ranges): ranges has rid, th, runs: array<struct<lo,hi>> in symbols of each text, not yet united."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col=id_col, text_col=text_col)
@@ -250,7 +252,8 @@ def repeated_ranges(docs: DataFrame, kind: Kind, *, hot: int = HOT, id_col: str
     need = hits.filter("mixed").groupBy("key", "full").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "th", "pos")).alias("at"))
     want = need.groupBy("at.rid", "at.th").agg(F.collect_list(F.struct("at.pos", "key", "full", "copies")).alias("want"))
     contexts = store(map_arrow(rows.join(want, ["rid", "th"]), _fetch(kind), "key long, full long, copies long, left int, text binary, doc long, pos int"), "contexts")
-    crowded = store(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "crowded")
+    most = max(hot, int(hot_share * contexts.count() / parts))
+    crowded = store(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "crowded")
     runs = "key long, full long, runs array<struct<lo:int,hi:int>>"
     if crowded.isEmpty():
         decided = map_arrow(contexts.repartition(parts, "key").sortWithinPartitions("key"), _solve(kind), runs)
