@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next
 stage's docs.  All but the last keep the columns of documents.  A stage's own result rows decide: quality and
 decontamination drop rows, near-dedup keeps the least doc_id of each group, the personal-data stage rewrites texts.
+
+Defined cases: a null or empty text fails the quality rules, so later stages see none, though each takes them as its
+operator says; rows that repeat an id and its text leave the near-duplicate stage once; a null doc_id is in no group
+and passes it; further columns pass through all stages but the last, whatever their names; an empty table gives an
+empty result; a very long text is handled whole.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typoforge.llm.base import documents, shared_dir
+from typoforge.llm.base import documents, remove, shared_dir
 from typoforge.llm.decontaminate import decontaminate
 from typoforge.llm.near_dedup import drop_near_duplicates
 from typoforge.llm.pii import redact_pii
@@ -60,7 +65,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the documents of a folder."""
     docs = documents(spark, sf_dir)
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
