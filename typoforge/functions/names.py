@@ -126,6 +126,7 @@ def make_typo(name: Column, seed: Column | int, existing: Column | None = None)
     good = F.filter(typo_candidates(name), lambda c: (c["typo"] != name) & is_identifier(c["typo"]) & ~is_reserved(c["typo"]))
     if existing is not None:
         good = F.filter(good, lambda c: ~F.array_contains(existing, c["typo"]))
+    good = F.array_sort(good)
     ops = F.array_distinct(F.transform(good, lambda c: c["op"]))
     op = pick(ops, seed, name, "op")
     return pick(F.transform(F.filter(good, lambda c: c["op"] == op), lambda c: c["typo"]), seed, name, "place")

@@ -52,11 +52,11 @@ def seq2seq(samples: DataFrame, *, length: int = 512, target_length: int = 512,
     return samples.select("sample_index", "code", target(F.col("fixed"), F.col("code")).alias("target")).mapInPandas(_encoder(row, length, target_length), ENCODED)
 
 
-def causal_lm(samples: DataFrame, *, length: int = 1024, ids: Callable[[str], list[int]] = byte_ids) -> DataFrame:
-    """Prompt and target in one sequence; the prompt and the padding are masked in the labels."""
+def causal_lm(samples: DataFrame, *, length: int = 1024, ids: Callable[[str], list[int]] = byte_ids, begin: int | None = None) -> DataFrame:
+    """Prompt and target in one sequence, after a begin id if the model has one; the prompt and the padding are masked in the labels."""
 
     def row(code: str, goal: str) -> tuple[list[int], list[int]]:
-        prompt = ids(LM_PREFIX + code + LM_SUFFIX)
+        prompt = [*([] if begin is None else [begin]), *ids(LM_PREFIX + code + LM_SUFFIX)]
         whole = [*prompt, *ids(goal), END][:length]
         hidden = min(len(prompt), length)
         return whole, [IGNORED_LABEL] * hidden + whole[hidden:]
@@ -76,9 +76,11 @@ def token_labels(tokens: DataFrame, edits: DataFrame, vocab: DataFrame, tag: Col
     """tokens (sample_index, pos, text, is_name) with the index of their tag.
 
     Name tokens that an edit lists get its tag's index (unknown if the vocabulary has none), all others keep.
-    edits has sample_index, corrupted and the columns of `tag`; of several the greatest tag counts.
+    edits has sample_index, corrupted and the columns of `tag`; of several the last by a column position counts, or
+    without one the greatest tag.
     """
-    tagged = edits.groupBy("sample_index", F.col("corrupted").alias("text")).agg(F.max(tag).alias("tag"))
+    last = F.max_by(tag, "position") if "position" in edits.columns else F.max(tag)
+    tagged = edits.groupBy("sample_index", F.col("corrupted").alias("text")).agg(last.alias("tag"))
     indexed = tagged.join(vocab, "tag", "left").select("sample_index", "text", F.coalesce("idx", F.lit(unknown)).alias("edit_idx"))
     return tokens.join(indexed, ["sample_index", "text"], "left").withColumn("label", F.when(F.col("is_name"), F.coalesce("edit_idx", F.lit(keep))).otherwise(F.lit(keep))).drop("edit_idx")
 
@@ -87,3 +89,45 @@ def subword_labels(subwords: DataFrame, labels: DataFrame, ignored: int = IGNORE
     """subwords (sample_index, pos, word_id, is_first) with their word's label on the first and ignored elsewhere."""
     words = labels.select("sample_index", F.col("pos").alias("word_id"), "label")
     return subwords.join(words, ["sample_index", "word_id"], "left").withColumn("label", F.when(F.col("is_first"), F.coalesce("label", F.lit(ignored))).otherwise(F.lit(ignored)))
+
+
+def tagger(samples: DataFrame, vocab: DataFrame, *, char_edit: bool, ids: Callable[[str], list[int]] = byte_ids, start: int = 0, end: int = 1, length: int = 512, ignored: int = IGNORED_LABEL) -> DataFrame:
+    """sample_index, input_ids, attention_mask, tag_labels, detect_labels, raw_code, raw_fixed of samples.
+
+    Name tokens that an edit lists get its tag's index (unknown if the vocabulary lacks it) and detection 1, other
+    tokens keep and 0, both on their first subword; other subwords, start and end are ignored.  A source without tokens
+    is start and end only, with empty raw texts.  The last edit of a name counts.
+    """
+    from ..plans.analyze import align_to_subwords, code_tokens
+    from .relational import first_subword
+    from .vocab import edit_tag
+
+    tokens = samples.select("sample_index", F.posexplode(code_tokens(F.col("code"))).alias("pos", "t")).select("sample_index", "pos", "t.text", "t.is_name")
+    e = samples.select("sample_index", F.posexplode(F.coalesce("edits", F.array().cast(samples.schema["edits"].dataType))).alias("position", "e"))
+    edits = e.select("sample_index", "position", F.col("e.corrupted_name").alias("corrupted"), F.col("e.original_name").alias("original")).filter("corrupted <> '' and original <> ''")
+    tag = edit_tag(F.col("corrupted"), F.col("original"), char_edit)
+    detected = edits.select("sample_index", F.col("corrupted").alias("text")).distinct().withColumn("hit", F.lit(1))
+    labels = token_labels(tokens, edits, vocab, F.coalesce(tag, F.lit(""))).join(detected, ["sample_index", "text"], "left")
+    labels = labels.select("sample_index", F.col("pos").alias("word_id"), "label", F.when(F.col("is_name"), F.coalesce("hit", F.lit(0))).otherwise(0).alias("detect"))
+    subwords = first_subword(align_to_subwords(samples, ids=ids, start=start, end=end, most=length)).join(labels, ["sample_index", "word_id"], "left")
+    own = lambda c: F.when(F.col("is_first"), F.coalesce(c, F.lit(ignored))).otherwise(F.lit(ignored)).alias(c)
+    rows = subwords.select("sample_index", "pos", "input_id", own("label"), own("detect"), F.col("word_id").isNotNull().alias("inner"))
+    items = rows.groupBy("sample_index").agg(F.array_sort(F.collect_list(F.struct("pos", "input_id", "label", "detect"))).alias("r"), F.max("inner").alias("inner"))
+    of = lambda c: F.transform("r", lambda x: x[c])
+    text = lambda c: F.when(F.col("inner"), c).otherwise(F.lit(""))
+    both = items.join(samples.select("sample_index", "code", "fixed"), "sample_index")
+    return both.select(
+        "sample_index", of("input_id").alias("input_ids"), F.transform("r", lambda x: F.lit(1)).alias("attention_mask"), of("label").alias("tag_labels"), of("detect").alias("detect_labels"),
+        text(F.col("code")).alias("raw_code"), text(target(F.col("fixed"), F.col("code"))).alias("raw_fixed"),
+    )
+
+
+def collated(items: DataFrame, size: int, *, pad: int = PAD, ignored: int = IGNORED_LABEL) -> DataFrame:
+    """items of tagger() in batches of `size` by sample_index, each array filled up to its batch's longest; raw texts stay."""
+    from ..functions.text import padded
+    from .ranks import rank_by_id
+
+    ranked = rank_by_id(items, "sample_index").withColumn("batch", F.floor(F.col("ordinal") / size)).drop("ordinal")
+    longest = ranked.groupBy("batch").agg(F.max(F.size("input_ids")).alias("longest"))
+    fill = {"input_ids": pad, "attention_mask": 0, "tag_labels": ignored, "detect_labels": ignored}
+    return ranked.join(longest, "batch").withColumns({c: padded(F.col(c), F.col("longest"), F.lit(k)) for c, k in fill.items()}).drop("longest")

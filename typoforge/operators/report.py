@@ -17,10 +17,16 @@ def length_percentiles(rows: DataFrame, length: str) -> DataFrame:
     return rows.agg(*(F.percentile(F.col(length), q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)), F.max(length).alias("longest"))
 
 
-def histogram(rows: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
-    """bin (1..bins), n over equal bins between two bounds (the upper one is in the last bin)."""
-    at = F.least(F.floor((F.col(value) - low) * bins / (high - low)) + 1, F.lit(bins))
-    return rows.filter(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+def histogram(rows: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """bin (1..bins), n over equal bins between two bounds, the least and the largest value unless given.
+
+    The upper bound is in the last bin; values beyond given bounds are in the outer bins; nulls are left out.
+    """
+    limits = rows.agg(*(F.lit(given).cast("double").alias(n) if given is not None else f(value).cast("double").alias(n) for n, given, f in (("low", low, F.min), ("high", high, F.max))))
+    v, a, b = F.col("v").cast("double"), F.col("low"), F.col("high")
+    at = F.when(b > a, F.greatest(F.lit(1), F.least(F.floor((v - a) * bins / (b - a)) + 1, F.lit(bins)))).otherwise(F.lit(bins)).cast("long")
+    here = rows.select(F.col(value).alias("v")).filter("v is not null").crossJoin(F.broadcast(limits))  # one row
+    return here.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def matrix(records: DataFrame, metric: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import bucketed_rank
+from ..functions.edits import char_edit_tag, replace_tag
 from ..fixed import CASE, DEL, EDIT_ALPHABET, INS, MAX_POSITION, REPLACE, SPECIAL_TAGS, SUB, SWAP
 
 
@@ -50,6 +51,11 @@ def is_char_edit_vocab(vocab: DataFrame) -> bool:
     return not vocab.filter((F.col("idx") < 50) & F.col("tag").startswith(SWAP)).isEmpty()
 
 
+def edit_tag(corrupted: Column, original: Column, char_edit: bool) -> Column:
+    """The tag of an edit in a vocabulary of that mode: a character edit (null if there is none), or the replacement."""
+    return char_edit_tag(corrupted, original) if char_edit else replace_tag(original)
+
+
 def to_index(tags: DataFrame, vocab: DataFrame, tag: str = "tag", unknown: int = 2) -> DataFrame:
     """tags with idx: that of its tag, or the unknown one's.  Vocabularies are small dimensions; the join decides how."""
     return tags.join(vocab.select(F.col("tag").alias(tag), F.col("idx")), tag, "left").withColumn("idx", F.coalesce("idx", F.lit(unknown)))

@@ -13,7 +13,7 @@ from .functions import names as N
 from .functions import text as X
 from .operators import evaluate as V
 from .operators import relational as R
-from .operators import report, vocab
+from .operators import encode, report, vocab
 from .operators.encode import subword_labels, token_labels
 from .operators.ranks import rank_by_id
 from .plans import analyze, fixers, inject
@@ -205,6 +205,17 @@ def apply_edit(spark, sf_dir):
     return p.withColumn("applied", E.apply_char_edit(F.col("c"), F.col("tag"))).withColumn("name_tag", F.coalesce("tag", E.replace_tag(F.col("o"))))
 
 
+@query(f"""WITH {_SQL_NAMES}, g AS (SELECT unnest(['$SWAP_1', '$SWAP_', '$SWAP_x', '$SWAP_99999', '$DEL_0', '$DEL_0_a', '$INS_0', '$INS_2_z', '$SUB_1_', '$SUB_1_Q', '$CASE_0', '$CASE_-1', '$KEEP', '', 'SWAP_1', '$ROT_1']) AS tag)
+SELECT name, tag, CASE WHEN tag = '$SWAP_1' AND len(name) > 2 THEN name[1] || name[3] || name[2] || substr(name, 4) WHEN tag = '$DEL_0' THEN substr(name, 2)
+WHEN tag = '$INS_2_z' AND len(name) >= 2 THEN name[1:2] || 'z' || substr(name, 3) WHEN tag = '$SUB_1_Q' AND len(name) > 1 THEN name[1] || 'Q' || substr(name, 3)
+WHEN tag = '$CASE_0' THEN CASE WHEN name[1] = upper(name[1]) THEN lower(name[1]) ELSE upper(name[1]) END || substr(name, 2) END AS applied FROM names, g""")
+def apply_odd_edits(spark, sf_dir):
+    """Edit tags that fit, are malformed, out of range, or no edits at all."""
+    odd = ["$SWAP_1", "$SWAP_", "$SWAP_x", "$SWAP_99999", "$DEL_0", "$DEL_0_a", "$INS_0", "$INS_2_z", "$SUB_1_", "$SUB_1_Q", "$CASE_0", "$CASE_-1", "$KEEP", "", "SWAP_1", "$ROT_1"]
+    n = names(spark, sf_dir).withColumn("tag", F.explode(F.array(*map(F.lit, odd))))
+    return n.withColumn("applied", E.apply_char_edit(F.col("name"), F.col("tag")))
+
+
 @query(f"{_SQL_PAIRS}, {_SQL_TAG} SELECT c, o, round(levenshtein(c, o)::DOUBLE / greatest(len(c), len(o)), 6) AS distance FROM tags")
 def norm_edit_distance(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("distance", F.round(E.normalised_distance(F.col("c"), F.col("o")), 6))
@@ -352,6 +363,41 @@ def ordinal_split_compat(spark, sf_dir):
     return readers.iter_source("codealpaca", _alpaca(spark, sf_dir), split="validation", max_samples=1400, compat=True)
 
 
+_SIZES = {"train": 100, "validation": 30, "test": 20}
+
+
+@query(f"WITH {_SQL_ALPACA}, r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS r FROM alpaca) SELECT id, code, CASE WHEN r < 100 THEN 'train' WHEN r < 130 THEN 'validation' ELSE 'test' END AS split FROM r WHERE r < 150")
+def split_sizes(spark, sf_dir):
+    """All three splits, cut inside of the data."""
+    rows = _alpaca(spark, sf_dir)
+    parts = [readers.iter_source("codealpaca", rows, split=s, sizes=_SIZES).withColumn("split", F.lit(s)) for s in _SIZES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH {_SQL_ALPACA}, r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS r FROM alpaca)
+SELECT id, 'own' AS cap FROM r WHERE r >= 100 AND r < 112 UNION ALL SELECT id, 'end' FROM r WHERE r >= 100 AND r < 112""")
+def split_caps(spark, sf_dir):
+    """The validation split capped by its own size, and at an absolute end."""
+    rows = _alpaca(spark, sf_dir)
+    own = readers.iter_source("codealpaca", rows, split="validation", sizes=_SIZES, max_samples=12).select("id", F.lit("own").alias("cap"))
+    return own.unionByName(readers.iter_source("codealpaca", rows, split="validation", sizes=_SIZES, max_samples=112, compat=True).select("id", F.lit("end").alias("cap")))
+
+
+@query(f"SELECT id, code FROM (SELECT doc_id AS id, text AS code FROM documents WHERE len(text) >= 20 ORDER BY {_SQL_HASH(chr(39) + '2026' + chr(39), 'doc_id')}, doc_id LIMIT 150)")
+def sampled_few(spark, sf_dir):
+    """The seeded sample with fewer rows than there are."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return readers.iter_source("github_python", d, max_samples=150)
+
+
+@query("""SELECT count(*) FILTER (s <= 1048576) AS lines, coalesce(max(s) FILTER (s <= 1048576), 0)::BIGINT AS bytes, max(s) > 1048576 AS truncated
+FROM (SELECT sum(strlen(text)) OVER (ORDER BY doc_id)::BIGINT AS s FROM documents)""")
+def cap_flag(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    kept = readers.within_bytes(d, 1 << 20, bucket=100, flag=True)
+    return kept.agg(F.count("*").alias("lines"), F.max("running_bytes").alias("bytes"), F.max("truncated").alias("truncated"))
+
+
 @query(f"SELECT id, code FROM (SELECT doc_id AS id, text AS code FROM documents WHERE len(text) >= 20 ORDER BY {_SQL_HASH(chr(39) + '2026' + chr(39), 'doc_id')}, doc_id LIMIT 3000)")
 def load_sampled(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -408,6 +454,17 @@ def search_text(spark, sf_dir):
     return R.search(d, "tion The").select("doc_id")
 
 
+@query("""SELECT o_orderkey AS sample_index FROM orders WHERE contains(lower(o_orderpriority || ' v = ' || o_orderkey || ' ' || 'Status' || o_orderstatus || ' Cust' || o_custkey || ' x' || o_orderkey || ' y'), '7 sta')
+OR contains(lower(o_orderpriority || ' v = ' || o_orderkey || ' ' || 'Status' || o_orderstatus || ' Cust' || o_custkey || ' x' || o_orderkey || ' y'), 'cust12')""")
+def search_edits(spark, sf_dir):
+    """Samples found by their target, code, or the names of their edits."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edit = lambda a, b: F.struct(a.alias("original_name"), b.alias("corrupted_name"))
+    edits = F.array(edit(text("Status", "o_orderstatus"), text("Cust", "o_custkey")), edit(text("x", "o_orderkey"), F.lit("y")))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_index"), text("v = ", "o_orderkey").alias("code"), F.col("o_orderpriority").alias("fixed"), edits.alias("edits"))
+    return R.search(s, "7 STA").unionByName(R.search(s, "cust12")).select("sample_index").distinct()
+
+
 # --------------------------------------------------------------------------- evaluation
 
 
@@ -636,9 +693,10 @@ def length_percentiles(spark, sf_dir):
     return p.select(*(F.round(c, 6).alias(c) for c in p.columns[:-1]), "longest")
 
 
-@query("SELECT least(floor(n_chars * 60.0 / 12000) + 1, 60)::BIGINT AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 12000 GROUP BY 1")
+@query("""WITH b AS (SELECT min(n_chars)::DOUBLE AS a, max(n_chars)::DOUBLE AS b FROM documents)
+SELECT least(floor((n_chars::DOUBLE - a) * 60 / (b.b - a)) + 1, 60)::BIGINT AS bin, count(*) AS n FROM documents, b GROUP BY 1""")
 def length_histogram(spark, sf_dir):
-    return report.histogram(table(spark, sf_dir, "documents"), "n_chars", 60, 0, 12000)
+    return report.histogram(table(spark, sf_dir, "documents"), "n_chars", 60)
 
 
 @query("SELECT o_orderpriority AS model, max(o_totalprice) FILTER (o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (o_orderstatus = 'O') AS O, max(o_totalprice) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -775,6 +833,37 @@ def build_counts(spark, sf_dir):
     return inject.build_counts(inject.build(supplier_code(spark, sf_dir), PLAN), PLAN.variants)
 
 
+_SQL_MADE = f"""good AS (SELECT t.name, op, list(typo ORDER BY pos, typo) AS c FROM typos t WHERE typo <> t.name AND {_SQL_IDENT('typo')} AND NOT {_SQL_RESERVED.replace('name', 'typo')} GROUP BY 1, 2),
+ops AS (SELECT name, list(op ORDER BY op) AS o FROM good GROUP BY 1),
+chosen AS (SELECT name, o[({_SQL_HASH("'7'", 'name', "'op'")} % len(o))::BIGINT + 1] AS op FROM ops)"""
+
+
+@query(f"""WITH {_SQL_NAMES}, {_SQL_AT}, {_SQL_TYPOS}, {_SQL_MADE} SELECT n.name, c[({_SQL_HASH("'7'", 'n.name', "'place'")} % len(c))::BIGINT + 1] AS typo
+FROM names n LEFT JOIN chosen x ON n.name = x.name LEFT JOIN good g ON g.name = x.name AND g.op = x.op""")
+def made_typos(spark, sf_dir):
+    """A seeded operation first, then a seeded result of it."""
+    return names(spark, sf_dir).withColumn("typo", N.make_typo(F.col("name"), 7))
+
+
+@query(f"""WITH {_SQL_CODE}, t AS (SELECT id, x, y, unnest({_token_sql()}, recursive := true) FROM snippets),
+v AS (SELECT name, (row_number() OVER (ORDER BY name) + 2)::INT AS idx FROM (SELECT DISTINCT split_part(p_name, ' ', 1) || '_count' AS name FROM part) WHERE len(name) < 10),
+l AS (SELECT id, pos, text, (text = x)::INT AS hit, coalesce(idx, 2) AS idx FROM t LEFT JOIN v ON v.name = x),
+c AS (SELECT id, pos AS word_id, unnest(range(len(text))) AS k, text, CASE WHEN hit = 1 THEN idx ELSE 0 END AS label, hit FROM l),
+b AS (SELECT id, ord(text[k + 1]) + 3 AS input_id, CASE WHEN k = 0 THEN label ELSE -100 END AS tag_label, CASE WHEN k = 0 THEN hit ELSE -100 END AS detect_label, row_number() OVER (PARTITION BY id ORDER BY word_id, k) AS pos FROM c),
+w AS (SELECT id, pos::INT AS pos, input_id, tag_label, detect_label FROM b WHERE pos <= 510 UNION ALL SELECT id, 0, 0, -100, -100 FROM snippets UNION ALL SELECT id, least(510, count(*))::INT + 1, 1, -100, -100 FROM b GROUP BY 1)
+SELECT id AS sample_index, pos, input_id, tag_label, detect_label FROM w""")
+def tagger_items(spark, sf_dir):
+    """Encoded tagger items: the first parameter is the name to correct; long originals are not in the vocabulary."""
+    code = part_code(spark, sf_dir)
+    parameter = F.regexp_extract("code", r"\(([a-z]+_count)", 1)
+    edit = F.struct(parameter.alias("original_name"), parameter.alias("corrupted_name"), F.lit(1).alias("num_occurrences"))
+    samples = code.select(F.col("id").alias("sample_index"), "code", F.lit(None).cast("string").alias("fixed"), F.array(edit).alias("edits"))
+    counts = code.select(parameter.alias("name")).distinct().filter(F.length("name") < 10).withColumn("n", F.lit(1))
+    items = encode.tagger(samples, vocab.replace_vocab(counts), char_edit=False)
+    rows = items.select("sample_index", F.posexplode(F.arrays_zip("input_ids", "tag_labels", "detect_labels")).alias("pos", "r"))
+    return rows.select("sample_index", "pos", F.col("r.input_ids").alias("input_id"), F.col("r.tag_labels").alias("tag_label"), F.col("r.detect_labels").alias("detect_label"))
+
+
 def _quality(frame: DataFrame) -> DataFrame:
     """Metrics without times."""
     return frame.drop("total_time_seconds", "avg_time_per_sample_seconds", "avg_time_per_kb_seconds")

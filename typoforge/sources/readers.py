@@ -52,22 +52,23 @@ def load_code_search_net(rows: DataFrame, max_samples: int | None = None) -> Dat
     return first_rows(rows, max_samples).select("id", code.alias("code")).filter("code is not null")
 
 
-def ordinal_split(rows: DataFrame, source: str, split: str, by: str = "id", max_samples: int | None = None, compat: bool = False) -> DataFrame:
+def ordinal_split(rows: DataFrame, source: str, split: str, by: str = "id", max_samples: int | None = None, compat: bool = False, sizes: dict[str, int] | None = None) -> DataFrame:
     """The rows of a split by their rank: train first, then validation, then test; none of an unknown split.
 
-    max_samples caps the split; with compat it caps the absolute end, so that late splits may be empty.
+    max_samples caps the split; with compat it caps the absolute end, so that late splits may be empty.  sizes
+    stands for the source's own sizes.
     """
-    start, end = split_range(source, split)
+    start, end = split_range(source, split, sizes)
     if max_samples is not None:
         end = min(end, max_samples if compat else start + max_samples)
     ranked = rank_by_id(rows, by)
     return ranked.filter((F.col("ordinal") >= start) & (F.col("ordinal") < end)).drop("ordinal")
 
 
-def split_range(source: str, split: str) -> tuple[int, int]:
+def split_range(source: str, split: str, sizes: dict[str, int] | None = None) -> tuple[int, int]:
     at = 0
     for name in ("train", "validation", "test"):
-        size = SPLIT_SIZES.get(source, {}).get(name, 0)
+        size = (SPLIT_SIZES.get(source, {}) if sizes is None else sizes).get(name, 0)
         if name == split:
             return at, at + size
         at += size
@@ -78,9 +79,9 @@ def magicoder_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("lang = 'python'").select("id", python_blocks(F.col("solution")).alias("code")).filter("code is not null")
 
 
-def load_magicoder(rows: DataFrame, split: str = "train", max_samples: int | None = None, compat: bool = False) -> DataFrame:
+def load_magicoder(rows: DataFrame, split: str = "train", max_samples: int | None = None, compat: bool = False, sizes: dict[str, int] | None = None) -> DataFrame:
     """Python solutions' fenced blocks, split by rank."""
-    return ordinal_split(magicoder_rows(rows), "magicoder", split, max_samples=max_samples, compat=compat)
+    return ordinal_split(magicoder_rows(rows), "magicoder", split, max_samples=max_samples, compat=compat, sizes=sizes)
 
 
 def codealpaca_rows(rows: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def codealpaca_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(python).select("id", code.alias("code")).filter(F.length("code") > 10)
 
 
-def load_codealpaca(rows: DataFrame, split: str = "train", max_samples: int | None = None, compat: bool = False) -> DataFrame:
-    return ordinal_split(codealpaca_rows(rows), "codealpaca", split, max_samples=max_samples, compat=compat)
+def load_codealpaca(rows: DataFrame, split: str = "train", max_samples: int | None = None, compat: bool = False, sizes: dict[str, int] | None = None) -> DataFrame:
+    return ordinal_split(codealpaca_rows(rows), "codealpaca", split, max_samples=max_samples, compat=compat, sizes=sizes)
 
 
 def load_github_python(rows: DataFrame, max_samples: int | None = None, seed: int = GITHUB_SEED) -> DataFrame:
@@ -142,11 +143,26 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
-    """path, bytes, kind of data files below a folder; results are told from datasets by their first 512 characters."""
+    """path, bytes, kind of data files below a folder; results are told from datasets by their first 512 characters.
+
+    Files are listed without their content, and no more than a prefix of each is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    head = F.substring(F.decode(F.substring("content", 1, 2048), "UTF-8"), 1, 512)
-    kind = F.when(head.contains('"metrics"') & head.contains('"per_sample"'), "result").otherwise("dataset")
-    return files.select("path", F.col("length").alias("bytes"), kind.alias("kind"))
+    rows = []
+    for f in files.select("path", "length").collect():
+        head = _prefix(spark, f.path, 2048).decode("utf-8", "ignore")[:512]
+        rows.append((f.path, f.length, "result" if '"metrics"' in head and '"per_sample"' in head else "dataset"))
+    return spark.createDataFrame(rows, "path string, bytes long, kind string")
+
+
+def _prefix(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first n bytes of a file of any file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def checkpoints(folder: str) -> list[str]:
@@ -155,12 +171,12 @@ def checkpoints(folder: str) -> list[str]:
 
 
 def training_files(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """Sample files whose path contains a word (train, val), in any case."""
-    return discover(spark, path).filter(F.lower("path").contains(part))
+    """Sample files whose name contains a word (train, val), in any case."""
+    return discover(spark, path).filter(F.lower(F.element_at(F.split("path", "/"), -1)).contains(part))
 
 
-def within_bytes(lines: DataFrame, cap: int, by: str = "id", text: str = "text", bucket: int = 10_000) -> DataFrame:
-    """The leading lines (by id) whose running size in UTF-8 bytes is within a cap.
+def within_bytes(lines: DataFrame, cap: int, by: str = "id", text: str = "text", bucket: int = 10_000, flag: bool = False) -> DataFrame:
+    """The leading lines (by id) whose running size in UTF-8 bytes is within a cap; flag adds truncated, whether any is left out.
 
     Sizes are summed by id bucket first, so that no task holds all lines: a bucket's offset is the sum of those before.
     """
@@ -170,7 +186,11 @@ def within_bytes(lines: DataFrame, cap: int, by: str = "id", text: str = "text",
     offset = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).filter(F.col("_before") <= cap).drop("_sum")
     inside = Window.partitionBy("_bucket").orderBy(by)
     run = size.join(offset, "_bucket").withColumn("running_bytes", F.col("_before") + F.sum("_size").over(inside))
-    return run.filter(F.col("running_bytes") <= cap).drop("_bucket", "_size", "_before")
+    kept = run.filter(F.col("running_bytes") <= cap).drop("_bucket", "_size", "_before")
+    if not flag:
+        return kept
+    whole = sums.agg((F.sum("_sum") > cap).alias("truncated"))  # one row
+    return kept.crossJoin(F.broadcast(whole))
 
 
 def kind_of(column: Column) -> Column:
