@@ -29,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, SPACED, U64, column, forget, fresh, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
+from .base import LOWER, SPACED, STEP_BYTES, U64, column, forget, fresh, keyed, map_arrow, mix, owner, prefix, ragged, span, steps, store, text_bytes, word_hashes, words
 from .components import components
+from .vocab import keep_only
 
 TREES = 24
 DEPTH = 8
@@ -102,6 +104,7 @@ def labels(sig: np.ndarray, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only()
     pair = pa.struct([("region", pa.int64()), ("deep", pa.int64())])
     for rows, data, off in steps(batches):
         h, soff = shingles(data, off)
@@ -270,9 +273,10 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts' shingle sets are similar enough."""
     for batch in batches:
-        step = 512
-        for s in range(0, batch.num_rows, step):
-            rows = batch.slice(s, step)
+        sizes = [pc.binary_length(column(batch, side)).to_numpy().astype(np.int64) for side in ("text_a", "text_b")]
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes[0] + sizes[1]) // STEP_BYTES, append=-1)) + 1
+        for s, e in zip(np.append(0, ends[:-1])[: len(ends)].tolist(), ends.tolist(), strict=True):
+            rows = batch.slice(s, e - s)
             h, pair, size = [], [], []
             for side in ("text_a", "text_b"):
                 data, off = text_bytes(column(rows, side))

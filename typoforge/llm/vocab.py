@@ -87,9 +87,11 @@ _STORES: weakref.WeakSet = weakref.WeakSet()
 
 def keep_only(*stores: Store) -> None:
     """Empty all other stores of this worker, so that its memory is that of the operator it runs."""
-    for s in _STORES:
-        if s.n and s not in stores:
-            s.clear()
+    others = [s for s in _STORES if s.n and s not in stores]
+    for s in others:
+        s.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
 
 
 class Store:
@@ -99,7 +101,7 @@ class Store:
     whatever the vocabulary.  encode takes a list of keys and returns (all ids, how many each key has).
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 150_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
         _STORES.add(self)
