@@ -58,26 +58,30 @@ def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFr
 
 
 def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFrame:
-    """words with key: each word, and what is left of it after deleting up to `most` characters (rows may repeat)."""
-    out = words.withColumn("key", F.col(word))
+    """words with key: a hash of each word, and of what is left of it after deleting up to `most` characters.
+
+    Deletions are taken from left to right, so each set of places is one row; only repeated letters repeat a key.
+    """
+    out = words.withColumn("_rest", F.col(word)).withColumn("_at", F.lit(0))
     for _ in range(most):
-        out = out.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.length("key"))))
-        shorter = F.concat(F.substr("key", F.lit(1), F.col("_cut") - 1), F.substr("key", F.col("_cut") + 1, F.length("key")))
-        out = out.withColumn("key", F.when(F.col("_cut") == 0, F.col("key")).otherwise(shorter)).drop("_cut")
-    return out
+        places = F.when(F.col("_at") <= F.length("_rest"), F.sequence("_at", F.length("_rest")))  # 0: none
+        out = out.withColumn("_at", F.explode(places))
+        shorter = F.concat(F.substr("_rest", F.lit(1), F.col("_at") - 1), F.substr("_rest", F.col("_at") + 1, F.length("_rest")))
+        out = out.withColumn("_rest", F.when(F.col("_at") == 0, F.col("_rest")).otherwise(shorter))
+    return out.withColumn("key", F.xxhash64("_rest")).drop("_rest", "_at")
 
 
 def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """Pairs (word, candidate, distance, n) within `most` edits, for words that are not in the dictionary.
 
     Both sides explode their deletion neighbourhoods and meet by equality, so work follows the neighbourhoods and
-    never the product; the distance is verified.
+    never the product; the distance is verified before pairs are made distinct.
     """
     unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
     left = deletion_keys(unknown, "word", most)
     right = deletion_keys(dictionary.select(F.col("word").alias("candidate"), "n"), "candidate", most)
-    pairs = left.join(right, "key").select("word", "candidate", "n").distinct()
-    return pairs.withColumn("distance", F.levenshtein("word", "candidate", most)).filter(F.col("distance") >= 0)
+    pairs = left.join(right, "key").select("word", "candidate", "n", F.levenshtein("word", "candidate", most).alias("distance"))
+    return pairs.filter("distance >= 0").distinct()
 
 
 def best_candidate(pairs: DataFrame) -> DataFrame:

@@ -530,19 +530,19 @@ def _spelled_words(spark, sf_dir):
     return w.groupBy("word").agg(F.count("*").alias("all"), F.count_if(F.col("lang") == "en").alias("n"))
 
 
-@query("""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word, lang FROM documents), d AS (SELECT word, count(*) AS n FROM w WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 100),
+@query("""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word, lang FROM documents), d AS (SELECT word, count(*) AS n FROM w WHERE lang = 'en' GROUP BY 1),
 u AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM d)),
 lk AS (SELECT word, word AS key FROM u UNION SELECT word, word[:i] || word[i+2:] FROM (SELECT word, unnest(range(len(word))) AS i FROM u)),
 rk AS (SELECT word AS candidate, n, word AS key FROM d UNION SELECT word, n, word[:i] || word[i+2:] FROM (SELECT word, n, unnest(range(len(word))) AS i FROM d))
 SELECT DISTINCT word, candidate, n, levenshtein(word, candidate)::INT AS distance FROM lk JOIN rk USING (key) WHERE levenshtein(word, candidate) <= 1""")
 def spell_candidates(spark, sf_dir):
     counts = _spelled_words(spark, sf_dir)
-    return R.spell_candidates(counts, counts.filter("n >= 100").select("word", "n"), 1)
+    return R.spell_candidates(counts, counts.filter("n > 0").select("word", "n"), 1)
 
 
 @query()
 def spell_candidates_whole(spark, sf_dir):
-    """Two edits and every English word; tested against brute force."""
+    """The same with two edits; tested against brute force."""
     counts = _spelled_words(spark, sf_dir)
     return R.spell_candidates(counts, counts.filter("n > 0").select("word", "n"))
 
@@ -679,10 +679,10 @@ def best_epoch(spark, sf_dir):
     return R.best_epoch(table(spark, sf_dir, "events").select(F.col("value").alias("val_loss"), F.col("event_id").alias("epoch")))
 
 
-@query("""WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, least(len(text) // 100, 40) AS n FROM documents)
+@query("""WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, len(text) // 100 AS n FROM documents)
 SELECT doc_id, batch, (max(n) OVER (PARTITION BY batch) - n)::INT AS pads, max(n) OVER (PARTITION BY batch)::INT AS length FROM r""")
 def pad_batches(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_repeat(F.lit(7), F.least(F.floor(F.length("text") / 100), F.lit(40)).cast("int")).alias("ids"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_repeat(F.lit(7), F.floor(F.length("text") / 100).cast("int")).alias("ids"))
     p = R.pad_batches(R.batches(d, 32, by="doc_id"), "ids", -1)
     return p.select("doc_id", "batch", F.size(F.filter("ids", lambda x: x == -1)).alias("pads"), F.size("ids").alias("length"))
 
