@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .base import documents
+from .byte_bpe import bpe_digest
 from .decontaminate import leak_digest
 from .lm_scoring import score
 from .near_dedup import near_digest
@@ -58,5 +59,9 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords, op11_byte_bpe)}
 ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE, "op7_near_dedup": oracles.NEAR_DEDUP}
