@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 _WHOLE = (1 << 64) - 1
@@ -108,3 +109,53 @@ def quality_counts(text):
     hit = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
     out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
     return out | {"base_failed": out["n_words"] < 50 or 100 * len(hit) > 50 * len(w)}
+
+
+def edits_apart(a, b):
+    """Whether a and b differ by exactly one inserted, deleted or replaced character."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(rows, draw=199, chars=6, count=5, ratio=5):
+    """word, form, root, n, n_near, form_n of the words of (id, text) rows, every pair of like lengths compared."""
+    n = Counter()
+    for d, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{'null' if d is None else d}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if draw and h % draw == 0 else w] += 1
+    n = {w: k for w, k in n.items() if len(w) >= chars and k >= count}
+    by_length, near = {}, {w: [] for w in n}
+    for w in n:
+        by_length.setdefault(len(w), []).append(w)
+    for w in n:
+        near[w] = [v for size in (len(w) - 1, len(w), len(w) + 1) for v in by_length.get(size, ()) if edits_apart(w, v)]
+    best = {w: min(x, key=lambda v: (-n[v], v)) for w, x in near.items() if x}
+    form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
+    root = lambda w: root(form[w]) if w in form else w
+    return [(w, form.get(w), root(w), k, len(near[w]), n[form[w]] if w in form else None) for w, k in n.items()]
+
+
+def search(docs, items, k=10):
+    """(item, rank, document, score) of every item, each document scored term by term."""
+    term = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(d, Counter(term(t))) for d, t in docs]
+    some = sum(1 for _, b in bags if b)
+    total = sum(sum(b.values()) for _, b in bags)
+    df = Counter(w for _, b in bags for w in b)
+    weight = {w: math.floor(1000 * math.log((2 * some + 2) / (2 * x + 1))) for w, x in df.items()}
+    out = []
+    for i, t in items:
+        scored = []
+        for d, b in bags:
+            m = 100 - 75 + 75 * sum(b.values()) * some // total if total else 0
+            s = sum(weight[w] * (1000000000 * b[w] // (1000 * b[w] + 8 * m)) for w in term(t) if b[w])
+            if s > 0:
+                scored.append((-s, d is None, d))
+        out += [(i, r + 1, d, -s) for r, (s, _, d) in enumerate(sorted(scored)[:k])]
+    return out

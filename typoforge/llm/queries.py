@@ -12,6 +12,7 @@ from .lm_scoring import score
 from .near_dedup import near_digest
 from .pii import pii_digest
 from .quality import quality_digest
+from .spelling import DRAW, spelling_variants
 from .subwords import pieces_digest
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeats
@@ -63,5 +64,9 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords, op11_byte_bpe)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), draw=DRAW)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords, op11_byte_bpe, op12_spelling_variants)}
 ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE, "op7_near_dedup": oracles.NEAR_DEDUP}
