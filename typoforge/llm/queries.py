@@ -12,6 +12,7 @@ from .lm_scoring import score
 from .near_dedup import near_digest
 from .pii import pii_digest
 from .quality import quality_digest
+from .search import search
 from .spelling import DRAW, spelling_variants
 from .subwords import pieces_digest
 from .substring_dedup import remove_repeated_words
@@ -68,5 +69,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir), draw=DRAW)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords, op11_byte_bpe, op12_spelling_variants)}
-ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE, "op7_near_dedup": oracles.NEAR_DEDUP}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_lm_scoring, op6_token_file, op7_near_dedup, op8_pii, op9_quality, op10_subwords, op11_byte_bpe, op12_spelling_variants, op13_lexical_search)}
+ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE, "op7_near_dedup": oracles.NEAR_DEDUP, "op13_lexical_search": oracles.LEXICAL_SEARCH}
