@@ -70,32 +70,30 @@ def dropped_merges(sp, text, doc_id, seed, dropout):
 
 
 def held_out_losses(encode, size, rows, good, prior):
-    """Mean loss_target - loss_background of rows (id, text), each scored by bigram models of all the others."""
+    """Mean loss_target - loss_background of rows (id, text), each scored by bigram models counted anew over all others."""
     ids = [encode(t or "") for _, t in rows]
-    pairs = [Counter(zip([-1, *x], x, strict=False)) for x in ids]
-    pieces, totals = [Counter(), Counter()], [Counter(), Counter()]
-    for (d, _), x, p in zip(rows, ids, pairs, strict=True):
-        for m in (0, 1) if d in good else (1,):
-            pieces[m].update(x)
-            totals[m].update(p)
-    n = [sum(c.values()) for c in pieces]
-    scale = (1.0, n[0] / n[1] if n[0] and n[1] else 1.0)
-    begin = [Counter(), Counter()]
-    for m in (0, 1):
-        for (h, _), k in totals[m].items():
-            begin[m][h] += k
+
+    def model(corpus):
+        pieces, pairs, begun = Counter(), Counter(), Counter()
+        for x in corpus:
+            for h, w in zip([-1, *x], x, strict=False):
+                pieces[w] += 1
+                pairs[h, w] += 1
+                begun[h] += 1
+        return pieces, pairs, begun, sum(pieces.values())
+
     out = []
-    for (d, _), x, p in zip(rows, ids, pairs, strict=True):
-        mine = Counter()
-        for (h, _), k in p.items():
-            mine[h] += k
+    for k, ((d, _), x) in enumerate(zip(rows, ids, strict=True)):
+        others = [i for i in range(len(rows)) if i != k]
+        target, background = model([ids[i] for i in others if rows[i][0] in good]), model([ids[i] for i in others])
+        ratio = target[3] / background[3] if target[3] and background[3] else 1.0
 
-        def loss(m, h, w, p=p, mine=mine, held=(d in good, True)):
-            back = (pieces[m][w] * scale[m] + 0.5) / (n[m] * scale[m] + size / 2)
-            both, first = totals[m][h, w] - held[m] * p[h, w], begin[m][h] - held[m] * mine[h]
-            return -math.log((both * scale[m] + prior * back) / (first * scale[m] + prior))
+        def loss(m, scale, h, w):
+            pieces, pairs, begun, n = m
+            back = (pieces[w] * scale + 0.5) / (n * scale + size / 2)
+            return -math.log((pairs[h, w] * scale + prior * back) / (begun[h] * scale + prior))
 
-        each = [loss(0, h, w) - loss(1, h, w) for h, w in zip([-1, *x], x, strict=False)]
+        each = [loss(target, 1.0, h, w) - loss(background, ratio, h, w) for h, w in zip([-1, *x], x, strict=False)]
         out.append((d, len(x), sum(each) / len(each) if each else None))
     return out
 

@@ -227,14 +227,17 @@ def test_lm_models_are_distributions(spark, docs):
     sp = vocab.pieces()
     v, r = sp.get_piece_size(), np.random.default_rng(1)
     counts = r.integers(0, 3, (2, 40, 30))  # of bigrams of few pieces
+    counts[1] += counts[0]
     uni, begun = np.zeros((2, v + 1), np.int64), np.zeros((2, v + 1), np.int64)
     uni[:, 1:31], begun[:, :40] = counts.sum(axis=1), counts.sum(axis=2)
     m = lm_scoring.Models(uni, begun)
-    for k in (0, 1):
+    own = np.minimum(counts[0], r.integers(0, 2, (40, 30)))  # a good document's bigrams, which are held out
+    for doc in (own, own * 0):
         for h in range(40):
-            c = np.zeros(v)
-            c[:30] = counts[k, h] * m.scale[k]
-            assert ((c + m.prior * m.p[k][1:]) / (begun[k][h] * m.scale[k] + m.prior)).sum() == pytest.approx(1.0)
+            c, mine, right = np.zeros((2, v), np.int64), np.zeros(v, np.int64), np.zeros(v, np.int64)
+            c[:, :30], mine[:30], right[:30] = counts[:, h], doc[h], doc.sum(axis=0)
+            logs = m.logs(h << 32 | np.arange(v), c, mine, np.full(v, doc[h].sum()), right, np.full(v, doc.sum()), np.ones(v, bool))
+            assert [np.exp(x).sum() for x in logs] == pytest.approx([1.0, 1.0])
 
 
 def test_no_labelled_document(spark, docs):

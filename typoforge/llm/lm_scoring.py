@@ -8,8 +8,8 @@ whole corpora, background counts scaled to the target's size, so their smoothing
 
 c(h) counts the bigrams that begin with h, so p(. | h) sums to 1.  A document's score is the mean over its tokens
 of loss_target - loss_background in nats (lower: more like the target).  Every document is held out: its own
-bigrams are taken off both models' counts before it is scored (off the target's if it is labelled good), so no
-document is scored by a model that saw it.
+bigrams, pieces and length are taken off both models' counts, and off the scale between them, before it is scored
+(off the target's if it is labelled good), so each is scored by the models of all other documents.
 
 Tasks count their distinct bigrams, a shuffle adds them up, and the table of bigrams stays distributed: it grows
 with the input.  The HOT_MOST most frequent bigrams at most are broadcast and looked up in the scan; the
@@ -66,23 +66,31 @@ class Models:
 
     def __init__(self, uni: np.ndarray, begun: np.ndarray, prior: float = PRIOR) -> None:
         """uni: how often each piece occurs; begun: how many bigrams begin with it; both 2 x (V + 1)."""
-        self.prior = prior
-        total = uni.sum(axis=1).astype(float)
-        self.scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
-        v = uni.shape[1] - 1
-        n = total * self.scale
-        self.begun = begun
-        self.p = (uni * self.scale[:, None] + 0.5) / (n + v / 2)[:, None]
-
-    def difference(self, key: np.ndarray, counts: np.ndarray, own: np.ndarray, own_begun: np.ndarray, good: np.ndarray) -> np.ndarray:
-        """loss_target - loss_background of bigrams with these counts (2 rows) in documents that hold `own` of them."""
+        self.uni, self.begun, self.prior = uni, begun, prior
+        self.total, self.size = uni.sum(axis=1), uni.shape[1] - 1
+
+    def difference(self, *bigrams: np.ndarray) -> np.ndarray:
+        """loss_target - loss_background of bigrams, see logs()."""
+        target, background = self.logs(*bigrams)
+        return background - target
+
+    def logs(self, key: np.ndarray, counts: np.ndarray, own: np.ndarray, own_begun: np.ndarray, own_right: np.ndarray, n: np.ndarray, good: np.ndarray) -> list[np.ndarray]:
+        """Log probabilities by both models of bigrams with these counts (2 rows), without the documents that they are in.
+
+        These have n tokens, the bigram own times, own_begun bigrams that begin alike and own_right times its right piece.
+        """
         left, right = key >> 32, (key & 0xFFFFFFFF) + 1
+        mine = np.stack([good.astype(np.int64), np.ones(len(key), np.int64)])
+        total = self.total[:, None] - mine * n
+        both = (total > 0).all(axis=0)
+        scale = np.ones((2, len(key)))
+        scale[1, both] = total[0, both] / total[1, both]
         logs = []
-        for k, mine in ((0, good.astype(np.int64)), (1, 1)):
-            c = (counts[k] - own * mine) * self.scale[k]
-            h = (self.begun[k][left] - own_begun * mine) * self.scale[k]
-            logs.append(np.log((c + self.prior * self.p[k][right]) / (h + self.prior)))
-        return logs[1] - logs[0]
+        for k in (0, 1):
+            p = ((self.uni[k][right] - own_right * mine[k]) * scale[k] + 0.5) / (total[k] * scale[k] + self.size / 2)
+            c, h = (counts[k] - own * mine[k]) * scale[k], (self.begun[k][left] - own_begun * mine[k]) * scale[k]
+            logs.append(np.log((c + self.prior * p) / (h + self.prior)))
+        return logs
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,31 +190,32 @@ def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, prior: flo
             # The distinct bigrams of each document, how many it has, and how many that begin alike.
             _, first, own = np.unique(doc * max(len(each), 1) + which.reshape(-1), return_index=True, return_counts=True)
             _, begin, held = np.unique(doc << 32 | each[which.reshape(-1)] >> 32, return_inverse=True, return_counts=True)
-            mine, which, doc, begun = each[which.reshape(-1)[first]], which.reshape(-1)[first], doc[first], held[begin.reshape(-1)[first]]
+            _, end, ended = np.unique(doc << 32 | ids, return_inverse=True, return_counts=True)
+            mine, which, doc, begun, right = each[which.reshape(-1)[first]], which.reshape(-1)[first], doc[first], held[begin.reshape(-1)[first]], ended[end.reshape(-1)[first]]
             at = np.minimum(np.searchsorted(key, each), max(len(key) - 1, 0))
             known = (key[at] == each if len(key) else np.zeros(len(each), bool))[which]
-            value = m.difference(mine[known], counts[:, at[which[known]]], own[known], begun[known], good[doc[known]])
+            value = m.difference(mine[known], counts[:, at[which[known]]], own[known], begun[known], right[known], n[doc[known]], good[doc[known]])
             total = np.bincount(doc[known], value * own[known], len(n))[: len(n)]
             miss = np.flatnonzero(~known)
-            rest = pa.StructArray.from_arrays([pa.array(x[miss].astype(np.int64)) for x in (mine, own, begun)], names=["key", "own", "begun"])
+            rest = pa.StructArray.from_arrays([pa.array(x[miss].astype(np.int64)) for x in (mine, own, begun, right)], names=["key", "own", "begun", "right"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[miss], np.arange(len(n) + 1)).astype(np.int32)), rest)
             yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "good"), pa.array(n.astype(np.int64)), pa.array(total.astype(float)), lists], names=["doc_id", "good", "n_tokens", "known", "rest"])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    scanned = map_arrow(labelled, run, f"doc_id {kind}, good boolean, n_tokens long, known double, rest array<struct<key:long,own:long,begun:long>>")
+    scanned = map_arrow(labelled, run, f"doc_id {kind}, good boolean, n_tokens long, known double, rest array<struct<key:long,own:long,begun:long,right:long>>")
     mean = F.when(F.col("n_tokens") > 0, (F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))
     if whole:
         return scanned.withColumn("more", F.lit(0.0)).select("doc_id", "n_tokens", mean.alias("loss_difference"))
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, own, begun, target, background = (column(b, c).to_numpy() for c in ("key", "own", "begun", "target", "background"))
-            value = models.value.difference(key, np.stack([target, background]), own, begun, column(b, "good").to_numpy(zero_copy_only=False))
+            key, own, begun, right, n, target, background = (column(b, c).to_numpy() for c in ("key", "own", "begun", "right", "n_tokens", "target", "background"))
+            value = models.value.difference(key, np.stack([target, background]), own, begun, right, n, column(b, "good").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(value * own)], names=["row", "difference"])
 
     scanned = store(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = bigrams.filter(F.col("background") < F.lit(2.0) ** least)
-    entries = scanned.select("row", "good", F.explode("rest").alias("r")).select("row", "good", "r.key", "r.own", "r.begun")
+    entries = scanned.select("row", "good", "n_tokens", F.explode("rest").alias("r")).select("row", "good", "n_tokens", "r.*")
     each = map_arrow(entries.join(rare, "key"), differences, "row long, difference double")
     more = each.groupBy("row").agg(F.sum("difference").alias("more"))
     return scanned.join(more, "row", "left").select("doc_id", "n_tokens", mean.alias("loss_difference"))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import BYTE_CODE, SPACED, U64, column, filled, fresh, map_arrow, mix, owner, prefix, ragged, span, steps, words
+from .base import SPACED, U64, column, filled, fresh, map_arrow, mix, owner, prefix, ragged, span, steps, word_hashes, words
 from .vocab import PIECES, indexed, keep_only, spaced_words, stored
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -129,7 +129,6 @@ def _measure(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: str, byt
     sym = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
     out["n_symbols"] = sym[off[1:]] - sym[off[:-1]]
 
-    pre = prefix(BYTE_CODE[data])
     # Lines: cut at line feeds and at the ends of texts; those with a word count.
     feed = np.flatnonzero(data == 0x0A)
     line_start = np.sort(np.concatenate([off[:-1], feed + 1]))
@@ -138,12 +137,12 @@ def _measure(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: str, byt
     ls, le = line_start[has], line_end[has]
     ld = np.searchsorted(off, ls, side="right") - 1
     salt = mix(np.arange(n_docs, dtype=U64) + U64(1))
-    distinct = np.unique(span(pre, ls, le) ^ salt[ld], return_index=True)[1]
+    distinct = np.unique(word_hashes(data, ls, le) ^ salt[ld], return_index=True)[1]
     out["n_dup_lines"] = np.bincount(ld, minlength=n_docs)[:n_docs] - np.bincount(ld[distinct], minlength=n_docs)[:n_docs]
     # 3-word windows.
     at = np.arange(max(len(starts) - 2, 0))
     at = at[doc[at] == doc[at + 2]] if len(at) else at
-    h = span(prefix(span(pre, starts, ends)), at, at + 3) ^ salt[doc[at]]
+    h = span(prefix(word_hashes(data, starts, ends)), at, at + 3) ^ salt[doc[at]]
     order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
     twice = np.zeros(len(at), bool)
