@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from typoforge.functions import edits as E
 from typoforge.functions import names as N
 from typoforge.functions import text as X
+from typoforge.operators import relational as R
 
 SPLITS = {
     "my_variable": "my,variable", "myVariable": "my,Variable", "HttpResponse": "Http,Response", "camelCase_snakeCase": "camel,Case,snake,Case",
@@ -50,7 +51,7 @@ def test_case_and_distance(spark):
 
 def test_typos_are_seeded_and_valid(spark):
     n = spark.createDataFrame([("number",), ("ab",), ("a",), ("x_y",), ("class_name",)], "n string")
-    make = lambda seed, parts: {r.n: r.t for r in n.repartition(parts).select("n", N.make_typo(F.col("n"), F.lit(seed)).alias("t")).collect()}
+    make = lambda seed, parts: {r.n: r.t for r in N.make_typos(n.repartition(parts), seed, name="n", into="t").collect()}
     one = make(3, 1)
     assert one == make(3, 4) and one["a"] is None and one["ab"] == "aB"
     assert all(t is None or (t != k and t[0] == k[0]) for k, t in one.items())
@@ -58,6 +59,49 @@ def test_typos_are_seeded_and_valid(spark):
     assert sorted(map(tuple, both)) == sorted((r.n, r.pos, r.op, r.typo) for r in N.typo_rows(n, "n").collect())
 
 
+def test_typos_avoid_the_names_of_their_group(spark):
+    rows = [(g, w, 1) for g in (1, 2) for w in ("ab", "xy", "same", "same")] + [(1, "aB", 1), (2, "xY", 1), (None, "ab", 1)]
+    n = spark.createDataFrame(rows, "g int, n string, pos int").withColumnRenamed("pos", "other")
+    got = {(r.g, r.n): r.typo for r in N.make_typos(n, 1, name="n", by=("g",)).collect()}
+    assert (got[1, "ab"], got[2, "ab"], got[1, "xy"], got[2, "xy"]) == (None, "aB", "xY", None)
+    assert N.make_typos(n, 1, name="n", by=("g",)).count() == len(rows) and N.make_typos(n, 1, name="n").columns == ["g", "n", "other", "typo"]
+    assert {r.n: r.typo for r in N.make_typos(n, 1, name="n", by=()).collect()}["ab"] is None  # aB is a name of the table
+    assert N.make_typos(n.limit(0), 1, name="n").count() == 0
+
+
+def test_spelling_pairs_of_every_length(spark):
+    """Deletion neighbourhoods, segments, and pairs between them, against every pair."""
+    import random
+
+    r = random.Random(8)
+    stems = ["".join(r.choice("abc") for _ in range(k)) for k in (2, 3, 5, 9, 14, 15, 16, 17, 18, 19, 25, 60) for _ in range(4)] + ["é" * 20, "a" * 17]
+
+    def edited(w):
+        for _ in range(r.randint(0, 3)):
+            i, c = r.randint(0, len(w)), r.choice("abcé")
+            w = r.choice([w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :]])
+        return w
+
+    words, known = {edited(w) for w in stems for _ in range(8)}, {edited(w) for w in stems for _ in range(8)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b, d) for a in words - known for b in known if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2}
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    d = spark.createDataFrame([(x, len(x)) for x in known], "word string, n int")
+    for short in (2, 16, 40):
+        got = [(x.word, x.candidate, x.distance) for x in R.spell_candidates(w, d, short=short).collect()]
+        assert set(got) == want and len(got) == len(want) > 300
+    one = {(x.word, x.candidate) for x in R.spell_candidates(w, d, 1).collect()}
+    assert one == {(a, b) for a, b, d in want if d <= 1}
+
+
 def test_unequal_tags_are_an_error(spark):
     with pytest.raises(Exception, match="differ in length"):
         spark.createDataFrame([(["a"], ["$KEEP", "$KEEP"])], "t array<string>, g array<string>").select(E.apply_tags(F.col("t"), F.col("g"))).collect()

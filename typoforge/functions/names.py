@@ -121,15 +121,23 @@ def pick(choices: Column, *parts: Column | str | int) -> Column:
     return F.when(F.size(choices) > 0, F.get(choices, (seeded(*parts) % F.size(choices)).cast("int")))
 
 
-def make_typo(name: Column, seed: Column | int, existing: Column | None = None) -> Column:
-    """A typo of a name, or null: a seeded choice of operation, then of place, among valid, new, unreserved results."""
-    good = F.filter(typo_candidates(name), lambda c: (c["typo"] != name) & is_identifier(c["typo"]) & ~is_reserved(c["typo"]))
-    if existing is not None:
-        good = F.filter(good, lambda c: ~F.array_contains(existing, c["typo"]))
-    good = F.array_sort(good)
-    ops = F.array_distinct(F.transform(good, lambda c: c["op"]))
-    op = pick(ops, seed, name, "op")
-    return pick(F.transform(F.filter(good, lambda c: c["op"] == op), lambda c: c["typo"]), seed, name, "place")
+def make_typos(names: DataFrame, seed: int, *, name: str = "name", by: tuple[str, ...] | None = None, into: str = "typo") -> DataFrame:
+    """names with a typo of each, or null: a seeded choice of operation, then of place, among valid, new, unreserved results.
+
+    Candidates are rows, so none is worked out more than once.
+    With `by`, a typo is none of the names in the same group of these columns (an empty tuple: in the whole table).
+    Rows that repeat a name (of a group) get the same typo; a null group has none.
+    """
+    keys = [*(by or ()), name]
+    rows = typo_rows(names.select(*keys).distinct(), name)
+    good = rows.filter((F.col("typo") != F.col(name)) & is_identifier(F.col("typo")) & ~is_reserved(F.col("typo")))
+    if by is not None:
+        good = good.join(names.select(*by, F.col(name).alias("typo")).distinct(), [*by, "typo"], "left_anti")
+    places = good.groupBy(*keys, "op").agg(F.array_sort(F.collect_list(F.struct("pos", "typo"))).alias("places"))
+    ops = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("op", "places"))).alias("ops"))
+    picked = ops.select(*keys, pick(F.col("ops"), seed, F.col(name), "op")["places"].alias("places"))
+    typos = picked.select(*keys, pick(F.col("places"), seed, F.col(name), "place")["typo"].alias(into))
+    return names.join(typos, keys, "left").select(*names.columns, into)
 
 
 def choose_names(names: DataFrame, *, seed: int, max_edits: int = 2, p_edit: float = 0.8, by: str = "sample_index", name: str = "name") -> DataFrame:

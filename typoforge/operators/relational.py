@@ -71,17 +71,64 @@ def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFr
     return out.withColumn("key", F.xxhash64("_rest")).drop("_rest", "_at")
 
 
-def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
+#: Characters up to which a word has deletion neighbourhoods; pairs with a longer one meet by segments.
+SHORT_WORD = 16
+
+
+def _segment(length: Column, i: Column, most: int) -> tuple[Column, Column]:
+    """(start from 0, size) of the i-th of most + 1 segments, the later ones longer by one where they don't divide evenly."""
+    small, extra = F.floor(length / (most + 1)).cast("int"), length % (most + 1)
+    wider = F.greatest(i - (most + 1 - extra), F.lit(0))
+    return i * small + wider, small + F.when(i >= most + 1 - extra, 1).otherwise(0)
+
+
+def segment_keys(words: DataFrame, word: str = "word", most: int = 2) -> DataFrame:
+    """words with key: a hash of each of most + 1 segments, with its number and the word's length."""
+    each = words.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    start, size = _segment(F.length(word), F.col("_i"), most)
+    return each.withColumn("key", F.xxhash64(F.length(word), "_i", F.substr(word, start + 1, size))).drop("_i")
+
+
+def window_keys(words: DataFrame, word: str = "word", most: int = 2, least: int = 1) -> DataFrame:
+    """words with key: hashes of the parts that may be a segment of a word of `least` characters or more within `most` edits.
+
+    most edits can't touch all of most + 1 segments, and the i-th segment that is untouched, with no more than i edits
+    before it and most - i behind it, stands at one of few places.  Keys are as many for a word of any length.
+    """
+    n = F.length(word)
+    sized = words.withColumn("_n", F.explode(F.filter(F.sequence(n - most, n + most), lambda x: x >= least)))
+    each = sized.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    start, size = _segment(F.col("_n"), F.col("_i"), most)
+    shift, before, behind = n - F.col("_n"), F.col("_i"), most - F.col("_i")
+    low = F.greatest(F.lit(0), start - before, start + shift - behind)
+    high = F.least(n - size, start + before, start + shift + behind)
+    placed = each.withColumn("_at", F.explode(F.when(low <= high, F.sequence(low, high))))
+    return placed.withColumn("key", F.xxhash64("_n", "_i", F.substr(word, F.col("_at") + 1, size))).drop("_n", "_i", "_at")
+
+
+def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2, *, short: int = SHORT_WORD) -> DataFrame:
     """Pairs (word, candidate, distance, n) within `most` edits, for words that are not in the dictionary.
 
-    Both sides explode their deletion neighbourhoods and meet by equality, so work follows the neighbourhoods and
-    never the product; the distance is verified before pairs are made distinct.
+    Words meet by equality of keys, never by a product: two words of `short` characters or less by what is left of
+    them after deleting up to `most` characters, which few others share; pairs with a longer word by segments, so
+    that keys don't grow with its length.  The rows that meet are a key and 32 bits of the word each; pairs of these
+    are made distinct, joined with their words, and verified.  Words with the same 32 bits are all tried, so none is
+    lost or wrong.
     """
-    unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
-    left = deletion_keys(unknown, "word", most)
-    right = deletion_keys(dictionary.select(F.col("word").alias("candidate"), "n"), "candidate", most)
-    pairs = left.join(right, "key").select("word", "candidate", "n", F.levenshtein("word", "candidate", most).alias("distance"))
-    return pairs.filter("distance >= 0").distinct()
+    unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti").withColumn("a", F.hash("word"))
+    known = dictionary.select(F.col("word").alias("candidate"), "n", F.hash("word").alias("b"))
+    of = lambda rows, name, least, up: rows.filter(F.length(name).between(least, up))
+    met = None
+    for make, make_other, least, up in (
+        (deletion_keys, deletion_keys, 0, short),
+        (lambda r, w, m: window_keys(r, w, m, short - most + 1), segment_keys, short - most + 1, 2**31 - 1),
+    ):
+        left = make(of(unknown, "word", least, up), "word", most).select("key", "a")
+        right = make_other(of(known, "candidate", least, up), "candidate", most).select("key", "b")
+        pairs = left.join(right, "key").select("a", "b")
+        met = pairs if met is None else met.unionByName(pairs)
+    pairs = met.distinct().join(unknown, "a").join(known, "b").select("word", "candidate", "n", F.levenshtein("word", "candidate", most).alias("distance"))
+    return pairs.filter("distance >= 0")
 
 
 def best_candidate(pairs: DataFrame) -> DataFrame:

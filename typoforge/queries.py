@@ -17,6 +17,7 @@ from .operators import encode, report, vocab
 from .operators.encode import subword_labels, token_labels
 from .operators.ranks import rank_by_id
 from .plans import analyze, fixers, inject
+from .session import forget, written
 from .sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,11 +541,20 @@ def spell_candidates(spark, sf_dir):
     return R.spell_candidates(counts, counts.filter("n > 0").select("word", "n"), 1)
 
 
-@query()
+_SQL_DELETED = """SELECT word AS w, word AS key, 0 AS i FROM {t} UNION ALL SELECT word, word[:i] || word[i + 2:], i FROM (SELECT word, unnest(range(len(word))) AS i FROM {t})
+UNION ALL SELECT word, x[:j] || x[j + 2:], j FROM (SELECT word, word[:i] || word[i + 2:] AS x, unnest(range(i)) AS j FROM (SELECT word, unnest(range(len(word))) AS i FROM {t}))"""
+
+
+@query(f"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS word, lang FROM documents), d AS (SELECT word, count(*) AS n FROM w WHERE lang = 'en' GROUP BY 1),
+u AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM d)), lk AS ({_SQL_DELETED.format(t='u')}), rk AS ({_SQL_DELETED.format(t='d')}),
+met AS (SELECT DISTINCT lk.w AS word, rk.w AS candidate FROM lk JOIN rk USING (key))
+SELECT met.word, candidate, n, levenshtein(met.word, candidate)::INT AS distance FROM met JOIN d ON d.word = candidate WHERE levenshtein(met.word, candidate) <= 2""")
 def spell_candidates_whole(spark, sf_dir):
-    """The same with two edits; tested against brute force."""
-    counts = _spelled_words(spark, sf_dir)
-    return R.spell_candidates(counts, counts.filter("n > 0").select("word", "n"))
+    """The same with two edits.  Both sides read the words several times, so their counts are written first."""
+    counts = written(_spelled_words(spark, sf_dir), "words")
+    found = written(R.spell_candidates(counts, counts.filter("n > 0").select("word", "n")), "candidates")
+    forget(counts)
+    return found
 
 
 @query("""WITH t AS (SELECT conv_id AS sample_index, turn, string_split(text, ' ') AS t FROM conversations), k AS (SELECT sample_index, turn, unnest(range(len(t))) AS pos, unnest(t) AS text FROM t),
@@ -842,7 +852,7 @@ chosen AS (SELECT name, o[({_SQL_HASH("'7'", 'name', "'op'")} % len(o))::BIGINT
 FROM names n LEFT JOIN chosen x ON n.name = x.name LEFT JOIN good g ON g.name = x.name AND g.op = x.op""")
 def made_typos(spark, sf_dir):
     """A seeded operation first, then a seeded result of it."""
-    return names(spark, sf_dir).withColumn("typo", N.make_typo(F.col("name"), 7))
+    return N.make_typos(names(spark, sf_dir), 7)
 
 
 @query(f"""WITH {_SQL_CODE}, t AS (SELECT id, x, y, unnest({_token_sql()}, recursive := true) FROM snippets),

@@ -32,7 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder, so that every use reads the same rows."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for f in frames:
+        where = f.sparkSession._jvm.org.apache.hadoop.fs.Path(f.written_at)
+        where.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def make_session(name: str = "typoforge", master: str | None = None, **settings: str) -> SparkSession:
