@@ -37,24 +37,27 @@ def search(samples: DataFrame, text: str) -> DataFrame:
     return samples.filter(F.lower(F.concat_ws(" ", "fixed", "code", names)).contains(text.lower()))
 
 
-def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFrame:
-    """For each name of `before` (sample, line, col, ordinal, name): the first different name of `after` on the same
-    line within `reach` columns, tried from the left; of a name's positions the first with one wins.
+def band_join(before: DataFrame, after: DataFrame, on: list[str], col: str, reach: int) -> DataFrame:
+    """Pairs of rows, as structs a and b, with equal `on` columns and with `col` at most `reach` apart.
 
-    A range join with equality on (sample, line), so it never becomes a nested loop.
+    `after` is cut into bands of 2 * reach + 1 values, so a row of `before` looks into two bands at most, and the join is
+    by equality on the band too: a group of any size splits over tasks, and its work follows the rows that are near.
     """
-    a, b = before.alias("a"), after.alias("b")
-    near = (
-        (F.col("a.sample_index") == F.col("b.sample_index"))
-        & (F.col("a.line") == F.col("b.line"))
-        & (F.col("b.col") - F.col("a.col")).between(-reach, reach)
-        & (F.col("a.name") != F.col("b.name"))
-    )
-    pairs = a.join(b, near).select(
-        F.col("a.sample_index").alias("sample_index"), F.col("a.name").alias("corrupted"), F.col("b.name").alias("fixed"), F.col("a.ordinal").alias("ordinal"), (F.col("b.col") - F.col("a.col")).alias("delta")
-    )
-    first = F.min_by("fixed", F.struct("ordinal", "delta", "fixed"))
-    return pairs.groupBy("sample_index", "corrupted").agg(first.alias("fixed"))
+    width = 2 * reach + 1
+    band = lambda x: F.floor(x / width)
+    a = before.filter(F.col(col).isNotNull()).select(*on, F.struct(*before.columns).alias("a"))
+    b = after.filter(F.col(col).isNotNull()).select(*on, band(F.col(col)).alias("_band"), F.struct(*after.columns).alias("b"))
+    here = F.col(f"a.{col}")
+    a = a.withColumn("_band", F.explode(F.array_distinct(F.array(band(here - reach), band(here + reach)))))
+    return a.join(b, [*on, "_band"]).filter((F.col(f"b.{col}") - here).between(-reach, reach)).select("a", "b")
+
+
+def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFrame:
+    """For each name of `before` (sample, line, col, ordinal, name): the first different name of `after` on the same
+    line within `reach` columns, tried from the left; of a name's positions the first with one wins."""
+    near = band_join(before, after, ["sample_index", "line"], "col", reach).filter(F.col("a.name") != F.col("b.name"))
+    first = F.min_by("b.name", F.struct("a.ordinal", F.col("b.col") - F.col("a.col"), "b.name"))
+    return near.groupBy(F.col("a.sample_index").alias("sample_index"), F.col("a.name").alias("corrupted")).agg(first.alias("fixed"))
 
 
 def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFrame:

@@ -526,6 +526,18 @@ def position_diff(spark, sf_dir):
     return R.position_diff(e, e)
 
 
+@query("""WITH e AS (SELECT 8 * l_orderkey + l_linenumber AS col, l_orderkey * 8 + l_linenumber AS ordinal, 'part_' || l_partkey AS name FROM lineitem), f AS (SELECT col + 2 AS col, 'supplier_' || (l_suppkey % 50) AS name FROM (SELECT 8 * l_orderkey + l_linenumber AS col, l_suppkey FROM lineitem)),
+p AS (SELECT a.name AS corrupted, b.name AS fixed, a.ordinal, b.col - a.col AS delta FROM e a JOIN f b ON b.col BETWEEN a.col - 5 AND a.col + 5 WHERE a.name <> b.name)
+SELECT 0 AS sample_index, corrupted, fixed FROM (SELECT *, row_number() OVER (PARTITION BY corrupted ORDER BY ordinal, delta, fixed) AS k FROM p) WHERE k = 1""")
+def position_diff_one_line(spark, sf_dir):
+    """All items of all orders as names of one line of one source: a group that only bands can split."""
+    at = (8 * F.col("l_orderkey") + F.col("l_linenumber")).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("sample_index"), F.lit(1).alias("line"), at.alias("col"), "l_partkey", "l_suppkey")
+    before = rows.select("sample_index", "line", "col", F.col("col").alias("ordinal"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"))
+    after = rows.select("sample_index", "line", (F.col("col") + 2).alias("col"), F.concat(F.lit("supplier_"), (F.col("l_suppkey") % 50).cast("string")).alias("name"))
+    return R.position_diff(before, after)
+
+
 def _spelled_words(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
     return w.groupBy("word").agg(F.count("*").alias("all"), F.count_if(F.col("lang") == "en").alias("n"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from ..functions.names import seeded
 from ..functions.text import python_blocks
 from ..operators.ranks import rank_by_id
 from ..schemas import BENCHMARK, SAMPLE
+from .files import file_prefixes, text_of
 
 DEMO = (
     "def mean_value(numbers):\n    # average of a list of numbers\n    total = 0\n    for number in numbers:\n        total += number\n    return total / max(len(numbers), 1)\n",
@@ -145,34 +145,21 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 def discover(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
     """path, bytes, kind of data files below a folder; results are told from datasets by their first 512 characters.
 
-    Files are listed without their content, and no more than a prefix of each is read.
+    Executors read these heads, four bytes for each character at most.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    rows = []
-    for f in files.select("path", "length").collect():
-        head = _prefix(spark, f.path, 2048).decode("utf-8", "ignore")[:512]
-        rows.append((f.path, f.length, "result" if '"metrics"' in head and '"per_sample"' in head else "dataset"))
-    return spark.createDataFrame(rows, "path string, bytes long, kind string")
+    head = F.substring(text_of(F.col("data")), 1, 512)
+    result = head.contains('"metrics"') & head.contains('"per_sample"')
+    return file_prefixes(spark, path, pattern=pattern, prefix=2048).select("path", "bytes", F.when(result, "result").otherwise("dataset").alias("kind"))
 
 
-def _prefix(spark: SparkSession, path: str, n: int) -> bytes:
-    """The first n bytes of a file of any file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
-
-
-def checkpoints(folder: str) -> list[str]:
-    """Folders below one that hold a vocab.txt."""
-    return sorted(str(p.parent) for p in Path(folder).rglob("vocab.txt"))
+def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """path: folders below one that hold a vocab.txt."""
+    return file_prefixes(spark, folder, pattern="vocab.txt").select(F.regexp_replace("path", "/vocab\\.txt$", "").alias("path"))
 
 
 def training_files(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Sample files whose name contains a word (train, val), in any case."""
-    return discover(spark, path).filter(F.lower(F.element_at(F.split("path", "/"), -1)).contains(part))
+    return discover(spark, path).filter(F.lower(F.element_at(F.split("path", "/"), -1)).contains(part.lower()))
 
 
 def within_bytes(lines: DataFrame, cap: int, by: str = "id", text: str = "text", bucket: int = 10_000, flag: bool = False) -> DataFrame:
