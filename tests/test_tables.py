@@ -90,12 +90,11 @@ def test_a_model_runs_once(spark, built, tmp_path):
 
 def test_chat_errors():
     class Answer(Exception):
-        def __init__(self, status, wait=None):
+        def __init__(self, status):
             self.status_code = status
-            self.response = type("R", (), {"headers": {"retry-after": wait} if wait else {}})()
 
     assert fixers.passing(OSError()) and fixers.passing(Answer(429)) and fixers.passing(Answer(503)) and not fixers.passing(Answer(400)) and not fixers.passing(ValueError())
-    assert fixers.retry_after(Answer(429, "7")) == 7.0 and fixers.retry_after(Answer(429, "soon")) is None and fixers.retry_after(OSError()) is None
+    assert fixers.answer_text({"content": " a ", "reasoning": "b"}) == "a" and fixers.answer_text({"content": "", "reasoning": " b"}) == "b" and fixers.answer_text(None) == fixers.answer_text({}) == ""
 
 
 def test_a_service_that_is_down_fails_the_job(spark):
@@ -107,13 +106,6 @@ def test_a_service_that_is_down_fails_the_job(spark):
         fixers.ChatFix(ask, "{code}", sleep=lambda _: None).fix(s).collect()
 
 
-def test_known_misspellings_in_words_of_names(spark):
-    s = spark.createDataFrame([(1, "", ["getTehCount", "teh", "TEH_x", "fine", "tehran"])], "sample_index long, code string, names array<string>")
-    table = spark.createDataFrame([("teh", "the"), ("teh", "tech")], "word string, correction string")
-    got = {r.corrupted: r.fixed for r in fixers.TableFix(table).fix(s).collect()}
-    assert got == {"getTehCount": "getTechCount", "teh": "tech", "TEH_x": "TECH_x"}
-
-
 def test_models_with_prompt_and_clean_up(spark):
     from typoforge.functions.text import clean_output, lm_prompt
 

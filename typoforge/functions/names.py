@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..fixed import COMMENT_SKIP, KEYBOARD, KEYWORDS, RESERVED
 
-_PIECE = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+"
+#: Words of a name: runs of capitals, capitalised and lower-case words.
+WORD_PIECE = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+"
 
 
 def split_identifier(name: Column) -> Column:
@@ -17,7 +18,7 @@ def split_identifier(name: Column) -> Column:
     rest = F.substr(name, lead + 1, F.length(name))
 
     def pieces(part: Column) -> Column:
-        found = F.regexp_extract_all(part, F.lit(_PIECE), F.lit(0))
+        found = F.regexp_extract_all(part, F.lit(WORD_PIECE), F.lit(0))
         return F.when(part == "", F.array(F.lit("_"))).when(F.size(found) == 0, F.array(part)).otherwise(found)
 
     parts = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(F.split(rest, "_"), pieces)))

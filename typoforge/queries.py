@@ -13,7 +13,7 @@ from .functions import names as N
 from .functions import text as X
 from .operators import evaluate as V
 from .operators import relational as R
-from .operators import encode, report, vocab
+from .operators import correct, encode, report, vocab
 from .operators.encode import subword_labels, token_labels
 from .operators.ranks import rank_by_id
 from .plans import analyze, fixers, inject
@@ -569,6 +569,23 @@ def spell_candidates_whole(spark, sf_dir):
     return found
 
 
+@query("""WITH known AS (SELECT DISTINCT word, reverse(word) AS fix FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word, lang FROM documents) WHERE lang = 'en' AND len(word) = 9 AND word <> reverse(word)),
+t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w, string_split_regex(coalesce(text, ''), '[A-Za-z]+') AS g FROM documents),
+e AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS w, unnest(g[:len(w)]) AS g FROM t),
+p AS (SELECT *, sum(len(g) + len(w)) OVER (PARTITION BY doc_id ORDER BY k) - len(w) AS start FROM e),
+n AS (SELECT doc_id, k, w, start, CASE WHEN fix IS NULL THEN w WHEN w = upper(w) THEN upper(fix) WHEN w = upper(w[1]) || lower(w[2:]) THEN upper(fix[1]) || lower(fix[2:]) WHEN w = lower(w) THEN lower(fix) ELSE w END AS x FROM p LEFT JOIN known ON lower(w) = word),
+a AS (SELECT doc_id, list(x ORDER BY k) AS x, string_agg(start || ':' || w || ':' || x, ',' ORDER BY k) FILTER (x <> w) AS s, count(*) FILTER (x <> w) AS n FROM n GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0)::INT AS n_edits, md5(coalesce(s, '')) AS edits, md5(array_to_string(list_transform(list_zip(g, list_append(coalesce(x, []), '')), lambda z: z[1] || z[2]), '')) AS corrected FROM t LEFT JOIN a USING (doc_id)""")
+def corrected_texts(spark, sf_dir):
+    """Every English word of nine letters turned round wherever it occurs, in the case of what it replaces."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    known = words.select(F.lower("word").alias("word")).filter("length(word) = 9").distinct().withColumn("correction", F.reverse("word"))
+    out = correct.corrected(docs.select("doc_id", "text"), known, by="doc_id", text="text", pattern="[A-Za-z]+")
+    listed = F.array_join(F.transform("edits", lambda e: F.concat_ws(":", e["start"].cast("string"), e["old"], e["new"])), ",")
+    return out.select("doc_id", F.size("edits").alias("n_edits"), F.md5(listed).alias("edits"), F.md5("text").alias("corrected"))
+
+
 @query("""WITH t AS (SELECT conv_id AS sample_index, turn, string_split(text, ' ') AS t FROM conversations), k AS (SELECT sample_index, turn, unnest(range(len(t))) AS pos, unnest(t) AS text FROM t),
 e AS (SELECT DISTINCT sample_index, text AS corrupted FROM k WHERE len(text) = 5), v AS (SELECT word AS tag, (row_number() OVER (ORDER BY n DESC, word) + 2)::INT AS idx FROM (SELECT corrupted AS word, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 2))
 SELECT k.sample_index, k.turn, k.pos::INT AS pos, k.text, CASE WHEN NOT regexp_matches(k.text, '^[A-Za-z]') THEN 0 WHEN e.corrupted IS NULL THEN 0 ELSE coalesce(v.idx, 2) END::INT AS label
