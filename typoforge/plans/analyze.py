@@ -86,6 +86,12 @@ def count_name(code: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([scopes.count_name(c or "", n) for c, n in zip(code, name, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def substitute(code: pd.Series, edits: pd.Series) -> pd.Series:
+    """code with tokens (row, col, old, new) replaced in place."""
+    return pd.Series([scopes.substituted(c or "", [(e["row"], e["col"], e["old"], e["new"]) for e in x]) for c, x in zip(code, edits, strict=True)], dtype=object)
+
+
 def positions(samples: DataFrame, *, by: str = "sample_index", code: str = "code") -> DataFrame:
     """by, ordinal, name, line, col: definitions in order, for position_diff()."""
     from pyspark.sql import Window

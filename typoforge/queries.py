@@ -13,7 +13,7 @@ from .functions import names as N
 from .functions import text as X
 from .operators import evaluate as V
 from .operators import relational as R
-from .operators import correct, encode, report, vocab
+from .operators import correct, decode, encode, report, vocab
 from .operators.encode import subword_labels, token_labels
 from .operators.ranks import rank_by_id
 from .plans import analyze, fixers, inject
@@ -569,6 +569,29 @@ def spell_candidates_whole(spark, sf_dir):
     return found
 
 
+_TAGS = ("$KEEP", "$DELETE", "$UNK", "$REPLACE_a", "$SWAP_1", "$DEL_0", "$CASE_0", "$INS_1_x")
+
+
+@query(f"""WITH t AS (SELECT p_partkey // 6 AS sample_index, (p_partkey % 6)::INT AS pos, split_part(p_name, ' ', 1) AS text FROM part),
+v AS (SELECT vec_id // 10 AS sample_index, (vec_id % 10)::INT AS pos, (vec_id % 10 // 2)::INT AS word_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+f AS (SELECT *, list_position(e[1:8], list_max(e[1:8])) AS k, exp(e[10]) / (exp(e[9]) + exp(e[10])) AS p FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY sample_index, word_id ORDER BY pos) = 1)),
+g AS (SELECT t.*, round(coalesce(p, 0), 6) AS p_detect, coalesce({list(_TAGS)!r}[k], '$KEEP') AS tag FROM t LEFT JOIN f ON f.sample_index = t.sample_index AND f.word_id = t.pos),
+h AS (SELECT * REPLACE (CASE WHEN tag = '$REPLACE_a' AND p_detect < 0.5 THEN '$KEEP' ELSE tag END AS tag) FROM g)
+SELECT sample_index, pos, text, tag, p_detect, CASE tag WHEN '$REPLACE_a' THEN 'a' WHEN '$SWAP_1' THEN text[1] || text[3] || text[2] || text[4:] WHEN '$DEL_0' THEN text[2:]
+WHEN '$CASE_0' THEN upper(text[1]) || text[2:] WHEN '$INS_1_x' THEN text[1] || 'x' || text[2:] ELSE text END AS new FROM h""")
+def decoded_tags(spark, sf_dir):
+    """Embeddings as logits: two subwords a word, five words a sample; the sixth is cut off."""
+    tokens = table(spark, sf_dir, "part").select(F.expr("p_partkey div 6").alias("sample_index"), (F.col("p_partkey") % 6).cast("int").alias("pos"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("text"))
+    at = (F.col("vec_id") % 10).cast("int")
+    double = F.transform("embedding", lambda x: x.cast("double"))
+    scored = table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 10").alias("sample_index"), at.alias("pos"), F.floor(at / 2).cast("int").alias("word_id"), F.slice(double, 1, len(_TAGS)).alias("tag_logits"), F.slice(double, len(_TAGS) + 1, 2).alias("detect_logits")
+    )
+    tags = spark.createDataFrame(list(enumerate(_TAGS)), "idx int, tag string")
+    out = decode.decoded_tags(tokens, scored, tags, threshold=0.5)
+    return out.select("sample_index", "pos", "text", "tag", F.round("p_detect", 6).alias("p_detect"), decode.edited(F.col("text"), F.col("tag")).alias("new"))
+
+
 @query("""WITH known AS (SELECT DISTINCT word, reverse(word) AS fix FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word, lang FROM documents) WHERE lang = 'en' AND len(word) = 9 AND word <> reverse(word)),
 t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w, string_split_regex(coalesce(text, ''), '[A-Za-z]+') AS g FROM documents),
 e AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS w, unnest(g[:len(w)]) AS g FROM t),
