@@ -755,6 +755,35 @@ def length_percentiles(spark, sf_dir):
     return p.select(*(F.round(c, 6).alias(c) for c in p.columns[:-1]), "longest")
 
 
+@query("""WITH q AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS q), r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, n, min(n_chars) FILTER (k >= 0.5 * n) AS p50, min(n_chars) FILTER (k >= 0.9 * n) AS p90, min(n_chars) FILTER (k >= 0.95 * n) AS p95, min(n_chars) FILTER (k >= 0.99 * n) AS p99 FROM r GROUP BY 1, 2""")
+def length_sketches(spark, sf_dir):
+    """Quantiles of mergeable sketches, made by language and source and merged by language; exact up to k rows a language."""
+    parts = report.length_sketches(table(spark, sf_dir, "documents"), "n_chars", ["lang", "source"], k=4096)
+    return report.sketch_quantiles(report.merged_sketches(parts, ["lang"]), {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+
+
+_SQL_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT row_number() OVER () AS id, {_SQL_STRIP.format("a.p_name || ' ' || a.p_type")} AS p, {_SQL_STRIP.format("b.p_name || ' ' || b.p_type")} AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+x AS (SELECT id, 0 AS side, p AS s FROM t UNION ALL SELECT id, 1, r FROM t),
+w AS (SELECT id, side, replace(s, ' ', '') AS c, CASE WHEN s = '' THEN [] ELSE string_split_regex(s, '\\s+') END AS w FROM x),
+g AS (SELECT id, side, 'word' AS kind, n, array_to_string(w[i + 1 : i + n], ' ') AS gram FROM (SELECT *, unnest(range(len(w) - n + 1)) AS i FROM (SELECT *, unnest(range(1, 5)) AS n FROM w))
+  UNION ALL SELECT id, side, 'char', n, c[i + 1 : i + n] FROM (SELECT *, unnest(range(len(c) - n + 1)) AS i FROM (SELECT *, unnest(range(1, 7)) AS n FROM w))),
+k AS (SELECT id, kind, n, gram, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS r FROM g GROUP BY ALL),
+s AS (SELECT kind, n, sum(least(p, r)) AS m, sum(p) AS p, sum(r) AS r FROM k GROUP BY 1, 2),
+b AS (SELECT sum(p) FILTER (n = 1) AS lp, sum(r) FILTER (n = 1) AS lr, count(*) FILTER (m > 0) AS k, sum(ln(m / p)) FILTER (m > 0) AS logs FROM s WHERE kind = 'word'),
+f AS (SELECT avg(CASE WHEN m = 0 THEN 0 ELSE 5 * (m / p) * (m / r) / (4 * (m / p) + m / r) END) AS f FROM s WHERE kind = 'char' AND p > 0 AND r > 0)
+SELECT (SELECT round(avg((p = r)::INT), 6) FROM t) AS exact_match, CASE WHEN k = 4 THEN round(100 * exp(least(0, 1 - lr / lp)) * exp(logs / 4), 6) ELSE 0 END AS bleu, round(100 * f, 6) AS chrf FROM b, f""")
+def part_scores(spark, sf_dir):
+    """Every part's name and type as a prediction of the next part's."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("predicted"))
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("predicted").alias("reference"))
+    scores = report.text_scores(p.join(after, "p_partkey"))
+    return scores.select(*(F.round(x, 6).alias(x) for x in scores.columns))
+
+
 @query("""WITH b AS (SELECT min(n_chars)::DOUBLE AS a, max(n_chars)::DOUBLE AS b FROM documents)
 SELECT least(floor((n_chars::DOUBLE - a) * 60 / (b.b - a)) + 1, 60)::BIGINT AS bin, count(*) AS n FROM documents, b GROUP BY 1""")
 def length_histogram(spark, sf_dir):
