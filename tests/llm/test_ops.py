@@ -145,10 +145,41 @@ def test_factoring():
     made = solve(c, KIND)
     assert time.perf_counter() - start < 5 and made[:, 0].all() and made.sum() == 8000
     ref = Reference(c)
-    ref.match = np.minimum(ref.match, 34)  # no factor is long enough, no boundary finds a window
+    find = ref.longest
+    ref.longest = lambda at: np.minimum(find(at), 34)  # no factor is long enough, no boundary finds a window
     assert not ref.repeated(35).any()
 
 
+def test_windows_come_from_factors_and_their_boundaries():
+    """Matches are looked up where factors start and for windows that cross an end, nowhere else; neither will do alone."""
+    from typoforge.llm.repeats import Contexts
+    from typoforge.llm.substring_dedup import LONGEST, Reference
+
+    r = np.random.default_rng(5)
+    passage = r.integers(1, 2**60, 300)
+    texts = [np.concatenate([r.integers(1, 2**60, 20), passage[a : a + n], r.integers(1, 2**60, 20)]) for a, n in ((0, 300), (10, 250), (100, 64), (200, 50), (0, 34))]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sym = np.concatenate(texts).astype(np.uint64)
+    zero = np.zeros(len(texts), np.int64)
+    ref = Reference(Contexts(sym.view(np.uint8), sym, off, zero, zero + 1, zero, np.arange(len(texts)), zero))
+    seen, find = [], ref.longest
+    ref.longest = lambda at: (seen.append(at), find(at))[1]
+    known = ref.repeated(35)
+    windows = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
+    want = np.zeros(len(sym), bool)
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 34):
+            want[off[d] + i] = windows[tuple(t[i : i + 35])] > 1
+    assert (known == want).all() and want.sum() > 400
+    inside, ends = ref.spans(35)
+    assert inside.any() and (want & ~inside).any() and not (inside & ~want).any()  # without the boundary check, windows are missed
+    starts, sizes = ref.factors()
+    assert sizes.max() <= LONGEST and sizes.sum() == len(sym) and (np.diff(starts) == sizes[:-1]).all()
+    looked = np.unique(np.concatenate(seen))
+    allowed = np.union1d(starts, np.flatnonzero(np.arange(len(sym)) + 35 > ends))
+    assert np.isin(looked, allowed).all() and len(looked) < len(sym)
+
+
 def test_suffix_arrays():
     r = random.Random(7)
     for t in range(1500):

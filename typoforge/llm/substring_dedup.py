@@ -4,12 +4,13 @@ repeats.py deals the pieces of documents in which a repeat may start or end to b
 one.  A block's pieces, those that overlap in a document joined again, are its reference: every place stands in it
 once, indexed by a suffix array.  Each piece is factored greedily against that reference by relative Lempel-Ziv
 parsing: from the current word, the longest match with another place becomes a factor (at most LONGEST words; a
-word that occurs nowhere else is a literal).  A factor of 35 words or more is a duplicate span.  Windows that cross
-a factor's end are checked at that boundary, by the longest match of their first word.
+word that occurs nowhere else is a literal); matches are looked up at the starts of factors only.  A factor of 35
+words or more is a duplicate span.  Windows that cross a factor's end are checked there, each by a look-up of its own.
 
 Words are runs of bytes other than ASCII white space, compared by 64-bit hashes.  A null text has no words;
 matches do not cross documents, but count within one; repeated rows are places of their own; a null doc_id is
-kept; doc_id is an integer; other columns are ignored; an empty table gives an empty result.
+kept; doc_id is an integer; other columns are ignored; an empty table gives an empty result; a very long text is a
+step of its own, and its words are held as hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ LONGEST = 64
 
 
 class Reference:
-    """An indexed reference block: the pieces of documents, joined where they overlap, and each place's longest match."""
+    """An indexed reference block: the pieces of documents, joined where they overlap, under a suffix array."""
 
     def __init__(self, c: Contexts) -> None:
         size = np.diff(c.off)
@@ -51,50 +52,80 @@ class Reference:
         self.start = np.empty(len(order), np.int64)
         self.start[order] = upto - (until - begin)
         piece = np.cumsum(begin > before)
-        ends = np.append(upto[np.flatnonzero(np.diff(piece))], len(self.symbols))
-        self.stop = ends[np.repeat(piece - 1, new)]
-        self.match = self._longest()
-
-    def _longest(self) -> np.ndarray:
-        """Each place's longest match with another place, LONGEST words at most: of its neighbours in the suffix array."""
+        last = upto[np.flatnonzero(np.append(np.diff(piece), 1))] if len(piece) else np.zeros(0, np.int64)
+        #: Where pieces start, and where each place's piece ends.
+        self.pieces = np.append(0, last[:-1])[: len(last)]
+        self.stop = last[np.repeat(piece - 1, new)]
+        self._index()
+
+    def _index(self) -> None:
+        """The suffix array of the pieces' first LONGEST words, by doubling, with the ranks that compare any two places."""
         n = len(self.symbols)
         at = np.arange(n)
-        ranks = [np.unique(self.symbols, return_inverse=True)[1].reshape(-1) + 1]
+        self.ranks = [np.unique(self.symbols, return_inverse=True)[1].reshape(-1) + 1]
         width = 1
         while width < LONGEST:
-            r = ranks[-1]
-            next_rank = np.where(at + width < self.stop, r[np.minimum(at + width, n - 1)], 0)
-            ranks.append(np.unique(r * (n + 1) + next_rank, return_inverse=True)[1].reshape(-1) + 1)
+            r = self.ranks[-1]
+            behind = np.where(at + width < self.stop, r[np.minimum(at + width, n - 1)], 0)
+            self.ranks.append(np.unique(r * (n + 1) + behind, return_inverse=True)[1].reshape(-1) + 1)
             width *= 2
-        order = np.argsort(ranks[-1], kind="stable")
-        x, y = order[:-1], order[1:]
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.order] = at
+
+    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many words places x and y have in common, told apart up to LONGEST at least."""
         common = np.zeros(len(x), np.int64)
-        for k in range(len(ranks) - 1, -1, -1):
+        for k in range(len(self.ranks) - 1, -1, -1):
             left = np.minimum(self.stop[x] - x, self.stop[y] - y) - common
             i = np.flatnonzero(left > 0)
-            i = i[ranks[k][x[i] + common[i]] == ranks[k][y[i] + common[i]]]
+            i = i[self.ranks[k][x[i] + common[i]] == self.ranks[k][y[i] + common[i]]]
             common[i] += np.minimum(1 << k, left[i])
-        match = np.zeros(n, np.int64)
-        match[x] = common
-        match[y] = np.maximum(match[y], common)
-        return match
-
-    def repeated(self, length: int) -> np.ndarray:
-        """For each place, whether the window that starts there is repeated, from the factors and their boundaries."""
-        n, step, starts, x = len(self.symbols), self.match.tolist(), [], 0
-        while x < n:
+        return common
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """The longest match of each of these places with another one: a neighbour in the suffix array has it."""
+        out = np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            next_to = self.rank[at] + step
+            i = np.flatnonzero((next_to >= 0) & (next_to < len(self.order)))
+            out[i] = np.maximum(out[i], self._common(at[i], self.order[next_to[i]]))
+        return np.minimum(out, LONGEST)
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, sizes) of the greedy factors of all pieces, in order; a word without a match is one of its own, of size 1.
+
+        The pieces are parsed side by side, a factor of each at a time; only where a factor starts is a match looked up.
+        """
+        starts, sizes, x = [], [], self.pieces
+        while len(x):
+            size = np.maximum(self.longest(x), 1)
             starts.append(x)
-            x += step[x] or 1
-        starts = np.array(starts, np.int64)
-        ends = np.append(starts[1:], n)
-        long = np.flatnonzero(ends - starts >= length)
+            sizes.append(size)
+            more = x + size < self.stop[x]
+            x = (x + size)[more]
+        if not starts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, size = np.concatenate(starts), np.concatenate(sizes)
+        order = np.argsort(at)
+        return at[order], size[order]
+
+    def spans(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, whether the window that starts there lies in a factor of `length` words or more, and each place's factor's end."""
+        n = len(self.symbols)
+        starts, sizes = self.factors()
         edge = np.zeros(n + 1, np.int64)
+        long = np.flatnonzero(sizes >= length)
         edge[starts[long]] += 1
-        edge[ends[long] - length + 1] -= 1
-        out = np.cumsum(edge[:-1]) > 0
-        at = np.arange(n)
-        crossing = at + length > ends[np.searchsorted(starts, at, side="right") - 1]
-        out[crossing] = self.match[crossing] >= length
+        edge[starts[long] + sizes[long] - length + 1] -= 1
+        return np.cumsum(edge[:-1]) > 0, np.repeat(starts + sizes, sizes)
+
+    def repeated(self, length: int) -> np.ndarray:
+        """For each place, whether the window that starts there is repeated: inside a long factor, or checked at a factor's end."""
+        out, ends = self.spans(length)
+        at = np.arange(len(out))
+        crossing = np.flatnonzero((at + length > ends) & (at + length <= self.stop))
+        out[crossing] = self.longest(crossing) >= length
         return out
 
 
