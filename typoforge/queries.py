@@ -809,7 +809,7 @@ def mean_loss(spark, sf_dir):
 
 # --------------------------------------------------------------------------- code analysis, on snippets made of table rows
 
-# A snippet for each part or supplier: a function, two parameters of which one is assigned again, and two variables.
+# A snippet for each part: a function, two parameters of which one is assigned again, and two variables.
 _SNIPPET = (
     (("", "'def'", "k"), (" ", "f", "n"), ("", "'('", "o"), ("", "x", "n"), ("", "','", "o"), (" ", "y", "n"), ("", "')'", "o"), ("", "':'", "o")),
     (("    ", "w", "n"), (" ", "'='", "o"), (" ", "x", "n"), (" ", "'+'", "o"), (" ", "y", "n")),
@@ -857,14 +857,12 @@ def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets_of(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("words")))
 
 
-def supplier_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """snippet_id, split, code: a snippet for each supplier, with the words of the part of its number."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("words"))
-    made = snippets_of(p.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id"))
-    return made.select(F.col("id").alias("snippet_id"), F.lit("train").alias("split"), "code")
+def labelled_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snippet_id, split, code: the snippet of each part."""
+    return part_code(spark, sf_dir).select(F.col("id").alias("snippet_id"), F.lit("train").alias("split"), "code")
 
 
-_SQL_SUPPLIER = f"{_SQL_CODE}, chosen AS (SELECT id, code FROM snippets JOIN supplier ON s_suppkey = id)"
+_SQL_LABELLED = f"{_SQL_CODE}, chosen AS (SELECT id, code FROM snippets)"
 
 #: Every snippet has names for two typos, and no comments, so how much is built follows from the plan.
 PLAN = inject.Plan(seed=11, variants=3, p_edit=1.0, comments=False)
@@ -903,15 +901,15 @@ def renamed_binding(spark, sf_dir):
 
 @query()
 def built_samples(spark, sf_dir):
-    return inject.build(supplier_code(spark, sf_dir), PLAN)
+    return inject.build(labelled_code(spark, sf_dir), PLAN)
 
 
-@query(f"""WITH {_SQL_SUPPLIER}, v AS (SELECT *, unnest(range(4)) AS v FROM chosen)
+@query(f"""WITH {_SQL_LABELLED}, v AS (SELECT *, unnest(range(4)) AS v FROM chosen)
 SELECT id * 4 + v AS sample_index, v > 0 AS has_errors, CASE WHEN v = 0 THEN code END AS clean_code, CASE WHEN v > 0 THEN code END AS fixed, CASE WHEN v > 0 THEN 2 ELSE 0 END AS n_edits,
 CASE WHEN v > 0 THEN len(code) END AS n_restored, 'python' AS language, 'train' AS split FROM v""")
 def built_shapes(spark, sf_dir):
     """What of a build doesn't depend on draws: undoing the edits gives the snippet again."""
-    b = inject.build(supplier_code(spark, sf_dir), PLAN)
+    b = inject.build(labelled_code(spark, sf_dir), PLAN)
     undone = F.aggregate("edits", F.col("code"), lambda acc, e: F.replace(acc, e["corrupted_name"], e["original_name"]))
     return b.select(
         "sample_index", "has_errors", F.when(~F.col("has_errors"), F.col("code")).alias("clean_code"), "fixed", F.size("edits").alias("n_edits"),
@@ -919,9 +917,9 @@ def built_shapes(spark, sf_dir):
     )
 
 
-@query("SELECT count(*) AS clean, (3 * count(*))::BIGINT AS corrupted, 0::BIGINT AS no_typo FROM supplier JOIN part ON s_suppkey = p_partkey")
+@query("SELECT count(*) AS clean, (3 * count(*))::BIGINT AS corrupted, 0::BIGINT AS no_typo FROM part")
 def build_counts(spark, sf_dir):
-    return inject.build_counts(inject.build(supplier_code(spark, sf_dir), PLAN), PLAN.variants)
+    return inject.build_counts(inject.build(labelled_code(spark, sf_dir), PLAN), PLAN.variants)
 
 
 _SQL_MADE = f"""good AS (SELECT t.name, op, list(typo ORDER BY pos, typo) AS c FROM typos t WHERE typo <> t.name AND {_SQL_IDENT('typo')} AND NOT {_SQL_RESERVED.replace('name', 'typo')} GROUP BY 1, 2),
@@ -961,14 +959,14 @@ def _quality(frame: DataFrame) -> DataFrame:
 
 
 @query("""SELECT (3 * count(*))::BIGINT AS total_samples, 1.0::DOUBLE AS exact_match_rate, 1.0::DOUBLE AS identifier_precision, 1.0::DOUBLE AS identifier_recall, 1.0::DOUBLE AS identifier_f1,
-0.0::DOUBLE AS avg_normalized_edit_distance, count(*) AS clean_samples_total, 0::BIGINT AS clean_false_positive_count, 0.0::DOUBLE AS clean_false_positive_rate FROM supplier JOIN part ON s_suppkey = p_partkey""")
+0.0::DOUBLE AS avg_normalized_edit_distance, count(*) AS clean_samples_total, 0::BIGINT AS clean_false_positive_count, 0.0::DOUBLE AS clean_false_positive_rate FROM part""")
 def evaluated_perfect(spark, sf_dir):
-    return _quality(fixers.evaluate(inject.build(supplier_code(spark, sf_dir), PLAN), fixers.PerfectFix())[0])
+    return _quality(fixers.evaluate(inject.build(labelled_code(spark, sf_dir), PLAN), fixers.PerfectFix())[0])
 
 
 @query()
 def evaluated_spelling(spark, sf_dir):
-    s = inject.build(supplier_code(spark, sf_dir), PLAN)
+    s = inject.build(labelled_code(spark, sf_dir), PLAN)
     words = analyze.extract_names(s.filter("not has_errors")).select(F.explode(N.split_identifier(F.col("name"))).alias("word"))
     dictionary = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return _quality(fixers.evaluate(s, fixers.SpellFix(dictionary))[0])
@@ -976,7 +974,7 @@ def evaluated_spelling(spark, sf_dir):
 
 @query()
 def line_diffs(spark, sf_dir):
-    s = inject.build(supplier_code(spark, sf_dir), PLAN).filter("has_errors")
+    s = inject.build(labelled_code(spark, sf_dir), PLAN).filter("has_errors")
     return s.select("sample_index", analyze.line_diff("fixed", "code").alias("d")).select("sample_index", F.explode("d").alias("d")).select("sample_index", "d.*")
 
 
@@ -989,7 +987,7 @@ def aligned_subwords(spark, sf_dir):
 
 @query()
 def text_scores(spark, sf_dir):
-    s = inject.build(supplier_code(spark, sf_dir), PLAN).filter("has_errors")
+    s = inject.build(labelled_code(spark, sf_dir), PLAN).filter("has_errors")
     return report.text_scores(s.select(F.col("code").alias("predicted"), F.col("fixed").alias("reference")))
 
 
