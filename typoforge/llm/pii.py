@@ -11,7 +11,8 @@ defining patterns), then what the method adds: url (scheme, host with a dot or p
 Positions are code points, ends exclusive; matches of one kind never overlap.
 
 Defined cases: a null or empty text has no spans; rows that repeat are scanned each by itself; other
-columns pass through; memory is bounded by the longest text.
+columns pass through, whatever their names; an empty table gives an empty result; a very long text is scanned whole,
+and memory is bounded by the longest one.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ that in the end groups are ordered by Lyndon prefix.  A second pass emits the or
 order already emitted.  Nothing is renamed or sorted recursively.
 
 Texts are UTF-8 bytes; a null text is empty; matches do not cross documents, but count within one; repeated
-rows are places of their own; a null doc_id is kept; doc_id is an integer; other columns are ignored; an empty
-table gives an empty result.  Memory: a step of texts, or the contexts of one partition.
+rows are places of their own; a null doc_id is kept; doc_id is an integer; other columns are ignored, whatever their
+names; an empty table gives an empty result; a very long text is a step of its own.  Memory: a step of texts, or the
+contexts of one partition.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@
 Skew: frequent pre-tokens never reach the shuffle, so no key of the join is hot; the first shuffle carries
 one row a task and distinct pre-token.  Defined cases: a null or empty text has 0 bytes and tokens; rows that
 repeat give a row each; special strings in a text are ordinary text, as in the library; other columns are
-ignored; an empty table gives an empty result.
+ignored, whatever their names; an empty table gives an empty result; a very long text is a step of its own.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Spark's committer in the shared folder, so a lost executor's task is simply writ
 
 Skew: ranges of doc_id are balanced by sampling; ties of one id only share a range.  Memory: a segment and a
 text.  Defined cases: a null or empty text has only the end id; null doc_ids come first; rows that repeat are
-all written; extra columns are ignored; an empty table gives an empty file.
+all written; extra columns are ignored, whatever their names; an empty table gives an empty file; a very long text is a
+step of its own and may fill a segment alone.
 """
 
 from __future__ import annotations
