@@ -88,6 +88,26 @@ def test_a_model_runs_once(spark, built, tmp_path):
         assert len(f.readlines()) == built.count()
 
 
+def test_samples_are_built_once(spark, built, tmp_path, monkeypatch):
+    """However many parts of an evaluation read them; what no result reads is removed."""
+    seen, rows = str(tmp_path / "seen"), built.collect()
+
+    def build(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x\n" * len(b))
+            yield b
+
+    made = spark.createDataFrame(rows, built.schema).mapInPandas(build, built.schema)
+    folder = tmp_path / "shared"
+    monkeypatch.setattr("typoforge.session.tempfile.gettempdir", lambda: str(folder))
+    metrics, results = fixers.evaluate(made, fixers.PerfectFix())
+    assert metrics.count() == 1 and results.count() > 0
+    assert {p.name.rsplit("-", 1)[0] for p in (folder / "typoforge").iterdir()} == {"metrics", "results"}
+    with open(seen) as f:
+        assert len(f.readlines()) == len(rows)
+
+
 def test_chat_errors():
     class Answer(Exception):
         def __init__(self, status):

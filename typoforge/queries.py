@@ -13,9 +13,9 @@ from .functions import names as N
 from .functions import text as X
 from .operators import evaluate as V
 from .operators import relational as R
-from .operators import correct, decode, encode, report, vocab
+from .operators import correct, decode, encode, pieces, report, vocab
 from .operators.encode import subword_labels, token_labels
-from .operators.ranks import rank_by_id
+from .operators.ranks import bucketed_rank, rank_by_id
 from .plans import analyze, fixers, inject
 from .session import forget, written
 from .sources import readers, sinks
@@ -569,6 +569,23 @@ def spell_candidates_whole(spark, sf_dir):
     return found
 
 
+@query("""WITH RECURSIVE w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word FROM documents),
+v AS (SELECT piece, (row_number() OVER (ORDER BY piece) + 2)::INT AS idx FROM (SELECT DISTINCT word[:k] AS piece FROM w, unnest([1, 2, 4]) AS t(k) UNION SELECT DISTINCT '##' || word[-k:] FROM w, unnest([1, 3]) AS t(k))),
+p AS (SELECT word, a AS start, n AS size, CASE WHEN a > 0 THEN '##' ELSE '' END || word[a + 1 : a + n] AS piece FROM (SELECT *, unnest(range(1, least(4, len(word) - a) + 1)) AS n FROM (SELECT word, unnest(range(len(word))) AS a FROM w))),
+b AS (SELECT word, start, max(size) AS size, arg_max(idx, size) AS idx FROM p JOIN v USING (piece) GROUP BY 1, 2),
+s AS (SELECT word, 0::BIGINT AS pos, 0 AS k, '' AS t FROM w UNION ALL SELECT s.word, pos + size, k + 1, t || idx || ' ' FROM s JOIN b ON b.word = s.word AND b.start = s.pos),
+e AS (SELECT word, k, t FROM s WHERE pos = len(word))
+SELECT w.word, coalesce(k, 1)::INT AS n_pieces, coalesce(t, '2 ') AS pieces FROM w LEFT JOIN e USING (word)""")
+def word_pieces(spark, sf_dir):
+    """Every word of the documents cut by longest match, with their beginnings and ends as the vocabulary."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    heads = words.select(F.explode(F.array(*(F.substring("word", 1, k) for k in (1, 2, 4)))).alias("piece"))
+    tails = words.select(F.explode(F.array(*(F.concat(F.lit("##"), F.right("word", F.lit(k))) for k in (1, 3)))).alias("piece"))
+    ranked = bucketed_rank(heads.unionByName(tails).distinct(), [F.substring("piece", 1, 3)], [F.col("piece")], "rank").select("piece", (F.col("rank") + 3).cast("int").alias("idx"))
+    made = pieces.longest_pieces(words, ranked, longest=4)
+    return made.select("word", F.size("pieces").alias("n_pieces"), F.array_join(F.transform("pieces", lambda p: F.concat(p["idx"].cast("string"), F.lit(" "))), "").alias("pieces"))
+
+
 _TAGS = ("$KEEP", "$DELETE", "$UNK", "$REPLACE_a", "$SWAP_1", "$DEL_0", "$CASE_0", "$INS_1_x")
 
 
@@ -966,10 +983,12 @@ def evaluated_perfect(spark, sf_dir):
 
 @query()
 def evaluated_spelling(spark, sf_dir):
-    s = inject.build(labelled_code(spark, sf_dir), PLAN)
+    s = written(inject.build(labelled_code(spark, sf_dir), PLAN), "built")
     words = analyze.extract_names(s.filter("not has_errors")).select(F.explode(N.split_identifier(F.col("name"))).alias("word"))
     dictionary = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return _quality(fixers.evaluate(s, fixers.SpellFix(dictionary))[0])
+    metrics = _quality(fixers.evaluate(s, fixers.SpellFix(dictionary))[0])
+    forget(s)
+    return metrics
 
 
 @query()
