@@ -100,6 +100,7 @@ def test_samples_are_built_once(spark, built, tmp_path, monkeypatch):
 
     made = spark.createDataFrame(rows, built.schema).mapInPandas(build, built.schema)
     folder = tmp_path / "shared"
+    folder.mkdir()
     monkeypatch.setattr("typoforge.session.tempfile.gettempdir", lambda: str(folder))
     metrics, results = fixers.evaluate(made, fixers.PerfectFix())
     assert metrics.count() == 1 and results.count() > 0
