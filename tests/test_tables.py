@@ -100,11 +100,10 @@ def test_samples_are_built_once(spark, built, tmp_path, monkeypatch):
 
     made = spark.createDataFrame(rows, built.schema).mapInPandas(build, built.schema)
     folder = tmp_path / "shared"
-    folder.mkdir()
-    monkeypatch.setattr("typoforge.session.tempfile.gettempdir", lambda: str(folder))
+    monkeypatch.setattr("typoforge.session.shared_folder", lambda spark: str(folder))
     metrics, results = fixers.evaluate(made, fixers.PerfectFix())
     assert metrics.count() == 1 and results.count() > 0
-    assert {p.name.rsplit("-", 1)[0] for p in (folder / "typoforge").iterdir()} == {"metrics", "results"}
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} == {"metrics", "results"}
     with open(seen) as f:
         assert len(f.readlines()) == len(rows)
 
