@@ -63,12 +63,15 @@ def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFr
 def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFrame:
     """words with key: a hash of each word, and of what is left of it after deleting up to `most` characters.
 
-    Deletions are taken from left to right, so each set of places is one row; only repeated letters repeat a key.
+    Deletions are taken from left to right, and of equal letters in a row the first goes, so a string is made once: what
+    is left stands as far right in the word as it can.
     """
     out = words.withColumn("_rest", F.col(word)).withColumn("_at", F.lit(0))
     for _ in range(most):
         places = F.when(F.col("_at") <= F.length("_rest"), F.sequence("_at", F.length("_rest")))  # 0: none
         out = out.withColumn("_at", F.explode(places))
+        here, before = F.substr("_rest", F.col("_at"), F.lit(1)), F.substr("_rest", F.col("_at") - 1, F.lit(1))
+        out = out.filter((F.col("_at") <= 1) | (here != before))
         shorter = F.concat(F.substr("_rest", F.lit(1), F.col("_at") - 1), F.substr("_rest", F.col("_at") + 1, F.length("_rest")))
         out = out.withColumn("_rest", F.when(F.col("_at") == 0, F.col("_rest")).otherwise(shorter))
     return out.withColumn("key", F.xxhash64("_rest")).drop("_rest", "_at")
