@@ -44,6 +44,16 @@ def forget(*frames: DataFrame) -> None:
         where.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all cores by a key: rows that cost much for their size may all lie in one small file, so in one task.
+
+    The number of partitions is given, so that no coalescing by bytes takes it back.
+    """
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *by)
+
+
 def make_session(name: str = "typoforge", master: str | None = None, **settings: str) -> SparkSession:
     """A session; further settings as keywords with dots as double underscores."""
     builder = SparkSession.builder.appName(name)
