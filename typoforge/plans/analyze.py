@@ -33,6 +33,19 @@ def extract_names(samples: DataFrame, *, by: str = "sample_index", code: str = "
     return samples.select(by, code).mapInPandas(run, f"{by} {kind}, name string, scope_id int, kind string, line int, col int")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def names_of(code: pd.Series) -> pd.Series:
+    """The distinct names of a source that can be renamed, sorted; null if it doesn't parse."""
+
+    def one(source: str | None) -> list[str] | None:
+        try:
+            return sorted(scopes.renameable(source or ""))
+        except scopes.UnparseableCodeError:
+            return None
+
+    return pd.Series([one(c) for c in code], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     def one(source: str | None) -> bool:
