@@ -91,33 +91,30 @@ def subword_labels(subwords: DataFrame, labels: DataFrame, ignored: int = IGNORE
     return subwords.join(words, ["sample_index", "word_id"], "left").withColumn("label", F.when(F.col("is_first"), F.coalesce("label", F.lit(ignored))).otherwise(F.lit(ignored)))
 
 
-def tagger(samples: DataFrame, vocab: DataFrame, *, char_edit: bool, ids: Callable[[str], list[int]] = byte_ids, start: int = 0, end: int = 1, length: int = 512, ignored: int = IGNORED_LABEL) -> DataFrame:
+def tagger(samples: DataFrame, vocab: DataFrame, *, char_edit: bool, ids: Callable[[str], list[int]] = byte_ids, start: int = 0, end: int = 1, length: int = 512, ignored: int = IGNORED_LABEL, keep: int = 0, unknown: int = 2) -> DataFrame:
     """sample_index, input_ids, attention_mask, tag_labels, detect_labels, raw_code, raw_fixed of samples.
 
     Name tokens that an edit lists get its tag's index (unknown if the vocabulary lacks it) and detection 1, other
     tokens keep and 0, both on their first subword; other subwords, start and end are ignored.  A source without tokens
     is start and end only, with empty raw texts.  The last edit of a name counts.
     """
-    from ..plans.analyze import align_to_subwords, code_tokens
-    from .relational import first_subword
+    from ..plans.analyze import marked_subwords
     from .vocab import edit_tag
 
-    tokens = samples.select("sample_index", F.posexplode(code_tokens(F.col("code"))).alias("pos", "t")).select("sample_index", "pos", "t.text", "t.is_name")
     e = samples.select("sample_index", F.posexplode(F.coalesce("edits", F.array().cast(samples.schema["edits"].dataType))).alias("position", "e"))
     edits = e.select("sample_index", "position", F.col("e.corrupted_name").alias("corrupted"), F.col("e.original_name").alias("original")).filter("corrupted <> '' and original <> ''")
-    tag = edit_tag(F.col("corrupted"), F.col("original"), char_edit)
-    detected = edits.select("sample_index", F.col("corrupted").alias("text")).distinct().withColumn("hit", F.lit(1))
-    labels = token_labels(tokens, edits, vocab, F.coalesce(tag, F.lit(""))).join(detected, ["sample_index", "text"], "left")
-    labels = labels.select("sample_index", F.col("pos").alias("word_id"), "label", F.when(F.col("is_name"), F.coalesce("hit", F.lit(0))).otherwise(0).alias("detect"))
-    subwords = first_subword(align_to_subwords(samples, ids=ids, start=start, end=end, most=length)).join(labels, ["sample_index", "word_id"], "left")
-    own = lambda c: F.when(F.col("is_first"), F.coalesce(c, F.lit(ignored))).otherwise(F.lit(ignored)).alias(c)
-    rows = subwords.select("sample_index", "pos", "input_id", own("label"), own("detect"), F.col("word_id").isNotNull().alias("inner"))
-    items = rows.groupBy("sample_index").agg(F.array_sort(F.collect_list(F.struct("pos", "input_id", "label", "detect"))).alias("r"), F.max("inner").alias("inner"))
-    of = lambda c: F.transform("r", lambda x: x[c])
-    text = lambda c: F.when(F.col("inner"), c).otherwise(F.lit(""))
-    both = items.join(samples.select("sample_index", "code", "fixed"), "sample_index")
-    return both.select(
-        "sample_index", of("input_id").alias("input_ids"), F.transform("r", lambda x: F.lit(1)).alias("attention_mask"), of("label").alias("tag_labels"), of("detect").alias("detect_labels"),
+    tag = F.coalesce(edit_tag(F.col("corrupted"), F.col("original"), char_edit), F.lit(""))
+    tagged = edits.groupBy("sample_index", "corrupted").agg(F.max_by(tag, "position").alias("tag"))
+    indexed = tagged.join(vocab, "tag", "left").select("sample_index", F.struct("corrupted", F.coalesce("idx", F.lit(unknown)).alias("idx")).alias("x"))
+    # A source's few edits come to it as a map; its tokens and subwords never leave it.
+    known = indexed.groupBy("sample_index").agg(F.map_from_entries(F.collect_list("x")).alias("tags"))
+    rows = samples.select("sample_index", "code", "fixed").join(known, "sample_index", "left").withColumn("r", marked_subwords("code", ids=ids, start=start, end=end, most=length))
+    index = lambda x: F.try_element_at("tags", x["name"])
+    first = lambda make: F.transform("r", lambda x: F.when(x["name"].isNull(), F.lit(ignored)).otherwise(make(x)))
+    text = lambda c: F.when(F.exists("r", lambda x: x["name"].isNotNull()), c).otherwise(F.lit(""))
+    return rows.select(
+        "sample_index", F.transform("r", lambda x: x["input_id"]).alias("input_ids"), F.transform("r", lambda x: F.lit(1)).alias("attention_mask"),
+        first(lambda x: F.coalesce(index(x), F.lit(keep))).alias("tag_labels"), first(lambda x: index(x).isNotNull().cast("int")).alias("detect_labels"),
         text(F.col("code")).alias("raw_code"), text(target(F.col("fixed"), F.col("code"))).alias("raw_fixed"),
     )
 

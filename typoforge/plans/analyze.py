@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,9 +88,15 @@ def rename_binding(code: pd.Series, line: pd.Series, col: pd.Series, new: pd.Ser
 def code_tokens(code: Column) -> Column:
     """array<struct<text,row,col,kind,is_name>> of a source."""
 
-    @F.pandas_udf(f"array<{TOKEN.simpleString()}>")
-    def run(code: pd.Series) -> pd.Series:
-        return code.map(lambda s: [{"text": t.text, "row": t.row, "col": t.col, "kind": t.kind, "is_name": t.is_name} for t in scopes.code_tokens(s or "")])
+    @F.arrow_udf(f"array<{TOKEN.simpleString()}>")
+    def run(code: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for s in code.to_pylist():
+            rows += [(t.text, t.row, t.col, t.kind, t.is_name) for t in scopes.code_tokens(s or "")]
+            ends.append(len(rows))
+        flat = list(zip(*rows, strict=True)) if rows else [()] * 5
+        columns = [pa.array(c, k) for c, k in zip(flat, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=TOKEN.names))
 
     return run(code)
 
@@ -99,6 +106,12 @@ def count_name(code: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([scopes.count_name(c or "", n) for c, n in zip(code, name, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def count_names(code: pd.Series, names: pd.Series) -> pd.Series:
+    """count_name of each of an array of names, by one reading of the source."""
+    return pd.Series([scopes.count_names(c or "", n) for c, n in zip(code, names, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def substitute(code: pd.Series, edits: pd.Series) -> pd.Series:
     """code with tokens (row, col, old, new) replaced in place."""
@@ -144,13 +157,50 @@ def align_to_subwords(samples: DataFrame, *, ids=None, start: int = 0, end: int
 
     ids = ids or byte_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, source in zip(b["sample_index"], b["code"], strict=True):
-                inner = [(x, w) for w, t in enumerate(scopes.code_tokens(source or "")) for x in ids(t.text)][: most - 2]
-                rows += [(i, p, x, w) for p, (x, w) in enumerate([(start, None), *inner, (end, None)])]
-            made = pd.DataFrame(rows, columns=["sample_index", "pos", "input_id", "word_id"])
-            yield made.astype({"word_id": "Int32"})
+            at, pos, inputs, words = [], [], [], []
+            for i, source in zip(b["sample_index"].to_pylist(), b["code"].to_pylist(), strict=True):
+                inner, owners = [], []
+                for w, t in enumerate(scopes.code_tokens(source or "")):
+                    if len(inner) >= most - 2:
+                        break
+                    x = ids(t.text)
+                    inner += x
+                    owners += [w] * len(x)
+                inner, owners = inner[: most - 2], owners[: most - 2]
+                inputs += [start, *inner, end]
+                words += [None, *owners, None]
+                at += [i] * (len(inner) + 2)
+                pos += range(len(inner) + 2)
+            columns = [pa.array(at, pa.int64()), *(pa.array(c, pa.int32()) for c in (pos, inputs, words))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample_index", "pos", "input_id", "word_id"])
+
+    return samples.select("sample_index", "code").mapInArrow(run, "sample_index long, pos int, input_id int, word_id int")
+
+
+def marked_subwords(code: str | Column, *, ids, start: int = 0, end: int = 1, most: int = 512) -> Column:
+    """array<struct<input_id,name>>: the subwords of align_to_subwords(), in order.
+
+    name is the token's text on the first subword of a name token, empty on that of any other, and null elsewhere.
+    """
+
+    @F.arrow_udf("array<struct<input_id:int,name:string>>")
+    def run(code: pa.Array) -> pa.Array:
+        inputs, names, ends = [], [], [0]
+        for source in code.to_pylist():
+            own, marks = [], []
+            for t in scopes.code_tokens(source or ""):
+                if len(own) >= most - 2:
+                    break
+                x = ids(t.text)
+                if len(x):
+                    own += x
+                    marks += [t.text if t.is_name else "", *[None] * (len(x) - 1)]
+            inputs += [start, *own[: most - 2], end]
+            names += [None, *marks[: most - 2], None]
+            ends.append(len(inputs))
+        each = pa.StructArray.from_arrays([pa.array(inputs, pa.int32()), pa.array(names, pa.string())], names=["input_id", "name"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
 
-    return samples.select("sample_index", "code").mapInPandas(run, "sample_index long, pos int, input_id int, word_id int")
+    return run(code)
