@@ -121,7 +121,8 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2, *,
     are made distinct, joined with their words, and verified.  Words with the same 32 bits are all tried, so none is
     lost or wrong.
     """
-    unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti").withColumn("a", F.hash("word"))
+    # Both sides grow with the words, so no join may collect one in the driver for a broadcast.
+    unknown = words.select("word").distinct().join(dictionary.select("word").hint("merge"), "word", "left_anti").withColumn("a", F.hash("word"))
     known = dictionary.select(F.col("word").alias("candidate"), "n", F.hash("word").alias("b"))
     of = lambda rows, name, least, up: rows.filter(F.length(name).between(least, up))
     met = None
@@ -131,9 +132,9 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2, *,
     ):
         left = make(of(unknown, "word", least, up), "word", most).select("key", "a")
         right = make_other(of(known, "candidate", least, up), "candidate", most).select("key", "b")
-        pairs = left.join(right, "key").select("a", "b")
+        pairs = left.join(right.hint("merge"), "key").select("a", "b")
         met = pairs if met is None else met.unionByName(pairs)
-    pairs = met.distinct().join(unknown, "a").join(known, "b").select("word", "candidate", "n", F.levenshtein("word", "candidate", most).alias("distance"))
+    pairs = met.distinct().join(unknown.hint("merge"), "a").join(known.hint("merge"), "b").select("word", "candidate", "n", F.levenshtein("word", "candidate", most).alias("distance"))
     return pairs.filter("distance >= 0")
 
 
