@@ -45,7 +45,7 @@ def forget(*frames: DataFrame) -> None:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df dealt over all cores by a key: rows that cost much for their size may all lie in one small file, so in one task.
+    """df dealt over all cores by a key, or in turn: rows that cost much for their size may all lie in one small file, so in one task.
 
     The number of partitions is given, so that no coalescing by bytes takes it back.
     """
