@@ -61,6 +61,32 @@ def _before(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique of non-negative numbers, with first places, inverse and counts.
+
+    Numbers and places are sorted as one 64-bit number where they fit, which is several times faster than an argsort.
+    """
+    n = len(values)
+    bits = max(n - 1, 1).bit_length()
+    if n == 0 or int(values.max()).bit_length() + bits > 63:
+        each, first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        return each, first, inverse.reshape(-1), counts
+    packed = np.sort(values.astype(np.int64) << bits | np.arange(n))
+    order, packed = packed & ((1 << bits) - 1), packed >> bits
+    begins = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+    counts = np.diff(np.append(begins, n))
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.repeat(np.arange(len(begins)), counts)
+    return packed[begins], order[begins], inverse, counts
+
+
+def distinct_bigrams(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys of the bigrams, in order; which of them each token's is)."""
+    bits = int(ids.max()).bit_length() if len(ids) else 1
+    each, _, which, _ = grouped((_before(ids, off) + 1) << bits | ids)
+    return (each >> bits) << 32 | each & ((1 << bits) - 1), which
+
+
 class Models:
     """The counts of both corpora by piece (index 0: before a text); row 0 the target, row 1 the background."""
 
@@ -101,10 +127,6 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(good.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.col("of").isNotNull().alias("good"))
 
 
-def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left.astype(np.int64) + 1) << 32 | right.astype(np.int64)
-
-
 def count_bigrams(docs: DataFrame, *, model: str = PIECES) -> DataFrame:
     """key (left id + 1, right id), target, background: exact counts over all documents.
 
@@ -128,7 +150,7 @@ def count_bigrams(docs: DataFrame, *, model: str = PIECES) -> DataFrame:
         for rows, _, _ in steps(batches, most=STEP):
             ids, off = tokens(column(rows, "text"), model)
             good = column(rows, "good").to_numpy(zero_copy_only=False)
-            keys, inv = np.unique(_key(_before(ids, off), ids), return_inverse=True)
+            keys, inv = distinct_bigrams(ids, off)
             mine = good[owner(off)]
             held.append(np.stack([keys, np.bincount(inv[mine], minlength=len(keys)), np.bincount(inv, minlength=len(keys))]))
             size += len(keys)
@@ -186,12 +208,13 @@ def score(docs: DataFrame, labels: DataFrame, *, model: str = PIECES, prior: flo
             ids, off = tokens(column(rows, "text"), model)
             n, doc = np.diff(off), owner(off)
             good = column(rows, "good").to_numpy(zero_copy_only=False)
-            each, which = np.unique(_key(_before(ids, off), ids), return_inverse=True)
+            each, which = distinct_bigrams(ids, off)
             # The distinct bigrams of each document, how many it has, and how many that begin alike.
-            _, first, own = np.unique(doc * max(len(each), 1) + which.reshape(-1), return_index=True, return_counts=True)
-            _, begin, held = np.unique(doc << 32 | each[which.reshape(-1)] >> 32, return_inverse=True, return_counts=True)
-            _, end, ended = np.unique(doc << 32 | ids, return_inverse=True, return_counts=True)
-            mine, which, doc, begun, right = each[which.reshape(-1)[first]], which.reshape(-1)[first], doc[first], held[begin.reshape(-1)[first]], ended[end.reshape(-1)[first]]
+            _, first, _, own = grouped(doc * max(len(each), 1) + which)
+            span = int(ids.max()) + 2 if len(ids) else 1
+            _, _, begin, held = grouped(doc * span + (each[which] >> 32))
+            _, _, end, ended = grouped(doc * span + ids)
+            mine, which, doc, begun, right = each[which[first]], which[first], doc[first], held[begin[first]], ended[end[first]]
             at = np.minimum(np.searchsorted(key, each), max(len(key) - 1, 0))
             known = (key[at] == each if len(key) else np.zeros(len(each), bool))[which]
             value = m.difference(mine[known], counts[:, at[which[known]]], own[known], begun[known], right[known], n[doc[known]], good[doc[known]])
