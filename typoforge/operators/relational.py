@@ -37,27 +37,30 @@ def search(samples: DataFrame, text: str) -> DataFrame:
     return samples.filter(F.lower(F.concat_ws(" ", "fixed", "code", names)).contains(text.lower()))
 
 
-def band_join(before: DataFrame, after: DataFrame, on: list[str], col: str, reach: int) -> DataFrame:
-    """Pairs of rows, as structs a and b, with equal `on` columns and with `col` at most `reach` apart.
-
-    `after` is cut into bands of 2 * reach + 1 values, so a row of `before` looks into two bands at most, and the join is
-    by equality on the band too: a group of any size splits over tasks, and its work follows the rows that are near.
-    """
-    width = 2 * reach + 1
-    band = lambda x: F.floor(x / width)
-    a = before.filter(F.col(col).isNotNull()).select(*on, F.struct(*before.columns).alias("a"))
-    b = after.filter(F.col(col).isNotNull()).select(*on, band(F.col(col)).alias("_band"), F.struct(*after.columns).alias("b"))
-    here = F.col(f"a.{col}")
-    a = a.withColumn("_band", F.explode(F.array_distinct(F.array(band(here - reach), band(here + reach)))))
-    return a.join(b, [*on, "_band"]).filter((F.col(f"b.{col}") - here).between(-reach, reach)).select("a", "b")
+#: Reaches in a band of position_diff(): one row of `after` in BAND / 2 lies near a band's end and is in two.
+BAND = 64
 
 
 def position_diff(before: DataFrame, after: DataFrame, reach: int = 5) -> DataFrame:
     """For each name of `before` (sample, line, col, ordinal, name): the first different name of `after` on the same
-    line within `reach` columns, tried from the left; of a name's positions the first with one wins."""
-    near = band_join(before, after, ["sample_index", "line"], "col", reach).filter(F.col("a.name") != F.col("b.name"))
-    first = F.min_by("b.name", F.struct("a.ordinal", F.col("b.col") - F.col("a.col"), "b.name"))
-    return near.groupBy(F.col("a.sample_index").alias("sample_index"), F.col("a.name").alias("corrupted")).agg(first.alias("fixed"))
+    line within `reach` columns, tried from the left; of a name's positions the first with one wins.
+
+    Both sides are dealt by bands of columns and sorted once; a row of `before` finds its own answer among its
+    neighbours there, so that pairs are never rows: of every row one at most goes on to its name.
+    """
+    on, width = ["sample_index", "line"], BAND * reach + 1
+    band = lambda x: F.floor(x / width)
+    whole = F.col("sample_index").isNotNull() & F.col("line").isNotNull() & F.col("col").isNotNull() & F.col("name").isNotNull()
+    a = before.filter(whole).select(*on, band(F.col("col")).alias("_band"), "col", F.col("name").alias("_a"), "ordinal", F.lit(None).cast("string").alias("_b"))
+    bands = F.array_distinct(F.array(band(F.col("col") - reach), band(F.col("col") + reach)))
+    b = after.filter(whole).select(*on, F.explode(bands).alias("_band"), "col", F.lit(None).cast("string").alias("_a"), F.lit(None).alias("ordinal"), F.col("name").alias("_b"))
+    near = Window.partitionBy(*on, "_band").orderBy("col").rangeBetween(-reach, reach)
+    seen = F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("col", "_b"))).over(near)
+    found = a.unionByName(b).withColumn("_seen", seen).filter("_a is not null")
+    best = F.array_min(F.filter("_seen", lambda x: x["_b"] != F.col("_a")))
+    best = found.select("sample_index", F.col("_a").alias("corrupted"), "ordinal", "col", best.alias("_best")).filter("_best is not null")
+    first = F.min_by("_best._b", F.struct("ordinal", F.col("_best.col") - F.col("col"), "_best._b"))
+    return best.groupBy("sample_index", "corrupted").agg(first.alias("fixed"))
 
 
 def deletion_keys(words: DataFrame, word: str = "word", most: int = 1) -> DataFrame:
