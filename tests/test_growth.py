@@ -1,6 +1,11 @@
 """Work and shuffled bytes that follow the input: plans without the steps that grew faster or moved rows for nothing."""
 
+from pyspark.sql import functions as F
+
+from typoforge import queries
+from typoforge.functions import names as N
 from typoforge.operators.correct import corrected
+from typoforge.operators.relational import position_diff
 
 
 def plan(df) -> str:
@@ -14,3 +19,29 @@ def test_corrections_of_a_text_take_one_pass(spark):
     got = {r.sample_index: (r.code, [tuple(e) for e in r.edits]) for r in done.collect()}
     assert got[1][0] == "The é the THE, other tEh " * 300 and len(got[1][1]) == 900 and got[1][1][-2] == (299 * 25 + 6, "teh", "the")
     assert got[2] == (None, []) and got[None] == ("the", [(0, "teh", "the")])
+
+
+def test_first_names_nearby_without_pairs_as_rows(spark):
+    at = lambda rows: spark.createDataFrame(rows, "sample_index int, line int, col long, ordinal long, name string")
+    before = [(s, 1, c, (c * 37) % 1000, "n%d" % (c % 90)) for s in (0, 1) for c in range(0, 2000, 3)] + [(0, 1, 5, 0, None), (None, 1, 5, 0, "a"), (0, None, 5, 0, "b"), (0, 1, None, 0, "c"), (0, 2, 7, 0, "d")]
+    after = [(0, 1, c, 0, "n%d" % (c * 7 % 90)) for c in range(-4, 2000, 2)] + [(0, 1, 319, 0, "a"), (0, 1, 321, 0, "b"), (0, 1, 321, 0, "b"), (0, 1, 6, 0, None), (None, 1, 5, 0, "x"), (0, 2, 13, 0, "far")]
+    want = {}
+    for s, k, c, o, name in before:
+        near = [(o, b[2] - c, b[4]) for b in after if None not in (s, k, c, name, b[4]) and b[:2] == (s, k) and abs(b[2] - c) <= 5 and b[4] != name]
+        if near:
+            want[s, name] = min([min(near), *([want[s, name]] if (s, name) in want else [])])
+    got = position_diff(at(before), at(after))
+    assert "Join" not in plan(got)
+    assert {(r.sample_index, r.corrupted): r.fixed for r in got.collect()} == {k: v[2] for k, v in want.items()} and len(want) > 20
+
+
+def test_pairs_are_distinct_without_a_shuffle_of_them(spark, data, tmp_path):
+    odd = ["xxab", "xab", "ab", "aaab", "xxx", "xxxx", "__aa_bb", "Éé_k", "x", "", "loool"]
+    part = spark.read.parquet(f"{data}/part.parquet").limit(5)
+    rows = part.select("p_partkey", "p_type", "p_size", "p_name").union(spark.createDataFrame([(-i, "t", 1, n) for i, n in enumerate(odd)], "p_partkey long, p_type string, p_size int, p_name string"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{data}/customer.parquet").limit(20).write.parquet(f"{tmp_path}/customer.parquet")
+    got, n = queries._pairs(spark, str(tmp_path)), queries.names(spark, str(tmp_path))
+    want = N.typo_rows(n).select("typo", "name").filter("typo <> name").union(n.select("name", F.concat(F.lit("x"), "name"))).distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert plan(got).count("keys=[c#") == 0  # no distinct() of pairs

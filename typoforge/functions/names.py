@@ -93,18 +93,23 @@ def typo_candidates(name: Column) -> Column:
     return F.concat(swap, double, slip, case, drop)
 
 
-def typo_rows(rows: DataFrame, name: str = "name") -> DataFrame:
-    """rows with op, pos, typo: typo_candidates() as rows, for whole tables (no arrays of arrays, all in codegen)."""
+def typo_rows(rows: DataFrame, name: str = "name", *, once: bool = False) -> DataFrame:
+    """rows with op, pos, typo: typo_candidates() as rows, for whole tables (no arrays of arrays, all in codegen).
+
+    With `once`, a row's typo comes once: of equal letters in a row only the first is doubled or deleted.  No other two
+    places or operations give the same.
+    """
     n = F.length(name)
     places = rows.filter(n > 1).withColumn("pos", F.explode(F.sequence(F.lit(1), n - 1)))
     word, i = F.col(name), F.col("pos")
     here, after, plain = _at(word, i), _at(word, i + 1), _at(word, i) != "_"
+    first = (i == 1) | (here != _at(word, i - 1)) if once else F.lit(True)
     entry = lambda op, fits, typo: F.when(fits, F.struct(F.lit(op).alias("op"), typo.alias("typo")))
     made = F.array(
         entry("swap", (n >= 4) & (i < n - 1) & plain & (after != "_") & (here != after), _cut(word, i, 2, F.concat(after, here))),
-        entry("duplicate", (n >= 3) & plain, _cut(word, i, 0, here)),
+        entry("duplicate", (n >= 3) & plain & first, _cut(word, i, 0, here)),
         entry("case", here.rlike("[A-Za-z]"), _cut(word, i, 1, _flip(here))),
-        entry("delete", (n >= 4) & plain, _cut(word, i, 1, F.lit(""))),
+        entry("delete", (n >= 4) & plain & first, _cut(word, i, 1, F.lit(""))),
     )
     plain_ops = places.select("*", F.explode(made).alias("c")).filter("c is not null").select(*rows.columns, "pos", "c.op", "c.typo")
     slips = places.filter((n >= 3) & plain).select("*", F.explode(_neighbours(here)).alias("k"))

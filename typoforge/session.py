@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,7 +44,7 @@ def forget(*frames: DataFrame) -> None:
         where.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str | Column) -> DataFrame:
     """df dealt over all cores by a key, or in turn: rows that cost much for their size may all lie in one small file, so in one task.
 
     The number of partitions is given, so that no coalescing by bytes takes it back.
