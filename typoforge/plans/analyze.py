@@ -6,6 +6,7 @@ Filter and select before these operators: Spark does not push either through the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
 import pyarrow as pa
@@ -24,11 +25,12 @@ def extract_names(samples: DataFrame, *, by: str = "sample_index", code: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, source in zip(b[by], b[code], strict=True):
-                try:
-                    rows += [(i, p.name, p.scope, p.kind, p.line, p.col) for p in scopes.definitions(source or "")]
-                except scopes.UnparseableCodeError:
-                    continue
+            with scopes.shapes_remembered():
+                for i, source in zip(b[by], b[code], strict=True):
+                    try:
+                        rows += [(i, p.name, p.scope, p.kind, p.line, p.col) for p in scopes.definitions(source or "")]
+                    except scopes.UnparseableCodeError:
+                        continue
             yield pd.DataFrame(rows, columns=[by, "name", "scope_id", "kind", "line", "col"])
 
     return samples.select(by, code).mapInPandas(run, f"{by} {kind}, name string, scope_id int, kind string, line int, col int")
@@ -40,11 +42,12 @@ def names_of(code: pd.Series) -> pd.Series:
 
     def one(source: str | None) -> list[str] | None:
         try:
-            return sorted(scopes.renameable(source or ""))
+            return scopes.renameable_names(source or "")
         except scopes.UnparseableCodeError:
             return None
 
-    return pd.Series([one(c) for c in code], dtype=object)
+    with scopes.shapes_remembered():
+        return pd.Series([one(c) for c in code], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -69,7 +72,8 @@ def rename_names(code: pd.Series, names: pd.Series) -> pd.Series:
         except scopes.UnparseableCodeError:
             return None
 
-    return pd.Series([one(c, m) for c, m in zip(code, names, strict=True)], dtype=object)
+    with scopes.shapes_remembered():
+        return pd.Series([one(c, m) for c, m in zip(code, names, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -126,28 +130,71 @@ def positions(samples: DataFrame, *, by: str = "sample_index", code: str = "code
     return extract_names(samples, by=by, code=code).select(by, "name", "line", "col", F.row_number().over(w).alias("ordinal"))
 
 
+def longest_block(a: str, b: str) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest text that both hold; of equals the first in a, then in b."""
+    n, m = len(a), len(b)
+    if n == 1 or m == 1:
+        i, j = (0, b.find(a)) if n == 1 else (a.find(b), 0)
+        return (0, 0, 0) if i < 0 or j < 0 else (i, j, 1)
+    most, wide = min(n, m), not (a.isascii() and b.isascii())
+    first, last, bits = ("utf-32-be", "utf-32-le", 32) if wide else ("ascii", "ascii", 8)
+    # How much both begin and end with: numbers of their characters differ from the highest character that does.
+    x = int.from_bytes(a[:most].encode(first), "big") ^ int.from_bytes(b[:most].encode(first), "big")
+    y = int.from_bytes(a[n - most :].encode(last), "little") ^ int.from_bytes(b[m - most :].encode(last), "little")
+    common = most - (min(x.bit_length(), y.bit_length()) + bits - 1) // bits
+    size, at, i = max(common, 1) - 1, 0, 0  # one more is there, so the first place of the longest is met below
+    while i + size < n:
+        if a[i : i + size + 1] in b:
+            size, at = size + 1, i
+        else:
+            i += 1
+    return at, b.find(a[at : at + size]), size
+
+
+def differing_spans(a: str, b: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end in a, start, end in b) of what lies between the blocks that difflib.SequenceMatcher finds without junk, in order."""
+    todo, blocks = [(0, len(a), 0, len(b))] if a and b else [], [(len(a), len(b), 0)]
+    while todo:
+        s, e, t, u = todo.pop()
+        i, j, size = longest_block(a[s:e], b[t:u])
+        if size:
+            i, j = s + i, t + j
+            blocks.append((i, j, size))
+            if s < i and t < j:
+                todo.append((s, i, t, j))
+            if i + size < e and j + size < u:
+                todo.append((i + size, e, j + size, u))
+    at, bt = 0, 0
+    for i, j, size in sorted(blocks):
+        if i > at or j > bt:
+            yield at, i, bt, j
+        at, bt = i + size, j + size
+
+
 def line_diff(before: str | Column, after: str | Column) -> Column:
-    """array<struct<line,op,text>> of what differs, line by line: op is removed or added, text the differing span."""
-    import difflib
-
-    @F.pandas_udf("array<struct<line:int,op:string,text:string>>")
-    def run(before: pd.Series, after: pd.Series) -> pd.Series:
-        def one(a: str | None, b: str | None) -> list[dict]:
-            x, y = (a or "").split("\n"), (b or "").split("\n")
-            out = []
-            for i in range(max(len(x), len(y))):
-                p, q = x[i] if i < len(x) else "", y[i] if i < len(y) else ""
-                if p != q:
-                    for op, s, e, t, u in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
-                        if op != "equal" and e > s:
-                            out.append({"line": i + 1, "op": "removed", "text": p[s:e]})
-                        if op != "equal" and u > t:
-                            out.append({"line": i + 1, "op": "added", "text": q[t:u]})
-            return out
-
-        return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
-
-    return run(before, after)
+    """array<struct<line,op,text>> of what differs, line by line: op is removed or added, text the differing span.
+
+    Spans lie between the blocks of difflib.SequenceMatcher: the longest text in common first, then either side of it.
+    """
+
+    @F.arrow_udf("array<struct<line:int,op:string,text:string>>")
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        lines, ops, texts, ends = [], [], [], [0]
+        for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True):
+            for i, (p, q) in enumerate(zip_longest((a or "").split("\n"), (b or "").split("\n"), fillvalue=""), 1):
+                if p == q:
+                    continue
+                for s, e, t, u in differing_spans(p, q):
+                    for op, text in (("removed", p[s:e]), ("added", q[t:u])):
+                        if text:
+                            lines.append(i)
+                            ops.append(op)
+                            texts.append(text)
+            ends.append(len(lines))
+        columns = [pa.array(c, k) for c, k in ((lines, pa.int32()), (ops, pa.string()), (texts, pa.string()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["line", "op", "text"]))
+
+    return run(F.col(before) if isinstance(before, str) else before, F.col(after) if isinstance(after, str) else after)
 
 
 def align_to_subwords(samples: DataFrame, *, ids=None, start: int = 0, end: int = 1, most: int = 512) -> DataFrame:
