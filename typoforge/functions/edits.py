@@ -12,9 +12,14 @@ def _at(s: Column, i: Column) -> Column:
     return F.substr(s, i + 1, F.lit(1))
 
 
-def normalised_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over the longer length, in code points; 0 of two empty texts."""
-    far = F.coalesce(F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)).cast("double")), F.lit(0.0))
+def normalised_distance(a: Column, b: Column, near: tuple[int, ...] = ()) -> Column:
+    """Levenshtein distance over the longer length, in code points; 0 of two empty texts.
+
+    With `near`, a distance of so much at most is looked for first, in turn, which takes a band of the table only.
+    """
+    within = [F.get(F.filter(F.array(F.levenshtein(a, b, most)), lambda x: x >= 0), F.lit(0)) for most in near]
+    edits = F.coalesce(*within, F.levenshtein(a, b))
+    far = F.coalesce(F.try_divide(edits.cast("double"), F.greatest(F.length(a), F.length(b)).cast("double")), F.lit(0.0))
     return F.when(a == b, F.lit(0.0)).otherwise(far)  # equal texts, the most frequent case of long ones, cost no table
 
 
